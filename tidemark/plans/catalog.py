@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tidemark.plans import (  # noqa: F401 - imported for registration
+    q_ledger,
     q_panel,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

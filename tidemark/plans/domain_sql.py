@@ -9,6 +9,14 @@ def cents(c: str) -> str:
     return _CENTS.format(c=c)
 
 
+def half_up(expr: str, digits: int) -> str:
+    return f"round(({expr})::DECIMAL(28,10), {digits})::DOUBLE"
+
+
+def exact(expr: str, scale: int = 8) -> str:
+    return f"({expr})::DECIMAL(18,{scale})"
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bars": (
         (),
