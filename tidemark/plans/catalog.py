@@ -3,5 +3,6 @@
 from tidemark.plans import (  # noqa: F401 - imported for registration
     q_ledger,
     q_panel,
+    q_quality,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
