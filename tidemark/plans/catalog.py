@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401 - imported for registration
     q_ledger,
+    q_market,
     q_panel,
     q_quality,
 )
