@@ -64,8 +64,11 @@ def m1b_spans(m1b: DataFrame, cutoff: str) -> DataFrame:
     seen = m1b.where(F.col("ingested_at") <= F.lit(cutoff).cast("timestamp"))
     higher = Window.partitionBy("period").orderBy(F.col("revision").desc()).rowsBetween(Window.unboundedPreceding, -1)
     spans = seen.withColumn("held_until", F.min("available_at").over(higher))
+    usable = F.col("status") == "available"
+    if "eligible" in m1b.columns:  # result of publication_binding
+        usable = usable & F.col("eligible")
     return spans.where(
-        (F.col("status") == "available")
+        usable
         & (F.col("held_until").isNull() | (F.col("available_at") < F.col("held_until")))
     )
 
@@ -136,8 +139,11 @@ def trailing_percentile(observations: DataFrame, years: int, minimum: int) -> Da
     """
     o = observations.select("trade_date", "ratio_pct")
     start = F.add_months("trade_date", -12 * years)
+    # One row per market day: a single small partition.
+    first = F.min("trade_date").over(Window.partitionBy(F.lit(0)))
     asks = o.select(
         F.col("trade_date").alias("day"),
+        first.alias("first_day"),
         F.col("ratio_pct").alias("now"),
         start.alias("start"),
         F.explode(F.sequence(F.year(start), F.year("trade_date"))).alias("_year"),
@@ -146,16 +152,14 @@ def trailing_percentile(observations: DataFrame, years: int, minimum: int) -> Da
     counted = (
         asks.join(history, "_year")
         .where(F.col("trade_date").between(F.col("start"), F.col("day")))
-        .groupBy("day", "start")
+        .groupBy("day", "start", "first_day")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("ratio_pct") <= F.col("now")).alias("below"),
         )
     )
-    first = o.agg(F.min("trade_date").alias("first_day"))
-    covered = counted.join(F.broadcast(first))
     ok = (F.col("first_day") <= F.col("start")) & (F.col("n") >= minimum)
-    return covered.select(
+    return counted.select(
         F.col("day").alias("trade_date"),
         F.when(ok, half_up(F.col("below").cast("double") / F.col("n").cast("double") * 100.0, 4)).alias("percentile"),
         F.col("n").alias("observations"),

@@ -5,5 +5,6 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_market,
     q_panel,
     q_quality,
+    q_screening,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
