@@ -6,5 +6,6 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_panel,
     q_quality,
     q_screening,
+    q_walkforward,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
