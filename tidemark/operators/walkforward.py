@@ -110,12 +110,14 @@ def slice_bars(bars_idx: DataFrame, slices: DataFrame) -> DataFrame:
 def capital_feasibility(windows: DataFrame, cash: float) -> DataFrame:
     """Cash needed for the first stage of a board lot at the window's lowest close."""
     cost = cost_model(F.col("symbol"))
-    need = F.col("minimum_close") * cost["lot_size"] * (1.0 + K.COMMISSION_RATE) / K.STAGE_ONE_SHARE
+    commission = F.lit(f"{1.0 + K.COMMISSION_RATE:.6f}").cast("decimal(9,6)")
+    lots = F.col("minimum_close").cast("decimal(14,2)") * cost["lot_size"].cast("decimal(6,0)") * commission
+    need = lots / F.lit(f"{K.STAGE_ONE_SHARE:.2f}").cast("decimal(3,2)")
     return windows.select(
         "symbol",
         "window_no",
         "minimum_close",
-        half_up(need, 2).alias("stage1_minimum_cash"),
+        F.round(need, 2).cast("double").alias("stage1_minimum_cash"),
         (need <= cash).alias("stage1_feasible"),
     )
 

@@ -40,6 +40,11 @@ def whole_ratio(num: str, den: str) -> Column:
     return F.expr(f"(2 * {num} + {den}) div (2 * {den})").cast("double")
 
 
+def day_price() -> Column:
+    """Line price in cents, folded into a band so that daily returns stay plausible."""
+    return cents("l_extendedprice") % 6000 + 45000
+
+
 def symbol_number(c: str = "symbol") -> Column:
     return F.substring(F.col(c), 2, 20).cast("bigint")
 
@@ -50,7 +55,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_linenumber") % 2 == 1).alias("early"),
-        cents("l_extendedprice").alias("c"),
+        day_price().alias("c"),
         F.col("l_quantity").cast("bigint").alias("q"),
     )
     worth = F.col("c") * F.col("q")
@@ -89,6 +94,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((n + k) % 101 == 0, F.col("low") * 0.5).otherwise(F.col("high")).alias("high"),
         "low",
         F.when((n + k) % 89 == 0, F.lit(None).cast("double"))
+        .when((n + k) % 103 == 0, F.col("close") * 2.0)
         .when(F.col("ingest_order") == 2, F.col("close") + 1.0)
         .otherwise(F.col("close"))
         .alias("close"),
@@ -101,7 +107,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_linenumber") % 2 == 1).alias("early"),
-        cents("l_extendedprice").alias("c"),
+        day_price().alias("c"),
         F.col("l_quantity").cast("bigint").alias("q"),
     )
     worth = F.col("c") * F.col("q")

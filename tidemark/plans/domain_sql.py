@@ -28,7 +28,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                max(c)::DOUBLE AS high, min(c)::DOUBLE AS low,
                ((2 * sum(c * q) + sum(q)) // (2 * sum(q)))::DOUBLE AS close, sum(q)::DOUBLE AS volume
         FROM (SELECT l_suppkey, l_shipdate::DATE AS date, l_linenumber % 2 = 1 AS early,
-                     {cents('l_extendedprice')} AS c, l_quantity::BIGINT AS q FROM lineitem)
+                     {cents('l_extendedprice')} % 6000 + 45000 AS c, l_quantity::BIGINT AS q FROM lineitem)
         GROUP BY l_suppkey, date""",
     ),
     "numbered": (
@@ -40,7 +40,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT symbol, date, io AS ingest_order, open,
                CASE WHEN (n + k) % 101 = 0 THEN low * 5e-1 ELSE high END AS high, low,
-               CASE WHEN (n + k) % 89 = 0 THEN NULL WHEN io = 2 THEN close + 1e0 ELSE close END AS close,
+               CASE WHEN (n + k) % 89 = 0 THEN NULL WHEN (n + k) % 103 = 0 THEN close * 2e0 WHEN io = 2 THEN close + 1e0 ELSE close END AS close,
                CASE WHEN n % 97 = 0 THEN 0e0 ELSE volume END AS volume
         FROM (SELECT *, unnest(CASE WHEN n % 113 = 0 THEN [1, 2] ELSE [1] END) AS io FROM numbered)""",
     ),
@@ -63,7 +63,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                         (2 * sum(c * q) + sum(q)) // (2 * sum(q)))::DOUBLE AS open,
                ((2 * sum(c * q) + sum(q)) // (2 * sum(q)))::DOUBLE AS close
         FROM (SELECT l_shipdate::DATE AS date, l_linenumber % 2 = 1 AS early,
-                     {cents('l_extendedprice')} AS c, l_quantity::BIGINT AS q FROM lineitem)
+                     {cents('l_extendedprice')} % 6000 + 45000 AS c, l_quantity::BIGINT AS q FROM lineitem)
         GROUP BY date""",
     ),
     "calendar": ((), "SELECT DISTINCT o_orderdate::DATE AS date FROM orders"),

@@ -17,7 +17,8 @@ TRAIN, TRAIN_WARM, TRAIN_MIN = 160, 60, 100
 CASH = 1e9
 CANDIDATES = (("sma_8_21", 8, 21), ("sma_5_13", 5, 13), ("sma_13_34", 13, 34))
 LEGACY = "sma_8_21"
-MAX_DD, MIN_TRADES = 95.0, 2
+MAX_DD, MIN_TRADES = 20.0, 2
+REGIME_LIMIT = 0.005
 
 BUY = f"(1e0 + {K.SLIPPAGE_RATE}e0) * (1e0 + {K.COMMISSION_RATE}e0)"
 KEEP = f"(1e0 - {K.SLIPPAGE_RATE}e0) * (1e0 - {K.COMMISSION_RATE}e0 - {K.STOCK_TAX_RATE}e0)"
@@ -83,8 +84,8 @@ def q_slices(spark, sf_dir):
         "bars",
         extra=WB,
         body=f"""SELECT symbol, window_no, minimum_close,
-            {half_up(f"minimum_close * 1000 * (1e0 + {K.COMMISSION_RATE}e0) / 2e-1", 2)} AS stage1_minimum_cash,
-            minimum_close * 1000 * (1e0 + {K.COMMISSION_RATE}e0) / 2e-1 <= {CASH} AS stage1_feasible FROM windows""",
+            round(minimum_close::DECIMAL(14,2) * 1000::DECIMAL(6,0) * {1 + K.COMMISSION_RATE:.6f}::DECIMAL(9,6) * 5, 2)::DOUBLE AS stage1_minimum_cash,
+            minimum_close::DECIMAL(14,2) * 1000::DECIMAL(6,0) * {1 + K.COMMISSION_RATE:.6f}::DECIMAL(9,6) * 5 <= {CASH} AS stage1_feasible FROM windows""",
     ),
 )
 def q_feasible(spark, sf_dir):
@@ -207,12 +208,12 @@ REGIME = {
     "rg0": """SELECT w.symbol, w.window_no, count(b.date) AS benchmark_rows, arg_max(b.close, b.date) / arg_min(b.close, b.date) - 1 AS r
         FROM windows w LEFT JOIN bench b ON b.date BETWEEN w.validation_start AND w.validation_end GROUP BY ALL""",
     "regimes": f"""SELECT symbol, window_no, benchmark_rows, CASE WHEN benchmark_rows >= 2 THEN {half_up('r * 1e2', 4)} END AS benchmark_return_pct,
-        CASE WHEN benchmark_rows < 2 THEN 'unknown' WHEN r >= 15e-2 THEN 'bull' WHEN r <= -15e-2 THEN 'bear' ELSE 'sideways' END AS regime FROM rg0""",
+        CASE WHEN benchmark_rows < 2 THEN 'unknown' WHEN r >= {REGIME_LIMIT} THEN 'bull' WHEN r <= -{REGIME_LIMIT} THEN 'bear' ELSE 'sideways' END AS regime FROM rg0""",
 }
 
 
 def _regimes(spark, sf_dir):
-    return wf.market_regime(_windows(spark, sf_dir), d.benchmark(spark, sf_dir))
+    return wf.market_regime(_windows(spark, sf_dir), d.benchmark(spark, sf_dir), REGIME_LIMIT)
 
 
 @query("market_regime", with_views("bars", "bench", extra=REGIME, body="SELECT * FROM regimes"))
@@ -362,7 +363,7 @@ def q_selection(spark, sf_dir):
     return _selected(spark, sf_dir)
 
 
-GATE_LIMITS = {"max_mdd": 90.0, "min_bear_return": -60.0, "max_bear_mdd": 88.0}
+GATE_LIMITS = {"max_mdd": 45.0, "min_bear_return": -20.0, "max_bear_mdd": 30.0}
 GATE = {
     **SELECTED,
     **{k: v for k, v in VALID.items() if k not in SELECTED},
@@ -370,7 +371,7 @@ GATE = {
     "gres": """SELECT symbol, window_no, candidate_id AS model, * EXCLUDE (symbol, window_no, candidate_id) FROM vr WHERE candidate_id = 'sma_8_21'
         UNION ALL SELECT vr.symbol, vr.window_no, 'adaptive', vr.* EXCLUDE (symbol, window_no, candidate_id) FROM vr JOIN selected s
         ON s.symbol = vr.symbol AND s.window_no = vr.window_no AND s.candidate_id = vr.candidate_id""",
-    "grr": "SELECT gres.*, CASE WHEN window_no % 2 = 0 THEN 'bear' ELSE regime END AS regime FROM gres JOIN regimes USING (symbol, window_no)",
+    "grr": "SELECT gres.*, regime FROM gres JOIN regimes USING (symbol, window_no)",
     "gby": f"""SELECT symbol, model, regime, {AGG} FROM grr GROUP BY symbol, model, regime
         UNION ALL SELECT symbol, model, 'all', {AGG} FROM grr GROUP BY symbol, model""",
     "gp": """SELECT symbol, max(compounded_return_pct) FILTER (model = 'adaptive' AND regime = 'all' AND status = 'available') AS a_ret,
@@ -392,9 +393,7 @@ def _gate(spark, sf_dir):
     legacy = metrics.where(F.col("candidate_id") == LEGACY).withColumnRenamed("candidate_id", "model")
     chosen = _selected(spark, sf_dir).select(*KEYS)
     adaptive = metrics.join(chosen, KEYS).drop("candidate_id").withColumn("model", F.lit("adaptive"))
-    regimes = _regimes(spark, sf_dir).withColumn(
-        "regime", F.when(F.col("window_no") % 2 == 0, "bear").otherwise(F.col("regime"))
-    )
+    regimes = _regimes(spark, sf_dir)
     by_regime = wf.regime_aggregate(legacy.unionByName(adaptive), regimes)
     quality = d.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
