@@ -148,6 +148,63 @@ def asof_join(
     return found.select("_row.*", F.col("_m._rt").alias(right_time), *[F.col(f"_m.{c}").alias(c) for c in payload])
 
 
+def asof_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    left_time: str,
+    right_time: str,
+    payload: Sequence[str],
+    bucket: Callable[[Column], Column],
+    keys: Sequence[str] = (),
+    forward: bool = False,
+) -> DataFrame:
+    """As-of join for a large left and a sparse right side; the left is never sorted.
+
+    Right rows are packed into one short ordered list per key and bucket,
+    together with the neighbour inherited from other buckets; each left row then
+    picks from its bucket's list.  Choose ``bucket`` so that a list stays short.
+    The equi-join key is (keys, bucket), which AQE may broadcast or split.
+    """
+    keys = list(keys)
+    hit = F.struct(F.col(right_time).alias("_rt"), *payload)
+    r = right.where(F.col(right_time).isNotNull()).select(*keys, bucket(F.col(right_time)).alias("_b"), hit.alias("_hit"))
+    packed = r.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_hit")).alias("_list"))
+    asked = left.select(*keys, bucket(F.col(left_time)).alias("_b")).distinct()
+    spine = packed.join(asked, [*keys, "_b"], "full_outer")
+    side = F.col("_b").desc() if forward else F.col("_b")
+    carry = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.get("_list", F.lit(0)) if forward else F.element_at("_list", -1)
+    ready = spine.withColumn("_edge", F.when(F.col("_list").isNotNull(), edge)).select(
+        *keys, "_b", "_list", F.last("_edge", ignorenulls=True).over(carry).alias("_carry")
+    )
+    t = F.col(left_time)
+    out = left.withColumn("_b", bucket(t)).join(ready, [*keys, "_b"], "left")
+    if forward:
+        near = F.get(F.filter("_list", lambda x: x["_rt"] > t), F.lit(0))
+    else:
+        near = F.try_element_at(F.filter("_list", lambda x: x["_rt"] <= t), F.lit(-1))
+    out = out.withColumn("_m", F.coalesce(near, "_carry"))
+    return out.select(*left.columns, F.col("_m._rt").alias(right_time), *[F.col(f"_m.{c}").alias(c) for c in payload])
+
+
+def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Previous row's values per key, for keys of any size.
+
+    ``bucket`` must be monotone in ``order``.  Rows are ordered within (key,
+    bucket) only; the first row of a bucket takes the last row of the nearest
+    earlier bucket, found on one summary row per bucket.
+    """
+    row = F.struct(*values)
+    w = Window.partitionBy(*keys, bucket).orderBy(*order)
+    local = df.withColumns({"_prev": F.lag(row).over(w), "_pos": F.row_number().over(w)})
+    tails = df.groupBy(*keys, bucket).agg(F.max_by(row, F.struct(*order)).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy(bucket)
+    inherited = tails.select(*keys, bucket, F.lag("_tail").over(before).alias("_inherit"))
+    out = local.join(inherited, [*keys, bucket], "left")
+    prev = F.when(F.col("_pos") == 1, F.col("_inherit")).otherwise(F.col("_prev"))
+    return out.withColumn("_p", prev).select(*df.columns, *[F.col(f"_p.{v}").alias(f"prev_{v}") for v in values])
+
+
 def explode_buckets(df: DataFrame, low: Column, high: Column, name: str = "_bucket") -> DataFrame:
     """One row per whole-number bucket an interval touches, for bucketed range joins."""
     return df.withColumn(name, F.explode(F.sequence(low, high)))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numbers import first_reason
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import asof_lookup
 from tidemark.operators.quality import PRICES, clean_ohlcv
 
 
 def action_segments(rows: DataFrame, actions: DataFrame) -> DataFrame:
     """Label rows with the symbol's latest action date at or before them."""
     days = actions.select("symbol", "event_date").distinct()
-    out = asof_join(
+    out = asof_lookup(
         rows, days, "date", "event_date", [], lambda t: F.trunc(t, "year"), keys=("symbol",)
     )
     label = F.coalesce(F.date_format("event_date", "yyyy-MM-dd"), F.lit(K.NO_PRIOR_ACTION))

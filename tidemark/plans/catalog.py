@@ -5,6 +5,7 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_market,
     q_panel,
     q_quality,
+    q_research,
     q_screening,
     q_walkforward,
 )

@@ -352,6 +352,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, "VAL-01").when(k == 1, "FB-03").otherwise("FB-04").alias("method_family"),
         F.when(k == 2, "support").otherwise("target").alias("semantic_role"),
         ((F.col("l_partkey") % 1000 + 9000).cast("double") / 10.0).cast("decimal(18,4)").alias("price"),
+        F.when(F.col("l_partkey") % 11 == 0, "U").otherwise("A").alias("evidence_level"),
         F.array(
             F.concat(F.lit("D"), (F.col("l_suppkey") % 7).cast("string")),
             F.concat(F.lit("E"), (F.col("l_partkey") % 5).cast("string")),
@@ -359,6 +360,58 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of six market segments that trade on almost every day."""
+    line = table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"),
+        F.col("l_shipdate").cast("date").alias("date"),
+        (F.col("l_linenumber") % 2 == 1).alias("early"),
+        day_price().alias("c"),
+        F.col("l_quantity").cast("bigint").alias("q"),
+    )
+    worth = F.col("c") * F.col("q")
+    daily = line.groupBy("symbol", "date").agg(
+        F.sum(worth).alias("w"),
+        F.sum("q").alias("v"),
+        F.sum(F.when(F.col("early"), worth)).alias("we"),
+        F.sum(F.when(F.col("early"), F.col("q"))).alias("ve"),
+        F.max("c").alias("hi"),
+        F.min("c").alias("lo"),
+    )
+    close = whole_ratio("w", "v")
+    return daily.select(
+        "symbol",
+        "date",
+        F.coalesce(whole_ratio("we", "ve"), close).alias("open"),
+        F.col("hi").cast("double").alias("high"),
+        F.col("lo").cast("double").alias("low"),
+        close.alias("close"),
+    )
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored price ranges to be evaluated later: one order is one snapshot subject."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    names = F.array(*[F.lit(s) for s in ("AF", "AO", "NF", "NO", "RF", "RO")])
+    low = (cents("o_totalprice") % 9000 + 43500).cast("double")
+    family = F.when(key % 4 == 0, "VAL-01").when(key % 4 == 1, "FB-03").when(key % 4 == 2, "FB-04").otherwise("TGT-01")
+    role = F.when(key % 4 == 2, "support").otherwise("target")
+    return o.select(
+        F.concat(F.lit("SNAP"), (key - key % 4).cast("string")).alias("snapshot_id"),
+        F.concat(F.lit("SUB"), key.cast("string")).alias("subject_id"),
+        F.get(names, F.expr("cast((o_orderkey div 4) % 6 as int)")).alias("symbol"),
+        F.when(key % 3 == 0, "live_refresh").otherwise("historical_reconstruction").alias("capture_mode"),
+        F.when(key % 4 == 2, "support_candidate").when(key % 4 == 3, "target_cluster").otherwise("target_candidate").alias("subject_type"),
+        family.alias("method_family"),
+        role.alias("semantic_role"),
+        F.when(key % 4 == 3, F.when(key % 8 == 3, "low").otherwise("moderate")).alias("evidence_strength"),
+        F.col("o_orderdate").cast("date").alias("cutoff_date"),
+        low.alias("price_low"),
+        (low + 600.0).alias("price_high"),
+    )
+
+
 def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal events: campaign = user; three entry stages and an invalidation."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
@@ -370,7 +423,7 @@ def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id",
         F.col("user_id").alias("campaign_id"),
-        F.col("ts").alias("signal_at"),
+        F.date_trunc("minute", "ts").alias("signal_at"),
         F.when(stage.isNull(), "invalidation").otherwise("entry").alias("event_kind"),
         stage.alias("stage"),
     )

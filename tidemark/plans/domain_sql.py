@@ -171,13 +171,41 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE l_linenumber % 3 WHEN 0 THEN 'VAL-01' WHEN 1 THEN 'FB-03' ELSE 'FB-04' END AS method_family,
                CASE WHEN l_linenumber % 3 = 2 THEN 'support' ELSE 'target' END AS semantic_role,
                ((l_partkey % 1000 + 9000)::DOUBLE / 1e1)::DECIMAL(18,4) AS price,
+               CASE WHEN l_partkey % 11 = 0 THEN 'U' ELSE 'A' END AS evidence_level,
                ['D' || (l_suppkey % 7), 'E' || (l_partkey % 5)] AS dependency_keys
         FROM lineitem""",
     ),
+    "dense": (
+        (),
+        f"""
+        SELECT symbol, date,
+               coalesce((2 * sum(CASE WHEN early THEN c * q END) + sum(CASE WHEN early THEN q END))
+                            // (2 * sum(CASE WHEN early THEN q END)),
+                        (2 * sum(c * q) + sum(q)) // (2 * sum(q)))::DOUBLE AS open,
+               max(c)::DOUBLE AS high, min(c)::DOUBLE AS low,
+               ((2 * sum(c * q) + sum(q)) // (2 * sum(q)))::DOUBLE AS close
+        FROM (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate::DATE AS date, l_linenumber % 2 = 1 AS early,
+                     {cents('l_extendedprice')} % 6000 + 45000 AS c, l_quantity::BIGINT AS q FROM lineitem)
+        GROUP BY symbol, date""",
+    ),
+    "subjects": (
+        (),
+        f"""
+        SELECT 'SNAP' || (o_orderkey - o_orderkey % 4) AS snapshot_id, 'SUB' || o_orderkey AS subject_id,
+               ['AF', 'AO', 'NF', 'NO', 'RF', 'RO'][(o_orderkey // 4) % 6 + 1] AS symbol,
+               CASE WHEN o_orderkey % 3 = 0 THEN 'live_refresh' ELSE 'historical_reconstruction' END AS capture_mode,
+               CASE o_orderkey % 4 WHEN 2 THEN 'support_candidate' WHEN 3 THEN 'target_cluster' ELSE 'target_candidate' END AS subject_type,
+               ['VAL-01', 'FB-03', 'FB-04', 'TGT-01'][o_orderkey % 4 + 1] AS method_family,
+               CASE WHEN o_orderkey % 4 = 2 THEN 'support' ELSE 'target' END AS semantic_role,
+               CASE WHEN o_orderkey % 8 = 3 THEN 'low' WHEN o_orderkey % 4 = 3 THEN 'moderate' END AS evidence_strength,
+               o_orderdate::DATE AS cutoff_date,
+               ({cents('o_totalprice')} % 9000 + 43500)::DOUBLE AS price_low,
+               ({cents('o_totalprice')} % 9000 + 44100)::DOUBLE AS price_high FROM orders""",
+    ),
     "campaign_events": (
         (),
         """
-        SELECT event_id, user_id AS campaign_id, ts AS signal_at,
+        SELECT event_id, user_id AS campaign_id, date_trunc('minute', ts) AS signal_at,
                CASE WHEN event_type = 'error' THEN 'invalidation' ELSE 'entry' END AS event_kind,
                CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS stage
         FROM events WHERE event_type <> 'signup'""",
