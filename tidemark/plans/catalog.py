@@ -7,6 +7,7 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_quality,
     q_research,
     q_screening,
+    q_snapshots,
     q_walkforward,
 )
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
