@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,17 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for tables a job writes between its steps.
+
+    It lies under ``spark.checkpoint.dir`` (shared, survives executors); only a
+    local session without that setting gets a folder on this machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
