@@ -78,42 +78,53 @@ def maximal_sets(targets: DataFrame, width: float) -> DataFrame:
     )
 
 
-def independent_components(members: DataFrame, keys: Sequence[str] = ("symbol", "point")) -> DataFrame:
-    """Number of method families not linked by shared dependencies, per set.
+def _family_dependencies(families: Sequence[str]) -> dict[str, Column]:
+    """Aggregates: distinct dependency keys per method family (families are a short fixed list)."""
+    return {
+        f: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("method_family") == f, F.col("dependency_keys")))))
+        for f in families
+    }
 
-    Families come from a short fixed list, so after reducing to the families
-    that share each dependency, the merging of labels runs inside one row.
+
+def _with_components(grouped: DataFrame, families: Sequence[str]) -> DataFrame:
+    """Merge families that share a dependency; each pair of families is looked at once.
+
+    ``grouped`` holds one dependency list per family in a column named after it.
     """
-    keys = list(keys)
-    deps = members.select(*keys, "method_family", F.explode("dependency_keys").alias("dep"))
-    by_dep = deps.groupBy(*keys, "dep").agg(F.array_sort(F.collect_set("method_family")).alias("fs"))
-    shared = by_dep.where(F.size("fs") > 1)
-    # Linking the first family of a dependency to each of the others is enough for connectivity.
-    links = shared.select(
-        *keys,
-        "dep",
-        F.explode(F.transform(F.slice("fs", 2, len(K.TARGET_FAMILIES) + 1), lambda f: F.struct(F.col("fs")[0].alias("a"), f.alias("b")))).alias("e"),
-    )
-    edges = links.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("e")).alias("edges"), F.array_sort(F.collect_set("dep")).alias("shared_dependencies")
-    )
-    fams = members.groupBy(*keys).agg(F.array_sort(F.collect_set("method_family")).alias("families"))
-    out = fams.join(edges, keys, "left")
-    start = F.map_from_arrays("families", "families")
-    no_edges = F.array().cast("array<struct<a:string,b:string>>")
-    labels = F.aggregate(
-        F.coalesce("edges", no_edges),
-        start,
-        lambda m, e: F.transform_values(
-            m, lambda _, v: F.when(v == F.element_at(m, e["b"]), F.element_at(m, e["a"])).otherwise(v)
-        ),
-    )
-    return out.select(
-        *keys,
-        "families",
-        F.size(F.array_distinct(F.map_values(labels))).alias("independent_method_count"),
-        F.coalesce("shared_dependencies", F.array().cast("array<string>")).alias("shared_dependencies"),
+    shared = F.array().cast("array<string>")
+    label = {f: F.lit(i) for i, f in enumerate(families)}
+    present = {f: F.array_contains("families", f) for f in families}
+    links = []
+    for i, a in enumerate(families):
+        for b in families[i + 1 :]:
+            common = F.array_intersect(F.col(f"`{a}`"), F.col(f"`{b}`"))
+            shared = F.array_union(shared, common)
+            links.append((a, b, present[a] & present[b] & (F.size(common) > 0)))
+    # Passing the smallest label along all links as often as there are families reaches everyone.
+    out = grouped.withColumns({f"_l{i}": label[f] for i, f in enumerate(families)})
+    out = out.withColumns({f"_e{j}": cond for j, (_, _, cond) in enumerate(links)})
+    at = {f: f"_l{i}" for i, f in enumerate(families)}
+    for _ in range(max(len(families) - 1, 1)):
+        for j, (a, b, _) in enumerate(links):
+            low = F.least(at[a], at[b])
+            out = out.withColumns({at[a]: F.when(F.col(f"_e{j}"), low).otherwise(F.col(at[a])), at[b]: F.when(F.col(f"_e{j}"), low).otherwise(F.col(at[b]))})
+    labels = F.array_compact(F.array(*[F.when(present[f], F.col(at[f])) for f in families]))
+    return out.withColumns(
+        {"independent_method_count": F.size(F.array_distinct(labels)), "shared_dependencies": F.array_sort(shared)}
+    ).drop(*at.values(), *[f"_e{j}" for j in range(len(links))], *families)
+
+
+def independent_components(
+    members: DataFrame,
+    keys: Sequence[str] = ("symbol", "point"),
+    families: Sequence[str] = (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY),
+) -> DataFrame:
+    """Number of method families not linked by shared dependencies, per set; one grouping."""
+    deps = _family_dependencies(families)
+    grouped = members.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("method_family")).alias("families"), *[c.alias(f) for f, c in deps.items()]
     )
+    return _with_components(grouped, families)
 
 
 def strength(count: Column, policy: Sequence[tuple[int, str]]) -> Column:
@@ -127,14 +138,15 @@ def strength(count: Column, policy: Sequence[tuple[int, str]]) -> Column:
 def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[int, str]]) -> DataFrame:
     """Clusters of at least two families; dependent ones are marked, not dropped."""
     members = overlap_members(targets, overlap_points(targets, width), width)
-    shape = members.groupBy("symbol", "point").agg(
+    deps = _family_dependencies(K.TARGET_FAMILIES)
+    grouped = members.groupBy("symbol", "point").agg(
         F.max("lo").alias("price_low"),
         F.min("hi").alias("price_high"),
-        F.count_distinct("candidate_id").alias("candidate_count"),
         F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids"),
+        F.array_sort(F.collect_set("method_family")).alias("families"),
+        *[c.alias(f) for f, c in deps.items()],
     )
-    parts = independent_components(members)
-    out = shape.join(parts, ["symbol", "point"]).where(F.size("families") >= 2)
+    out = _with_components(grouped.where(F.size("families") >= 2), K.TARGET_FAMILIES)
     ok = F.col("independent_method_count") >= MIN_COMPONENTS
     digest = F.substring(F.sha2(F.array_join("candidate_ids", "|"), 256), 1, 20)
     return out.select(
@@ -142,7 +154,7 @@ def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[in
         F.concat(F.lit(CLUSTER_PREFIX), digest).alias("cluster_id"),
         "price_low",
         "price_high",
-        "candidate_count",
+        F.size("candidate_ids").alias("candidate_count"),
         F.size("families").alias("support_count"),
         "independent_method_count",
         F.when(ok, strength(F.col("independent_method_count"), policy)).alias("evidence_strength"),

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numbers import first_reason
-from tidemark.operators.asof import asof_lookup
 from tidemark.operators.quality import PRICES, clean_ohlcv
 
 
 def action_segments(rows: DataFrame, actions: DataFrame) -> DataFrame:
-    """Label rows with the symbol's latest action date at or before them."""
-    days = actions.select("symbol", "event_date").distinct()
-    out = asof_lookup(
-        rows, days, "date", "event_date", [], lambda t: F.trunc(t, "year"), keys=("symbol",)
-    )
-    label = F.coalesce(F.date_format("event_date", "yyyy-MM-dd"), F.lit(K.NO_PRIOR_ACTION))
-    return out.withColumn("segment", label).drop("event_date")
+    """Label rows with the symbol's latest action date at or before them.
+
+    A symbol has a few actions a year; they travel as one short list per symbol.
+    """
+    days = actions.groupBy("symbol").agg(F.collect_set("event_date").alias("_days"))
+    last = F.array_max(F.filter("_days", lambda x: x <= F.col("date")))
+    label = F.coalesce(F.date_format(last, "yyyy-MM-dd"), F.lit(K.NO_PRIOR_ACTION))
+    return rows.join(days, "symbol", "left").withColumn("segment", label).drop("_days")
 
 
 def factor_anchors(official: DataFrame, provider: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ the window specification share one shuffle and one sort.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -20,10 +21,20 @@ def by_symbol(order: str = "date") -> WindowSpec:
     return Window.partitionBy("symbol").orderBy(order)
 
 
-def full_frame_mean(c: str, n: int, w: WindowSpec) -> Column:
-    """Mean over the last ``n`` rows, null until ``n`` rows exist."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    return F.when(F.count(c).over(frame) == n, F.avg(c).over(frame))
+def rolling_means(df: DataFrame, column: str, means: Mapping[str, int], w: WindowSpec) -> DataFrame:
+    """Add means over the last ``n`` rows, null until ``n`` values exist.
+
+    Differences of running totals: every row costs the same however long the
+    frame is, where a sliding frame would be summed anew for each row.
+    """
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({"_sum": F.sum(column).over(run), "_cnt": F.count(column).over(run)})
+
+    def part(total: str, n: int) -> Column:
+        return F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0))
+
+    out = out.withColumns({name: F.when(part("_cnt", n) == n, part("_sum", n) / n) for name, n in means.items()})
+    return out.drop("_sum", "_cnt")
 
 
 def falsy(c: Column) -> Column:
@@ -34,14 +45,9 @@ def falsy(c: Column) -> Column:
 def sma_deduction(bars: DataFrame, periods: tuple[int, ...] = K.MA_PERIODS) -> DataFrame:
     """SMA, deduction value and slope flag for every period; null closes are dropped."""
     w = by_symbol()
-    out = bars.where(F.col("close").isNotNull())
-    deductions = {n: F.lag("close", n - 1).over(w) for n in periods}
-    return out.select(
-        *out.columns,
-        *[full_frame_mean("close", n, w).alias(f"sma_{n}") for n in periods],
-        *[deductions[n].alias(f"deduct_{n}") for n in periods],
-        *[falsy(F.col("close") > deductions[n]).alias(f"slope_up_{n}") for n in periods],
-    )
+    out = rolling_means(bars.where(F.col("close").isNotNull()), "close", {f"sma_{n}": n for n in periods}, w)
+    out = out.withColumns({f"deduct_{n}": F.lag("close", n - 1).over(w) for n in periods})
+    return out.withColumns({f"slope_up_{n}": falsy(F.col("close") > F.col(f"deduct_{n}")) for n in periods})
 
 
 def resonance_flag(available: list[str]) -> Column:

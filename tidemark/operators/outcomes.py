@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
@@ -27,16 +27,31 @@ def eligible_subjects(subjects: DataFrame) -> DataFrame:
     return subjects.where(single | (F.col("method_family") == K.CLUSTER_FAMILY))
 
 
-def forward_paths(bars: DataFrame, sessions: DataFrame, horizon: int) -> DataFrame:
-    """For every bar, the bars of the next ``horizon`` sessions as one short list.
+def forward_paths(bars: DataFrame, sessions: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """For every bar and horizon: extremes and last close of the sessions ahead, and their bars.
 
-    A list depends on symbol and day only, so it is built once however many
-    subjects start there, and its length is at most horizon + 1.
+    All of it depends on symbol and day only, so it is built once however many
+    subjects start there; a list is at most horizon + 1 long.
     """
     placed = bars.join(sessions, "date")
-    w = Window.partitionBy("symbol").orderBy("session").rangeBetween(0, horizon)
-    bar = F.struct("session", "low", "high", "close", "date")
-    return placed.select("symbol", "date", "session", "open", F.collect_list(bar).over(w).alias("path"))
+    w = Window.partitionBy("symbol").orderBy("session")
+    bar = F.struct("session", "low", "high", "date")
+
+    def ahead(h: int) -> Column:
+        frame = w.rangeBetween(0, h)
+        return F.struct(
+            F.lit(h).alias("horizon_sessions"),
+            F.count(F.lit(1)).over(frame).alias("bars"),
+            F.max("high").over(frame).alias("top"),
+            F.min("low").over(frame).alias("bottom"),
+            F.last("close").over(frame).alias("last_close"),
+            F.collect_list(bar).over(frame).alias("path"),
+        )
+
+    rows = placed.select("symbol", "date", "session", "open", F.array(*[ahead(h) for h in horizons]).alias("_a"))
+    return rows.select("symbol", "date", "session", "open", F.explode("_a").alias("_a")).select(
+        "symbol", F.col("date").alias("start_date"), F.col("session").alias("start_session"), F.col("open").alias("start_open"), "_a.*"
+    )
 
 
 def outcome_starts(subjects: DataFrame, bars: DataFrame) -> DataFrame:
@@ -59,45 +74,39 @@ def evaluate_outcomes(
 ) -> DataFrame:
     """One row per subject and horizon: excursions, returns, first touch, terminal outcome."""
     sessions = session_index(calendar)
-    paths = forward_paths(bars, sessions, max(horizons))
+    paths = forward_paths(bars, sessions, horizons)
     by_day = sessions.select(F.col("date").alias("end_date"), F.col("session").alias("end_session"))
     bench = benchmark.join(sessions, "date")
     b_start = bench.select(F.col("session").alias("start_session"), F.col("open").alias("b_open"))
     b_end = bench.select(F.col("session").alias("end_session"), F.col("close").alias("b_close"))
-    starts = outcome_starts(subjects, bars).join(
-        paths.select("symbol", F.col("date").alias("start_date"), F.col("session").alias("start_session"), F.col("open").alias("start_open"), "path"),
-        ["symbol", "start_date"],
-        "left",
-    )
     rows = (
         eligible_subjects(subjects)
-        .join(starts, ["symbol", "cutoff_date"], "left")
+        .join(outcome_starts(subjects, bars), ["symbol", "cutoff_date"], "left")
         .withColumn("horizon_sessions", F.explode(F.array(*[F.lit(h) for h in horizons])))
+        .join(paths, ["symbol", "start_date", "horizon_sessions"], "left")
         .withColumn("end_session", F.col("start_session") + F.col("horizon_sessions"))
         .join(by_day, "end_session", "left")
         .join(b_start, "start_session", "left")
         .join(b_end, "end_session", "left")
         .join(quality.select("symbol", F.col("status").alias("quality_status")), "symbol", "left")
     )
-    inside = F.filter("path", lambda b: b["session"] <= F.col("end_session"))
-    rows = rows.withColumn("_bars", inside)
     lo, hi, start = F.col("price_low"), F.col("price_high"), F.col("start_open")
-    touched = F.filter("_bars", lambda b: (b["low"] <= hi) & (b["high"] >= lo))
-    rows = rows.withColumns({"_touch": F.get(touched, F.lit(0)), "_end": F.element_at("_bars", -1)})
+    touched = F.filter("path", lambda b: (b["low"] <= hi) & (b["high"] >= lo))
+    rows = rows.withColumn("_touch", F.get(touched, F.lit(0)))
     state = (
         F.when(F.col("start_date").isNull() | F.col("end_date").isNull(), "insufficient_future_data")
         .when(F.col("end_date") > F.lit(observed_through).cast("date"), "pending")
-        .when(F.size("_bars") != F.col("horizon_sessions") + 1, "insufficient_future_data")
+        .when(F.col("bars") != F.col("horizon_sessions") + 1, "insufficient_future_data")
     )
     rows = rows.withColumn("_early", state)
     done = F.col("_early").isNull()
     position = (
         F.when(start.between(lo, hi), "already_in_range").when(start < lo, "above_start").otherwise("below_start")
     )
-    up = F.array_max(F.transform("_bars", lambda b: b["high"])) / start - 1.0
-    floor_price = F.array_min(F.transform("_bars", lambda b: b["low"]))
+    up = F.col("top") / start - 1.0
+    floor_price = F.col("bottom")
     down = floor_price / start - 1.0
-    ret = F.col("_end.close") / start - 1.0
+    ret = F.col("last_close") / start - 1.0
     bret = F.col("b_close") / F.col("b_open") - 1.0
     support = F.col("semantic_role") == "support"
     reached = F.col("_touch").isNotNull()
@@ -185,7 +194,7 @@ def outcome_summary(results: DataFrame) -> DataFrame:
         "pending",
     )
 
-    def mid(c: str) -> F.Column:
+    def mid(c: str) -> Column:
         return half_up(F.median(F.when(rated, F.col(c))), 8)
 
     return results.groupBy(*GROUP).agg(

@@ -71,18 +71,17 @@ def pe_rules() -> dict[str, Column]:
     }
 
 
+def _anchor(role: str) -> Column:
+    return F.get(F.filter("anchors", lambda a: a["role"] == role), F.lit(0))
+
+
 def anchor_rules() -> dict[str, Column]:
     """Exactly the roles of the rule, positive prices, strictly rising dates in role order."""
     roles = F.array_sort(F.transform("anchors", lambda a: a["role"]))
     expected = F.lit(None).cast("array<string>")
     ordered = F.lit(None).cast("array<date>")
     for rule, names in ANCHOR_ROLES.items():
-        dates = F.array(
-            *[
-                F.get(F.filter("anchors", lambda a, r=r: a["role"] == r), F.lit(0))["market_date"]
-                for r in ROLE_ORDER[rule]
-            ]
-        )
+        dates = F.array(*[_anchor(r)["market_date"] for r in ROLE_ORDER[rule]])
         expected = F.when(F.col("rule_id") == rule, F.array(*[F.lit(n) for n in names])).otherwise(expected)
         ordered = F.when(F.col("rule_id") == rule, dates).otherwise(ordered)
     pairs = F.arrays_zip(F.slice(ordered, 1, F.size(ordered) - 1).alias("a"), F.slice(ordered, 2, F.size(ordered)).alias("b"))

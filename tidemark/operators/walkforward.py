@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.functions.normalize import cost_model
 from tidemark.functions.numbers import half_up
-from tidemark.operators.indicators import by_symbol, falsy, full_frame_mean, with_resonance
+from tidemark.operators.indicators import by_symbol, falsy, rolling_means, with_resonance
 
 
 def indexed(bars: DataFrame) -> DataFrame:
@@ -122,18 +122,27 @@ def capital_feasibility(windows: DataFrame, cash: float) -> DataFrame:
     )
 
 
-def crossover_positions(bars: DataFrame, candidates: Sequence[tuple[str, int, int]]) -> DataFrame:
-    """Position per bar and candidate: the previous bar's short mean above its long mean."""
+def crossover_signals(bars: DataFrame, candidates: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """Add one short list per bar: each candidate's position, set by the previous bar's means.
+
+    Kept as a list until the bars that matter are chosen; see ``each_candidate``.
+    """
     w = by_symbol()
     lengths = sorted({n for _, a, b in candidates for n in (a, b)})
-    means = bars.withColumns({f"_m{n}": full_frame_mean("close", n, w) for n in lengths})
+    means = rolling_means(bars, "close", {f"_m{n}": n for n in lengths}, w)
     signals = means.withColumns(
         {f"_s{i}": falsy(F.lag(F.col(f"_m{a}") > F.col(f"_m{b}")).over(w)).cast("int") for i, (_, a, b) in enumerate(candidates)}
     )
     options = F.array(
         *[F.struct(F.lit(name).alias("candidate_id"), F.col(f"_s{i}").alias("pos")) for i, (name, _, _) in enumerate(candidates)]
     )
-    return signals.select(*bars.columns, F.explode(options).alias("_o")).select(*bars.columns, "_o.*")
+    return signals.select(*bars.columns, options.alias("candidates"))
+
+
+def each_candidate(rows: DataFrame) -> DataFrame:
+    """One row per bar and candidate."""
+    rest = [c for c in rows.columns if c != "candidates"]
+    return rows.select(*rest, F.explode("candidates").alias("_o")).select(*rest, "_o.*")
 
 
 def position_equity(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -508,13 +517,11 @@ def pullback_tranches(bars: DataFrame, low: float = K.PULLBACK_LOW, high: float
     at stage 2 with rising volume.
     """
     w = by_symbol()
-    rows = latch_positions(bars)
+    rows = rolling_means(latch_positions(bars), "volume", {"_v5": 5, "_v20": 20}, w)
     started = (F.col("pos") == 1) & (F.coalesce(F.lag("pos").over(w), F.lit(0)) == 0)
     rows = rows.withColumns(
         {
             "segment": F.sum(started.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_v5": full_frame_mean("volume", 5, w),
-            "_v20": full_frame_mean("volume", 20, w),
         }
     ).where("pos = 1")
     inside = Window.partitionBy("symbol", "segment")

@@ -116,7 +116,7 @@ def _technical(spark, sf_dir):
     w = ind.by_symbol()
     k = d.symbol_number()
     b = d.bars(spark, sf_dir).select("symbol", "date", "close")
-    b = b.withColumn("sma", ind.full_frame_mean("close", 21, w))
+    b = ind.rolling_means(b, "close", {"sma": 21}, w)
     last = ind.latest_row(b)
     results = last.select(
         "symbol",

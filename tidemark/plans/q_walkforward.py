@@ -151,9 +151,8 @@ VALID = {
 
 def _validation_equity(spark, sf_dir):
     rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
-    w = wf.windowed_bars(rows, MONTHS, WARMUP, MIN_BARS)
-    pos = wf.crossover_positions(rows, CANDIDATES).select("symbol", "date", "candidate_id", "pos")
-    held = w.join(pos, ["symbol", "date"]).select(*KEYS, "date", "open", "close", "pos")
+    chosen = wf.windowed_bars(wf.crossover_signals(rows, CANDIDATES), MONTHS, WARMUP, MIN_BARS)
+    held = wf.each_candidate(chosen).select(*KEYS, "date", "open", "close", "pos")
     return wf.position_equity(held, KEYS)
 
 
@@ -304,7 +303,7 @@ TRAINED = {
 def _training_metrics(spark, sf_dir):
     rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
     slices = wf.training_slices(_windows(spark, sf_dir), TRAIN, TRAIN_WARM, TRAIN_MIN)
-    held = wf.slice_bars(wf.crossover_positions(wf.indexed(rows), CANDIDATES), slices)
+    held = wf.each_candidate(wf.slice_bars(wf.crossover_signals(wf.indexed(rows), CANDIDATES), slices))
     equity = wf.position_equity(held.select(*KEYS, "date", "open", "close", "pos"), KEYS)
     return wf.risk_metrics(equity, KEYS)
 
