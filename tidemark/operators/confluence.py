@@ -41,6 +41,37 @@ def normalize_candidates(
     )
 
 
+def candidate_extract(matrix: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Candidates from usable matrix cells and from approved technical scenarios.
+
+    ``matrix(symbol, id, eps_scenario, pe_id, status, target_price)``;
+    ``scenarios(symbol, anchor_set_id, rule_id, calculated_level)``.
+    """
+    eps, pe = F.col("id").cast("string"), F.col("pe_id")
+    cells = matrix.where((F.col("status") == "available") & F.col("target_price").isNotNull()).select(
+        "symbol",
+        F.concat_ws(":", F.lit("valuation"), eps, "eps_scenario", pe).alias("candidate_id"),
+        F.lit("VAL-01").alias("method_family"),
+        F.lit("target").alias("semantic_role"),
+        F.col("target_price").cast("decimal(18,4)").alias("price"),
+        F.array(eps, pe).alias("source_resource_ids"),
+        F.array(
+            F.concat(F.lit("forward_eps_revision:"), eps), F.concat(F.lit("pe_scenario_revision:"), pe)
+        ).alias("dependency_keys"),
+    )
+    anchor, rule = F.col("anchor_set_id").cast("string"), F.col("rule_id")
+    levels = scenarios.where(rule.isin("FB-03", K.SUPPORT_FAMILY) & F.col("calculated_level").isNotNull()).select(
+        "symbol",
+        F.concat_ws(":", F.lit("technical"), anchor, rule).alias("candidate_id"),
+        rule.alias("method_family"),
+        F.when(rule == K.SUPPORT_FAMILY, "support").otherwise("target").alias("semantic_role"),
+        F.col("calculated_level").cast("decimal(18,4)").alias("price"),
+        F.array(anchor).alias("source_resource_ids"),
+        F.array(F.concat(F.lit("anchor_revision:"), anchor)).alias("dependency_keys"),
+    )
+    return cells.unionByName(levels)
+
+
 def _bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width)).cast("bigint")
 

@@ -175,15 +175,11 @@ def provider_health(
         F.max_by("available_at", "logical_key").alias("last_eligible_revision_at"),
         F.max("logical_key").alias("last_eligible_logical_key"),
     )
-    # One row; attached through a constant key.
-    session = expected_session(calendar_revisions, cutoff).withColumn("_one", F.lit(1))
     out = (
-        resources.withColumn("_one", F.lit(1))
-        .join(latest, "resource_id", "left")
+        resources.join(latest, "resource_id", "left")
         .join(success, "resource_id", "left")
         .join(eligible, "resource_id", "left")
-        .join(session, "_one", "left")
-        .drop("_one")
+        .withColumn("latest_expected_trade_date", expected_session(calendar_revisions, cutoff).scalar())
     )
     return freshness_from_health(out, cutoff)
 

@@ -211,14 +211,12 @@ def realtime_wave(bars: DataFrame, cutoff: str) -> DataFrame:
 
 def hindsight_wave(bars: DataFrame) -> DataFrame:
     """First minimum close over the whole range and the highest close from there on."""
-    lowest = bars.where(F.col("close").isNotNull()).groupBy("symbol").agg(
-        F.min(F.struct("close", "date")).alias("m"), F.max("date").alias("latest_date")
+    whole = Window.partitionBy("symbol")
+    rows = bars.where(F.col("close").isNotNull()).withColumns(
+        {"p0": F.min("close").over(whole), "latest_date": F.max("date").over(whole)}
     )
-    base = lowest.select(
-        "symbol", F.col("m.close").alias("p0"), F.col("m.date").alias("pivot_date"), "latest_date"
-    )
-    after = bars.join(base, "symbol").where(F.col("date") >= F.col("pivot_date"))
-    g = after.groupBy("symbol", "p0", "pivot_date", "latest_date").agg(
+    rows = rows.withColumn("pivot_date", F.min(F.when(F.col("close") == F.col("p0"), F.col("date"))).over(whole))
+    g = rows.where(F.col("date") >= F.col("pivot_date")).groupBy("symbol", "p0", "pivot_date", "latest_date").agg(
         F.max("close").alias("p1"), F.count(F.lit(1)).alias("elapsed_bars")
     )
     g = g.withColumn("p2", F.round(F.col("p1") - (F.col("p1") - F.col("p0")) * K.WAVE_RETRACE, 2))

@@ -202,14 +202,17 @@ def profile_select(symbols: DataFrame, profiles: DataFrame, rule_id: str) -> Dat
     own = ok.where(F.col("scope") == "symbol").groupBy(F.col("scope_value").alias("symbol")).agg(
         F.count(F.lit(1)).alias("n_own"), F.min("id").alias("own_id")
     )
-    everywhere = ok.where(F.col("scope") == "global").groupBy(F.lit("global").alias("_scope")).agg(
-        F.count(F.lit(1)).alias("n_global"), F.min("id").alias("global_id")
-    )
+    everywhere = ok.where(F.col("scope") == "global")
     out = (
-        symbols.select("symbol", F.lit("global").alias("_scope"))
+        symbols.select("symbol")
         .join(own, "symbol", "left")
-        .join(everywhere, "_scope", "left")
-        .fillna(0, ["n_own", "n_global"])
+        .fillna(0, ["n_own"])
+        .withColumns(
+            {
+                "n_global": everywhere.agg(F.count(F.lit(1))).scalar(),
+                "global_id": everywhere.agg(F.min("id")).scalar(),
+            }
+        )
     )
     n = F.col("n_own") + F.col("n_global")
     return out.select(

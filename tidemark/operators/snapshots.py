@@ -26,6 +26,18 @@ def section_document(symbols: DataFrame, sections: Mapping[str, DataFrame]) -> D
     )
 
 
+def provenance_union(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """Dependencies of all sections in section order, one per section, type and resource.
+
+    Each input: ``(snapshot_id, resource_type, resource_id, position)``.
+    """
+    out = None
+    for i, (name, df) in enumerate(sections.items()):
+        part = df.withColumns({"section": F.lit(name), "position": F.col("position") + F.lit(i) * 1_000_000_000})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return dependency_dedupe(out)
+
+
 def dependency_dedupe(dependencies: DataFrame, keys: tuple[str, ...] = ("snapshot_id",)) -> DataFrame:
     """One dependency per section, type and resource; the last in section order wins."""
     return newest(dependencies, [*keys, "section", "resource_type", "resource_id"], ["position"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.operators import campaigns as cp, confluence as cf, outcomes as oc
+from tidemark.operators import campaigns as cp, confluence as cf, outcomes as oc, valuation as val
 from tidemark.plans import domain as d
-from tidemark.plans.domain_sql import half_up, with_views
+from tidemark.plans.domain_sql import exact, half_up, with_views
+from tidemark.plans.q_ledger import PE_EFF, STATES, approved_eps, symbol_pe
 from tidemark.plans.registry import query
 
 EV = {
@@ -190,6 +191,38 @@ def q_ranges(spark, sf_dir):
     return _norm(spark, sf_dir).select("symbol", "candidate_id", "semantic_role", "lo", "hi")
 
 
+@query(
+    "candidate_extract",
+    with_views(
+        "eps",
+        "approvals",
+        "pe",
+        extra={
+            **STATES,
+            **PE_EFF,
+            "long": """SELECT symbol, id, unnest(['low', 'base', 'high']) AS sc, unnest([eps_low, eps_base, eps_high]) AS v FROM states WHERE status = 'active' AND eligible""",
+            "cells": "SELECT l.symbol, l.id, sc, pe_id, " + half_up(exact("v") + " * " + exact("pe_value", 4), 4)
+            + " AS tp FROM long l JOIN pe_eff p ON p.scope = 'symbol' AND p.scope_value = l.symbol WHERE v > 0",
+            "sce": """SELECT 'C' || o_custkey AS symbol, o_orderkey AS a, CASE o_orderkey % 3 WHEN 0 THEN 'FB-03' WHEN 1 THEN 'FB-04' ELSE 'FB-05' END AS r,
+                (o_custkey % 100 + 50)::DOUBLE AS lv FROM orders""",
+        },
+        body="""SELECT symbol, 'valuation:' || id || ':' || sc || ':' || pe_id AS candidate_id, 'VAL-01' AS method_family, 'target' AS semantic_role, tp AS price,
+                id || ',' || pe_id AS source_resource_ids, 'forward_eps_revision:' || id || ',pe_scenario_revision:' || pe_id AS dependency_keys FROM cells
+            UNION ALL SELECT symbol, 'technical:' || a || ':' || r, r, CASE WHEN r = 'FB-04' THEN 'support' ELSE 'target' END, lv, a::VARCHAR, 'anchor_revision:' || a FROM sce WHERE r <> 'FB-05'""",
+    ),
+)
+def q_extract(spark, sf_dir):
+    matrix = val.eps_pe_matrix(approved_eps(spark, sf_dir), symbol_pe(spark, sf_dir))
+    k = F.col("o_orderkey")
+    scenarios = d.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"),
+        k.alias("anchor_set_id"),
+        F.when(k % 3 == 0, "FB-03").when(k % 3 == 1, "FB-04").otherwise("FB-05").alias("rule_id"),
+        (F.col("o_custkey") % 100 + 50).cast("double").alias("calculated_level"),
+    )
+    return cf.candidate_extract(matrix, scenarios)
+
+
 @query(
     "maximal_sets",
     with_views("candidates", extra=SETS, body="SELECT symbol, array_to_string(ids, ',') AS candidate_ids FROM mx"),

@@ -660,6 +660,22 @@ def q_dedupe(spark, sf_dir):
     return sn.dependency_dedupe(deps)
 
 
+@query(
+    "provenance_union",
+    """WITH x AS (SELECT o_custkey AS snapshot_id, 'valuation' AS section, o_orderstatus AS resource_type, o_orderkey % 50 AS resource_id, o_orderkey AS position FROM orders
+            UNION ALL SELECT o_custkey, 'screening', o_orderpriority, o_orderkey % 20, o_orderkey + 1000000000 FROM orders)
+        SELECT snapshot_id, section, resource_type, resource_id, max(position) AS position FROM x GROUP BY ALL""",
+)
+def q_provenance(spark, sf_dir):
+    o = d.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+
+    def part(kind, n):
+        return o.select(F.col("o_custkey").alias("snapshot_id"), F.col(kind).alias("resource_type"), (k % n).alias("resource_id"), k.alias("position"))
+
+    return sn.provenance_union({"valuation": part("o_orderstatus", 50), "screening": part("o_orderpriority", 20)})
+
+
 @query(
     "section_document",
     with_views(

@@ -388,12 +388,22 @@ GATE = {
 
 
 def _gate(spark, sf_dir):
-    metrics = _validation_metrics(spark, sf_dir)
-    legacy = metrics.where(F.col("candidate_id") == LEGACY).withColumnRenamed("candidate_id", "model")
-    chosen = _selected(spark, sf_dir).select(*KEYS)
-    adaptive = metrics.join(chosen, KEYS).drop("candidate_id").withColumn("model", F.lit("adaptive"))
+    chosen = _selected(spark, sf_dir).select("symbol", "window_no", F.col("candidate_id").alias("_chosen"))
+    # A candidate's result serves as the fixed model, as the selected one, or as both.
+    roles = F.array_compact(
+        F.array(
+            F.when(F.col("candidate_id") == LEGACY, F.lit(LEGACY)),
+            F.when(F.col("candidate_id") == F.col("_chosen"), F.lit("adaptive")),
+        )
+    )
+    models = (
+        _validation_metrics(spark, sf_dir)
+        .join(chosen, ["symbol", "window_no"])
+        .withColumn("model", F.explode(roles))
+        .drop("candidate_id", "_chosen")
+    )
     regimes = _regimes(spark, sf_dir)
-    by_regime = wf.regime_aggregate(legacy.unionByName(adaptive), regimes)
+    by_regime = wf.regime_aggregate(models, regimes)
     quality = d.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
         F.when(F.col("s_suppkey") % 5 != 0, "available").otherwise("quality_warning").alias("status"),
