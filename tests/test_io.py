@@ -129,6 +129,6 @@ def test_tranches_and_levels(spark):
 
 
 def test_noop_and_supersession(spark):
-    df = spark.createDataFrame([(1, "d", "x"), (2, "d", "x"), (3, "d", None), (4, "d", None), (5, "d", "x")], "id int, k string, s string")
-    assert rows(va.changed_only(df, ["k"], ["id"], ["s"]).select("id", "revision_number"), "id") == [(1, 1), (3, 2), (5, 3)]
-    assert rows(va.supersession(df, ["k"], ["id"], ["s"]).select("id", "supersedes_id"), "id") == [(1, None), (2, None), (3, 2), (4, None), (5, 4)]
+    df = spark.createDataFrame([(1, "d", "x"), (2, "d", "x"), (3, "d", None), (4, "d", None), (5, "d", "x")], "id int, k string, s string").withColumn("b", F.expr("id div 2"))
+    assert rows(va.changed_only(df, ["k"], ["id"], ["s"], "b").select("id", "revision_number"), "id") == [(1, 1), (3, 2), (5, 3)]
+    assert rows(va.supersession(df, ["k"], ["id"], ["s"], "b").select("id", "supersedes_id"), "id") == [(1, None), (2, None), (3, 2), (4, None), (5, 4)]

@@ -205,6 +205,16 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     return out.withColumn("_p", prev).select(*df.columns, *[F.col(f"_p.{v}").alias(f"prev_{v}") for v in values])
 
 
+def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str) -> DataFrame:
+    """Row number per key, for keys of any size: rank in the bucket plus the rows of earlier buckets."""
+    local = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = local.join(offsets, [*keys, bucket])
+    return out.withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_off")
+
+
 def explode_buckets(df: DataFrame, low: Column, high: Column, name: str = "_bucket") -> DataFrame:
     """One row per whole-number bucket an interval touches, for bucketed range joins."""
     return df.withColumn(name, F.explode(F.sequence(low, high)))

@@ -112,7 +112,7 @@ def maximal_sets(targets: DataFrame, width: float) -> DataFrame:
 def _family_dependencies(families: Sequence[str]) -> dict[str, Column]:
     """Aggregates: distinct dependency keys per method family (families are a short fixed list)."""
     return {
-        f: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("method_family") == f, F.col("dependency_keys")))))
+        f: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("method_family") == f, F.array_sort("dependency_keys")))))
         for f in families
     }
 

@@ -43,9 +43,10 @@ def falsy(c: Column) -> Column:
 
 
 def sma_deduction(bars: DataFrame, periods: tuple[int, ...] = K.MA_PERIODS) -> DataFrame:
-    """SMA, deduction value and slope flag for every period; null closes are dropped."""
+    """SMA, deduction value and slope flag for every period; missing closes are dropped."""
     w = by_symbol()
-    out = rolling_means(bars.where(F.col("close").isNotNull()), "close", {f"sma_{n}": n for n in periods}, w)
+    known = bars.where(F.col("close").isNotNull() & ~F.isnan("close"))
+    out = rolling_means(known, "close", {f"sma_{n}": n for n in periods}, w)
     out = out.withColumns({f"deduct_{n}": F.lag("close", n - 1).over(w) for n in periods})
     return out.withColumns({f"slope_up_{n}": falsy(F.col("close") > F.col(f"deduct_{n}")) for n in periods})
 

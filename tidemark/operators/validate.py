@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import first_reason
+from tidemark.operators.asof import bucketed_lag, bucketed_rank
 
 MIN_OBSERVATIONS = 20
 
@@ -131,24 +132,27 @@ def valuation_rules() -> dict[str, Column]:
     }
 
 
-def changed_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str]) -> DataFrame:
+def changed_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str], bucket: str) -> DataFrame:
     """Drop revisions that repeat the previous state of their key; renumber what is left.
 
-    A key is one calendar day or one provider item, whose revisions are few.
+    ``bucket`` is a column monotone in the order (an hour, a day): the rows of
+    one key are ordered per bucket, so a key of any size is spread.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    state = F.struct(*watched)
-    before = F.lag(state).over(w)
-    out = df.withColumn("_new", (F.row_number().over(w) == 1) | ~state.eqNullSafe(before)).where("_new").drop("_new")
-    return out.withColumn("revision_number", F.row_number().over(w))
+    rows = df.withColumn("_some", F.lit(True))
+    rows = bucketed_lag(rows, keys, bucket, order, ["_some", *watched])
+    same = F.struct(*watched).eqNullSafe(F.struct(*[F.col(f"prev_{c}").alias(c) for c in watched]))
+    kept = rows.where(F.col("prev__some").isNull() | ~same).select(*df.columns)
+    return bucketed_rank(kept, keys, bucket, order, "revision_number")
 
 
-def supersession(raw: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str], id_col: str = "id") -> DataFrame:
+def supersession(
+    raw: DataFrame, keys: Sequence[str], order: Sequence[str], watched: Sequence[str], bucket: str, id_col: str = "id"
+) -> DataFrame:
     """Link each raw revision to the one it supersedes: the previous one, if anything watched changed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    state = F.struct(*watched)
-    prev, prev_id = F.lag(state).over(w), F.lag(id_col).over(w)
-    return raw.withColumn("supersedes_id", F.when(prev_id.isNotNull() & ~state.eqNullSafe(prev), prev_id))
+    rows = bucketed_lag(raw, keys, bucket, order, [id_col, *watched])
+    same = F.struct(*watched).eqNullSafe(F.struct(*[F.col(f"prev_{c}").alias(c) for c in watched]))
+    linked = F.when(F.col(f"prev_{id_col}").isNotNull() & ~same, F.col(f"prev_{id_col}"))
+    return rows.select(*raw.columns, linked.alias("supersedes_id"))
 
 
 def ingest_metrics(items: DataFrame) -> DataFrame:

@@ -283,7 +283,8 @@ def q_noop(spark, sf_dir):
         "ts",
         F.when(t.isin("view", "click"), "trading").when(t == "error", "holiday").otherwise("special").alias("status"),
     )
-    return va.changed_only(s, ["user_id", "trade_date"], ["ts", "event_id"], ["status"]).drop("ts")
+    s = s.withColumn("hour", F.date_trunc("hour", "ts"))
+    return va.changed_only(s, ["user_id", "trade_date"], ["ts", "event_id"], ["status"], "hour").drop("ts", "hour")
 
 
 @query(
@@ -299,7 +300,8 @@ def q_noop(spark, sf_dir):
 )
 def q_supersession(spark, sf_dir):
     r = d.run_items(spark, sf_dir).withColumn("day", F.col("started_at").cast("date"))
-    out = va.supersession(r, ["resource_id", "day"], ["started_at", "item_id"], ["status"], "item_id")
+    r = r.withColumn("hour", F.date_trunc("hour", "started_at"))
+    out = va.supersession(r, ["resource_id", "day"], ["started_at", "item_id"], ["status"], "hour", "item_id")
     return out.select("item_id", "resource_id", "status", "supersedes_id")
 
 

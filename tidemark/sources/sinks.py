@@ -39,9 +39,14 @@ def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     content is appended once.  A key seen before, or twice in the batch, with
     other content is a conflict.
     """
-    known = existing.select("fingerprint").distinct().withColumn("_known", F.lit(True))
-    taken = existing.select("idempotency_key", F.col("fingerprint").alias("_old")).distinct()
-    by_key = taken.groupBy("idempotency_key").agg(F.min("_old").alias("_old"))
+    # Only ledger rows that the batch names matter; a small batch is broadcast and the ledger is not shuffled.
+    named_content = incoming.select("fingerprint").distinct()
+    named_keys = incoming.select("idempotency_key").distinct()
+    known = (
+        existing.select("fingerprint").join(named_content, "fingerprint", "left_semi").distinct().withColumn("_known", F.lit(True))
+    )
+    taken = existing.select("idempotency_key", F.col("fingerprint").alias("_old"))
+    by_key = taken.join(named_keys, "idempotency_key", "left_semi").groupBy("idempotency_key").agg(F.min("_old").alias("_old"))
     once = newest(incoming, ["fingerprint"], ["idempotency_key"])
     in_batch = once.groupBy("idempotency_key").agg(F.min("fingerprint").alias("_first"))
     rows = (
@@ -76,7 +81,8 @@ def write_results(tables: Mapping[str, DataFrame], path: str, run_id: str, fmt:
 def write_snapshot(panel: DataFrame, ledgers: Mapping[str, DataFrame], path: str) -> None:
     """Reconciled panel by year, and its ledgers of adjustments and open days."""
     base = path.rstrip("/")
-    panel.withColumn("year", F.year("date")).repartition("year").sortWithinPartitions("symbol", "date").write.mode(
+    # Ranges of (year, symbol) split a large year over many tasks and files.
+    panel.withColumn("year", F.year("date")).repartitionByRange("year", "symbol").sortWithinPartitions("year", "symbol", "date").write.mode(
         "errorifexists"
     ).partitionBy("year").parquet(f"{base}/panel")
     for name, df in ledgers.items():
