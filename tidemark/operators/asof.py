@@ -196,8 +196,11 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     """
     row = F.struct(*values)
     w = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = df.withColumns({"_prev": F.lag(row).over(w), "_pos": F.row_number().over(w)})
-    tails = df.groupBy(*keys, bucket).agg(F.max_by(row, F.struct(*order)).alias("_tail"))
+    local = df.withColumns(
+        {"_prev": F.lag(row).over(w), "_pos": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()}
+    )
+    # The summary reads the same shuffled rows: the last one of each bucket.
+    tails = local.where("_end").select(*keys, bucket, row.alias("_tail"))
     before = Window.partitionBy(*keys).orderBy(bucket)
     inherited = tails.select(*keys, bucket, F.lag("_tail").over(before).alias("_inherit"))
     out = local.join(inherited, [*keys, bucket], "left")
@@ -207,12 +210,13 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
 
 def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str) -> DataFrame:
     """Row number per key, for keys of any size: rank in the bucket plus the rows of earlier buckets."""
-    local = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
-    counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys, bucket).orderBy(*order)
+    local = df.withColumns({"_at": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()})
+    counts = local.where("_end").select(*keys, bucket, F.col("_at").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     out = local.join(offsets, [*keys, bucket])
-    return out.withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_off")
+    return out.withColumn(name, F.col("_at") + F.col("_off")).drop("_at", "_off", "_end")
 
 
 def explode_buckets(df: DataFrame, low: Column, high: Column, name: str = "_bucket") -> DataFrame:

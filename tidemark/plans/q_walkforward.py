@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.operators import quality as qa, walkforward as wf
+from tidemark.operators import walkforward as wf
 from tidemark.plans import domain as d
 from tidemark.plans.domain_sql import half_up, with_views
 from tidemark.plans.q_panel import _RES, _SMA_CTE
 from tidemark.plans.registry import query
+from tidemark.session import settle
 
 # The panel has about 80 bars a year per symbol, so the bar counts are scaled.
 MONTHS, WARMUP, MIN_BARS = 12, 144, 60
@@ -40,12 +41,19 @@ WB = {
 }
 
 
-def _wb(spark, sf_dir):
-    return wf.windowed_bars(d.bars(spark, sf_dir), MONTHS, WARMUP, MIN_BARS)
+def _study(spark, sf_dir):
+    """Bars of all validation windows with every candidate's position."""
+    rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
+    return wf.windowed_bars(wf.crossover_signals(rows, CANDIDATES), MONTHS, WARMUP, MIN_BARS)
+
+
+def _shared_study(spark, sf_dir):
+    """The same, written once because several models and tables read it."""
+    return settle(_study(spark, sf_dir))
 
 
-def _windows(spark, sf_dir):
-    return wf.walk_forward_windows(_wb(spark, sf_dir), WARMUP)
+def _windows(study):
+    return wf.walk_forward_windows(study, WARMUP)
 
 
 @query(
@@ -59,7 +67,7 @@ def _windows(spark, sf_dir):
     ),
 )
 def q_windows(spark, sf_dir):
-    return _windows(spark, sf_dir)
+    return _windows(_study(spark, sf_dir))
 
 
 SLICES = {
@@ -75,7 +83,7 @@ SLICES = {
     with_views("bars", extra=SLICES, body="SELECT * FROM slices"),
 )
 def q_slices(spark, sf_dir):
-    return wf.training_slices(_windows(spark, sf_dir), TRAIN, TRAIN_WARM, TRAIN_MIN)
+    return wf.training_slices(_windows(_study(spark, sf_dir)), TRAIN, TRAIN_WARM, TRAIN_MIN)
 
 
 @query(
@@ -89,7 +97,7 @@ def q_slices(spark, sf_dir):
     ),
 )
 def q_feasible(spark, sf_dir):
-    return wf.capital_feasibility(_windows(spark, sf_dir), CASH)
+    return wf.capital_feasibility(_windows(_study(spark, sf_dir)), CASH)
 
 
 def _positions_sql() -> dict[str, str]:
@@ -149,15 +157,13 @@ VALID = {
 }
 
 
-def _validation_equity(spark, sf_dir):
-    rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
-    chosen = wf.windowed_bars(wf.crossover_signals(rows, CANDIDATES), MONTHS, WARMUP, MIN_BARS)
-    held = wf.each_candidate(chosen).select(*KEYS, "date", "open", "close", "pos")
+def _validation_equity(study):
+    held = wf.each_candidate(study).select(*KEYS, "date", "open", "close", "pos")
     return wf.position_equity(held, KEYS)
 
 
-def _validation_metrics(spark, sf_dir):
-    return wf.risk_metrics(_validation_equity(spark, sf_dir), KEYS)
+def _validation_metrics(study):
+    return wf.risk_metrics(_validation_equity(study), KEYS)
 
 
 @query(
@@ -171,13 +177,13 @@ def _validation_metrics(spark, sf_dir):
     ),
 )
 def q_segments(spark, sf_dir):
-    out = wf.crossover_trades(_validation_equity(spark, sf_dir), KEYS)
+    out = wf.crossover_trades(_validation_equity(_study(spark, sf_dir)), KEYS)
     return out.withColumn("trade_return", wf.half_up("trade_return", 6))
 
 
 @query("risk_metrics", with_views("bars", extra=VALID, body="SELECT * FROM vr"))
 def q_risk(spark, sf_dir):
-    return _validation_metrics(spark, sf_dir)
+    return _validation_metrics(_study(spark, sf_dir))
 
 
 BH = {
@@ -192,14 +198,14 @@ BH = {
 }
 
 
-def _bh_metrics(spark, sf_dir):
-    rows = wf.windowed_bars(d.bars(spark, sf_dir).select("symbol", "date", "open", "close"), MONTHS, WARMUP, MIN_BARS)
+def _bh_metrics(study):
+    rows = study.select("symbol", "window_no", "date", "open", "close")
     return wf.risk_metrics(wf.buy_and_hold_equity(rows, CASH), ["symbol", "window_no"])
 
 
 @query("buy_and_hold_eval", with_views("bars", extra=BH, body="SELECT * FROM hr"))
 def q_bh(spark, sf_dir):
-    return _bh_metrics(spark, sf_dir)
+    return _bh_metrics(_study(spark, sf_dir))
 
 
 REGIME = {
@@ -211,13 +217,13 @@ REGIME = {
 }
 
 
-def _regimes(spark, sf_dir):
-    return wf.market_regime(_windows(spark, sf_dir), d.benchmark(spark, sf_dir), REGIME_LIMIT)
+def _regimes(spark, sf_dir, study):
+    return wf.market_regime(_windows(study), d.benchmark(spark, sf_dir), REGIME_LIMIT)
 
 
 @query("market_regime", with_views("bars", "bench", extra=REGIME, body="SELECT * FROM regimes"))
 def q_regime(spark, sf_dir):
-    return _regimes(spark, sf_dir)
+    return _regimes(spark, sf_dir, _shared_study(spark, sf_dir))
 
 
 AGG = f"""count(total_return_pct) AS window_count, count(*) AS requested_window_count,
@@ -238,12 +244,10 @@ MODELS = {
 }
 
 
-def _results(spark, sf_dir):
+def _results(study):
     """Metrics of all models per window; a window a model cannot trade keeps an empty row."""
-    cross = _validation_metrics(spark, sf_dir).withColumnRenamed("candidate_id", "model")
-    hold = _windows(spark, sf_dir).select("symbol", "window_no").join(
-        _bh_metrics(spark, sf_dir), ["symbol", "window_no"], "left"
-    )
+    cross = _validation_metrics(study).withColumnRenamed("candidate_id", "model")
+    hold = _windows(study).select("symbol", "window_no").join(_bh_metrics(study), ["symbol", "window_no"], "left")
     return cross.unionByName(hold.withColumn("model", F.lit("buy_and_hold")))
 
 
@@ -252,7 +256,7 @@ def _results(spark, sf_dir):
     with_views("bars", extra=MODELS, body=f"SELECT symbol, model, {AGG} FROM results GROUP BY symbol, model"),
 )
 def q_aggregate(spark, sf_dir):
-    return wf.window_aggregate(_results(spark, sf_dir))
+    return wf.window_aggregate(_results(_shared_study(spark, sf_dir)))
 
 
 BYREG = {
@@ -266,7 +270,8 @@ BYREG = {
 
 @query("regime_aggregate", with_views("bars", "bench", extra=BYREG, body="SELECT * FROM byreg"))
 def q_regime_aggregate(spark, sf_dir):
-    return wf.regime_aggregate(_results(spark, sf_dir), _regimes(spark, sf_dir))
+    study = _shared_study(spark, sf_dir)
+    return wf.regime_aggregate(_results(study), _regimes(spark, sf_dir, study))
 
 
 @query(
@@ -285,7 +290,7 @@ def q_regime_aggregate(spark, sf_dir):
     ),
 )
 def q_excess(spark, sf_dir):
-    agg = wf.window_aggregate(_results(spark, sf_dir))
+    agg = wf.window_aggregate(_results(_shared_study(spark, sf_dir)))
     return wf.excess_returns(agg, "sma_8_21", ("buy_and_hold", "sma_5_13"))
 
 
@@ -300,9 +305,9 @@ TRAINED = {
 }
 
 
-def _training_metrics(spark, sf_dir):
+def _training_metrics(spark, sf_dir, study):
     rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
-    slices = wf.training_slices(_windows(spark, sf_dir), TRAIN, TRAIN_WARM, TRAIN_MIN)
+    slices = wf.training_slices(_windows(study), TRAIN, TRAIN_WARM, TRAIN_MIN)
     held = wf.each_candidate(wf.slice_bars(wf.crossover_signals(wf.indexed(rows), CANDIDATES), slices))
     equity = wf.position_equity(held.select(*KEYS, "date", "open", "close", "pos"), KEYS)
     return wf.risk_metrics(equity, KEYS)
@@ -319,7 +324,7 @@ SENS = {
 
 @query("sensitivity_summary", with_views("bars", extra=SENS, body="SELECT * FROM sens"))
 def q_sensitivity(spark, sf_dir):
-    return wf.sensitivity_summary(_training_metrics(spark, sf_dir))
+    return wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir)))
 
 
 @query(
@@ -333,7 +338,7 @@ def q_sensitivity(spark, sf_dir):
     ),
 )
 def q_spread(spark, sf_dir):
-    return wf.sensitivity_spread(wf.sensitivity_summary(_training_metrics(spark, sf_dir)))
+    return wf.sensitivity_spread(wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir))))
 
 
 SELECTED = {
@@ -351,15 +356,15 @@ SELECTED = {
 }
 
 
-def _selected(spark, sf_dir):
+def _selected(spark, sf_dir, study):
     return wf.profile_selection(
-        _windows(spark, sf_dir), _training_metrics(spark, sf_dir), LEGACY, MAX_DD, MIN_TRADES
+        _windows(study), _training_metrics(spark, sf_dir, study), LEGACY, MAX_DD, MIN_TRADES
     )
 
 
 @query("profile_selection", with_views("bars", extra=SELECTED, body="SELECT * FROM selected"))
 def q_selection(spark, sf_dir):
-    return _selected(spark, sf_dir)
+    return _selected(spark, sf_dir, _shared_study(spark, sf_dir))
 
 
 GATE_LIMITS = {"max_mdd": 45.0, "min_bear_return": -20.0, "max_bear_mdd": 30.0}
@@ -388,7 +393,8 @@ GATE = {
 
 
 def _gate(spark, sf_dir):
-    chosen = _selected(spark, sf_dir).select("symbol", "window_no", F.col("candidate_id").alias("_chosen"))
+    study = _shared_study(spark, sf_dir)
+    chosen = _selected(spark, sf_dir, study).select("symbol", "window_no", F.col("candidate_id").alias("_chosen"))
     # A candidate's result serves as the fixed model, as the selected one, or as both.
     roles = F.array_compact(
         F.array(
@@ -397,12 +403,12 @@ def _gate(spark, sf_dir):
         )
     )
     models = (
-        _validation_metrics(spark, sf_dir)
+        _validation_metrics(study)
         .join(chosen, ["symbol", "window_no"])
         .withColumn("model", F.explode(roles))
         .drop("candidate_id", "_chosen")
     )
-    regimes = _regimes(spark, sf_dir)
+    regimes = _regimes(spark, sf_dir, study)
     by_regime = wf.regime_aggregate(models, regimes)
     quality = d.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
