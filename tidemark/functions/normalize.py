@@ -21,7 +21,7 @@ def normalize_symbol(c: Column) -> Column:
 def cost_model(c: Column) -> Column:
     """Sales tax, lot size and instrument type of a symbol, with the common rates."""
     s = normalize_symbol(c)
-    index, fund = s.startswith("^"), F.element_at(F.split(s, "\\."), 1).startswith("00")
+    index, fund = s.startswith("^"), s.startswith("00")
     return F.struct(
         F.when(index | fund, F.lit(K.FUND_TAX_RATE)).otherwise(F.lit(K.STOCK_TAX_RATE)).alias("sales_tax_rate"),
         F.when(index, F.lit(1)).otherwise(F.lit(K.BOARD_LOT)).alias("lot_size"),

@@ -227,4 +227,4 @@ def explained_days(explained: DataFrame, benchmark_only: DataFrame, start: str,
 
 def symbol_code(c: Column) -> Column:
     """Exchange code without its market suffix."""
-    return F.element_at(F.split(c, "\\."), 1)
+    return F.substring_index(c, ".", 1)
