@@ -75,7 +75,8 @@ def test_dimensions(spark):
     assert dm.dimension_defects(rules.union(rules.limit(1)), "rule_id").count() == 1
 
 
-def test_stream_append_is_idempotent_over_restarts(spark, tmp_path):
+@pytest.mark.parametrize("delay", [None, "1 hour"])
+def test_stream_append_is_idempotent_over_restarts(spark, tmp_path, delay):
     schema = "id int, value double, ingested_at timestamp"
     base = str(tmp_path)
 
@@ -85,7 +86,7 @@ def test_stream_append_is_idempotent_over_restarts(spark, tmp_path):
     def run():
         s = st.file_stream(spark, f"{base}/in", schema)
         s = s.withColumns({"fingerprint": fingerprint(F.concat_ws("|", "id", "value")), "idempotency_key": F.col("id").cast("string")})
-        st.ledger_append(s, {"value_not_positive": F.col("value") <= 0}, f"{base}/ledger", f"{base}/rejects", f"{base}/ck").awaitTermination()
+        st.ledger_append(s, {"value_not_positive": F.col("value") <= 0}, f"{base}/ledger", f"{base}/rejects", f"{base}/ck", delay).awaitTermination()
 
     at = dt.datetime(2024, 1, 1)
     land([(1, 1.0, at), (2, -1.0, at), (1, 1.0, at)])

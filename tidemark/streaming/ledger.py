@@ -40,15 +40,17 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
 
 
 def ledger_append(
-    stream: DataFrame, rules: Mapping[str, Column], ledger: str, rejects: str, checkpoint: str, delay: str = "1 hour"
+    stream: DataFrame, rules: Mapping[str, Column], ledger: str, rejects: str, checkpoint: str, delay: str | None = None
 ) -> StreamingQuery:
     """Validate, drop repeats, append new content; rejected and conflicting rows go aside.
 
     The stream carries ``fingerprint``, ``idempotency_key`` and ``ingested_at``.
-    Repeats within the delay are dropped by the stream's own state; older ones
-    by the anti-join with the ledger, which reads two columns only.
+    Repeats are dropped within the batch and against the ledger, of which two
+    columns are read.  With a ``delay``, the stream's own state already drops
+    what repeats within it, for sources that deliver many late copies.
     """
-    unique = stream.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["fingerprint", "idempotency_key"])
+    key = ["fingerprint", "idempotency_key"]
+    unique = stream.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(key) if delay else stream
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
@@ -57,8 +59,8 @@ def ledger_append(
         refused = bad.unionByName(
             decided.where("decision = 'conflict'").drop("decision").withColumn("reasons", F.array(F.lit("idempotency_conflict")))
         )
-        known = _table(spark, rejects, refused).select("fingerprint", "idempotency_key")
-        refused.join(known, ["fingerprint", "idempotency_key"], "left_anti").write.mode("append").parquet(rejects)
+        known = _table(spark, rejects, refused).select(*key)
+        refused.dropDuplicates(key).join(known, key, "left_anti").write.mode("append").parquet(rejects)
         decided.where("decision = 'append'").drop("decision").write.mode("append").parquet(ledger)
         decided.unpersist()
 
