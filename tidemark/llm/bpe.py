@@ -184,10 +184,10 @@ def decode(ids: Column, shared: SharedVocabulary) -> Column:
     @F.arrow_udf(T.StringType())
     def run(lists: pa.Array) -> pa.Array:
         strings = pa.array(shared.value.value.strings, pa.large_string())
-        out = []
+        space, out = pa.scalar(" ", pa.large_string()), []
         for row in lists:
             found = strings.take(row.values)
-            out.append(pc.binary_join(pa.LargeListArray.from_arrays([0, len(found)], found), " ")[0].as_py())
+            out.append(pc.binary_join(pa.ListArray.from_arrays([0, len(found)], found), space)[0].as_py())
         return pa.array(out, pa.string())
 
     return run(F.coalesce(ids, F.array().cast("array<int>")))
