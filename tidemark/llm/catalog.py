@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, quality, toxicity
+from tidemark.llm.embedding_dedup import embedding_near_dups
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.tables import table
@@ -53,6 +55,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dups(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -60,6 +70,8 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_html_extract": op9_html_extract,
 }
 
 ORACLES = {
