@@ -9,6 +9,7 @@ from tidemark.llm import bpe, quality, toxicity
 from tidemark.llm.embedding_dedup import embedding_near_dups
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.html_extract import extract_main_text
+from tidemark.llm.language_id import identify_languages
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.tables import table
@@ -55,6 +56,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dups(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extract": op9_html_extract,
 }
