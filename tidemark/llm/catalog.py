@@ -12,6 +12,7 @@ from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
+from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.tables import table
 
 
@@ -68,6 +69,10 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +83,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extract": op9_html_extract,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {
