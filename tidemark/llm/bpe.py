@@ -18,6 +18,7 @@ import heapq
 import json
 import unicodedata
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.tables import whole_text
 
-PIECES_KEPT = 300_000  # per Python worker
+PIECES_KEPT = 200_000  # per Python worker
 
 
 def byte_alphabet() -> list[str]:
@@ -101,14 +102,29 @@ def merge_piece(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int
     return [s for s in symbols if s >= 0]
 
 
+class Chunks(dict):
+    """Ids of the chunks seen last."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        self[chunk] = packed = self.encode(chunk)
+        return packed
+
+
 class Encoder:
     """Encodes whole texts; keeps the pieces seen last."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.strings = pa.array(vocabulary.strings, pa.large_string())
         self.piece = regex.compile(vocabulary.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Chunks(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids (int32) of a stretch without white space."""
@@ -116,16 +132,12 @@ class Encoder:
         for piece in self.piece.findall(chunk):
             raw = piece.encode()
             out += merge_piece([*(v.first[b] for b in raw[:-1]), v.final[raw[-1]]], v.merges)
-        if len(self.chunks) >= PIECES_KEPT:
-            self.chunks.clear()
-        self.chunks[chunk] = packed = np.array(out, np.int32).tobytes()
-        return packed
+        return np.array(out, np.int32).tobytes()
 
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
         chunks = text.split() if text.isprintable() or not regex.search(r"[\x1c-\x1f]", text) else regex.split(r"\s+", text)
-        known = self.chunks
-        return b"".join([known[c] if c in known else self._chunk(c) for c in chunks])
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as packed int32; strings of special tokens in the text give their ids."""
@@ -157,6 +169,20 @@ def share_vocabulary(spark: SparkSession, path: str) -> SharedVocabulary:
     return SharedVocabulary(spark.sparkContext.broadcast(read_vocabulary(path)), uuid.uuid4().hex)
 
 
+def _encoded(texts: pa.Array, shared: SharedVocabulary) -> pa.Array:
+    encoder = shared.encoder()
+    packed = [encoder.encode(t) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _decoded(lists: pa.Array, shared: SharedVocabulary) -> pa.Array:
+    strings = shared.encoder().strings
+    space = pa.scalar(" ", pa.large_string())
+    rows = (strings.take(row.values) for row in lists)
+    return pa.array([pc.binary_join(pa.ListArray.from_arrays([0, len(r)], r), space)[0].as_py() for r in rows], pa.string())
+
+
 def encode(text: Column, shared: SharedVocabulary) -> Column:
     """Token ids (array of int) of a text column; null and empty texts give an empty array.
 
@@ -166,11 +192,7 @@ def encode(text: Column, shared: SharedVocabulary) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(texts: pa.Array) -> pa.Array:
-        encoder = shared.encoder()
-        packed = [encoder.encode(t) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-        values = np.frombuffer(b"".join(packed), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        return _encoded(texts, shared)
 
     return run(whole_text(text))
 
@@ -183,16 +205,25 @@ def decode(ids: Column, shared: SharedVocabulary) -> Column:
 
     @F.arrow_udf(T.StringType())
     def run(lists: pa.Array) -> pa.Array:
-        strings = pa.array(shared.value.value.strings, pa.large_string())
-        space, out = pa.scalar(" ", pa.large_string()), []
-        for row in lists:
-            found = strings.take(row.values)
-            out.append(pc.binary_join(pa.ListArray.from_arrays([0, len(found)], found), space)[0].as_py())
-        return pa.array(out, pa.string())
+        return _decoded(lists, shared)
 
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+
+def round_trip(text: Column, shared: SharedVocabulary) -> Column:
+    """Struct of the ids of a text and of what they decode to, in one pass through the workers."""
+
+    @F.arrow_udf(ROUND_TRIP)
+    def run(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, shared)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, shared)], names=["ids", "decoded"])
+
+    return run(whole_text(text))
+
+
 def ids_text(ids: Column) -> Column:
     """Decimal ids joined by one space."""
     return F.array_join(ids.cast("array<string>"), " ")

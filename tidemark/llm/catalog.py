@@ -39,8 +39,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     shared = bpe.share_vocabulary(spark, vocabulary or default_vocabulary())
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), shared).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), shared).alias("decoded"))
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), shared).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
