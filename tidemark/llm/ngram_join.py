@@ -31,7 +31,6 @@ not sought: the result is the component.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +55,6 @@ STAR = 64  # members verified against one copy of their centre
 BROADCAST_ROWS = 500_000
 WORDS_KEPT = 200_000
 
-_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x100000001B3)
 
@@ -73,16 +70,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit hash, for the words seen last."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(errors="replace"), digest_size=8).digest(), "little")
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
 
 
 def shingles(text: str | None, known: Words) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; shorter texts are one shingle, no words are none."""
-    words = _SPLIT.findall((text or "").translate(_LOWER) if not (text or "").isascii() else text.lower())
+    words = (text or "").encode(errors="replace").lower().split()  # bytes: A-Z and ASCII white space only
     h = np.fromiter((known[w] for w in words), np.uint64, len(words))
     if not len(h):
         return h
