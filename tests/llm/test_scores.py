@@ -130,13 +130,14 @@ PAGES = [
     ("http://a.example/2", "<html><body><nav>m2</nav><div class='top'>Site name</div><div class=post><p>Other text</div><div class='sidebar'>t</div></body>"),
     ("http://a.example/3", "<html><body><nav>m3</nav><div class='top'>Site name</div><div class=post><p>Third text<p>more</div><div id='comments'>c</div></body>"),
     ("http://a.example/4", "<html><body><nav>m4</nav><div class='top'>Site name</div><div class=post><p>Fourth</div><footer>x</footer></body>"),
+    *((f"http://a.example/{k}", f"<html><body><nav>m{k}</nav><div class='top'>Site name</div><div class=post><p>Text {k}</div></body>") for k in range(5, 9)),
     ("https://b.example/", "<body><header>H</header><article><header><h1>T</h1></header><p>x\n\t y<script>var a='</p>'</script><aside>no</aside><ul><li>i<li>j</ul><article class='comment'>reader</article></article><div>out</div>"),
     (None, None),
     ("not an address", ""),
     ("http://c.example", "plain < 3 & text <!-- never ends"),
     ("http://d.example", "<div>" * 4000 + "deep" + "</div>" * 4000),
 ]
-TEXTS = ["First & one\n\nsecond bold line", "Other text", "Third text\n\nmore", "Fourth", "T\n\nx y\n\ni\n\nj", "", "", "plain < 3 & text", "deep"]
+TEXTS = ["First & one\n\nsecond bold line", "Other text", "Third text\n\nmore", "Fourth", "Text 5", "Text 6", "Text 7", "Text 8", "T\n\nx y\n\ni\n\nj", "", "", "plain < 3 & text", "deep"]
 
 
 def test_html_extraction(spark):
