@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.tables import settle
+from tidemark.llm.tables import settle, shared_if_small, stored
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity: DEN * intersection >= NUM * union
@@ -50,13 +50,13 @@ HOT = 100  # documents from which a hash counts as frequent
 HOT_KEPT = 1 << 20  # frequent hashes that steer the order at most: 8 MB
 CHUNK = 4_000_000  # hashes counted at a time
 BLOCK = 256
-SKETCH_BITS = 512
+LEAST_BITS = 128  # of a sketch
+PAIRS_AT_ONCE = 100_000
 STAR = 64  # members verified against one copy of their centre
-BROADCAST_ROWS = 500_000
 WORDS_KEPT = 200_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_STEP = np.uint64(0x100000001B3)
+_PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,10 +85,12 @@ def shingles(text: str | None, known: Words) -> np.ndarray:
         return h
     with np.errstate(over="ignore"):
         span = min(WORDS, len(h))
-        out = np.full(len(h) - span + 1, np.uint64(span))
-        for k in range(span):
-            out = mix(out * _STEP + h[k : len(h) - span + 1 + k])
-    return np.unique(out)
+        out = h[: len(h) - span + 1] * _PLACES[0]
+        for k in range(1, span):
+            out += h[k : len(h) - span + 1 + k] * _PLACES[k]
+        out = mix(out + np.uint64(span))
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_names(tokens: np.ndarray) -> tuple[int, int]:
@@ -98,8 +100,36 @@ def set_names(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the elements per bit: two sketches differ in as many bits as the sets in elements at most."""
-    return np.packbits((np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the elements per bit: two sketches differ in as many bits as the sets in elements at most.
+
+    A set of n has the first power of two from n bits; the larger of two is
+    folded to the size of the smaller.
+    """
+    size = max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch as words, folded to ``size`` bytes."""
+    whole = np.frombuffer(bits, np.uint64)
+    return np.bitwise_xor.reduce(whole.reshape(-1, size // 8), axis=0) if len(bits) > size else whole
+
+
+def plausible(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows the sketches do not rule out."""
+    size = np.array([len(b) for b in bits])
+    least = np.minimum(size[i], size[j])
+    near = np.zeros(len(i), bool)
+    for s in np.unique(least):
+        own = np.flatnonzero(least == s)
+        used, place = np.unique(np.concatenate((i[own], j[own])), return_inverse=True)
+        words = np.stack([folded(bits[k], s) for k in used])
+        a, b = place[: len(own)], place[len(own) :]
+        for at in range(0, len(own), PAIRS_AT_ONCE):
+            part = slice(at, at + PAIRS_AT_ONCE)
+            apart = np.bitwise_count(words[a[part]] ^ words[b[part]]).sum(axis=1, dtype=np.int64)
+            near[own[part]] = apart <= most_apart(n[i[own[part]]], n[j[own[part]]])
+    return near
 
 
 def most_apart(n, other):
@@ -139,6 +169,11 @@ def signatures(tokens: np.ndarray, hot: Hot) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _least(cost: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least costs, in any order."""
+    return np.argpartition(cost, k - 1)[:k] if k < len(cost) else np.arange(len(cost))
+
+
 def _band_signatures(tokens: np.ndarray, hot: Hot, band: int, apart: int) -> np.ndarray:
     segments = max(1, int(SEGMENTS_PER_ELEMENT * 4 ** (band + 1)))
     segment = ((tokens >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)  # grows with the hash
@@ -149,10 +184,12 @@ def _band_signatures(tokens: np.ndarray, hot: Hot, band: int, apart: int) -> np.
         content = np.add.reduceat(scattered, starts)
         size = np.diff(np.append(starts, len(tokens)))
         all_hot = np.add.reduceat(frequent.astype(np.int64), starts) == size
-        picked = np.lexsort((segment[starts], -size, all_hot))[: apart + 1]
+        # One number per segment orders by cost: frequent last, larger first, then by place.
+        cost = (all_hot.astype(np.uint64) << np.uint64(63)) | ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(48)) | segment[starts]
+        picked = _least(cost, apart + 1)
         named = mix(content[picked] ^ mix(segment[starts][picked] + np.uint64((band + 1) << 40)))
         if len(starts) <= apart:  # too few segments for the pigeonhole: go on with single elements
-            single = np.lexsort((tokens, frequent))[: apart + 1]
+            single = _least((tokens >> np.uint64(1)) | (frequent.astype(np.uint64) << np.uint64(63)), apart + 1)
             named = np.concatenate((named, mix(scattered[single] + np.uint64((band + 1) << 50))))
     return named
 
@@ -274,13 +311,29 @@ def verify(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("members")).withColumn("salts", F.ceil(F.col("members") / STAR).cast("int"))
     members = pairs.join(degree, "b").select(F.col("a").alias("sid"), F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = degree.select(F.col("b").alias("sid"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = settle(members.unionByName(centres).join(names, "sid"))
-    small = wanted.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("centre", "salt", "role", "sid", "text")
+    wanted = stored(members.unionByName(centres).join(names, "sid"), "wanted")
+    rows = docs.join(shared_if_small(wanted), "doc_id").select("centre", "salt", "role", "sid", "text")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
     return rows.mapInArrow(_verify, "a bigint, b bigint").distinct()
 
 
+def _rule_out(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate((batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()))
+            bits = batch.column("sketch_a").to_pylist() + batch.column("sketch_b").to_pylist()
+            i = np.flatnonzero(DEN * np.minimum(n[:k], n[k:]) >= NUM * np.maximum(n[:k], n[k:]))
+            keep = pa.array(i[plausible(bits, n, i, i + k)])
+            yield pa.record_batch([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in a unit that size and sketch do not rule out."""
     held: pa.Table | None = None
@@ -290,7 +343,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             return
         ends = np.append(starts[1:], rows.num_rows)
         sid, comp, n, side = (rows.column(c).to_numpy() for c in ("sid", "comp", "n", "side"))
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        bits = rows.column("sketch").to_pylist()
         found = []
         for a, b in zip(starts, ends, strict=True):
             own, m = comp[a:b], n[a:b]
@@ -303,8 +356,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             able &= DEN * small >= NUM * large
             i, j = np.nonzero(able)
             if len(i):
-                apart = np.bitwise_count(bits[a:b][i] ^ bits[a:b][j]).sum(axis=1, dtype=np.int64)
-                near = apart <= most_apart(m[i], m[j])
+                near = plausible(bits[a:b], m, i, j)
                 found.append((sid[a:b][i[near]], sid[a:b][j[near]]))
         if found:
             x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -325,11 +377,13 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def remaining_pairs(shared: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of sets that share a signature and are in different components so far."""
-    labelled = shared.select("sig", "sid").join(known.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    known = stored(known.select(F.col("node").alias("sid"), "component"), "known")
+    labelled = shared.select("sig", "sid").join(shared_if_small(known), "sid", "left")
     labelled = labelled.select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
+    # A signature's rows lie together, so its counts are nearly done before they are shuffled.
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 != c1")
-    mixed = mixed.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    met = labelled.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    mixed = stored(mixed.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
+    met = labelled.join(shared_if_small(mixed), "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     units = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("sig", "sid", "comp", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).cast("int").alias("side"))
     work = units.join(sets.select("sid", "n", "sketch"), "sid").select("sig", "i", "j", "sid", "comp", "n", "side", "sketch")
@@ -349,7 +403,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    described = settle(texts.mapInArrow(_describe, "doc_id bigint, n bigint, sid bigint, chk bigint, sketch binary, hash bigint, met bigint"))
+    described = stored(texts.mapInArrow(_describe, "doc_id bigint, n bigint, sid bigint, chk bigint, sketch binary, hash bigint, met bigint"), "described")
     base = described.where("hash is null").select("doc_id", "n", "sid", "chk", "sketch")
     usable = base.where("sid is not null and doc_id is not null")
     frequent = described.where("hash is not null").groupBy("hash").agg(F.sum("met").alias("met")).where(F.col("met") >= HOT).orderBy(F.desc("met"), "hash").limit(HOT_KEPT)
@@ -357,13 +411,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared_hot = spark.sparkContext.broadcast(Hot(hot))
 
     signed = texts.where("doc_id is not null").select("text").mapInArrow(_sign(shared_hot), "sig bigint, sid bigint")
-    shared = settle(signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared_runs, "sig bigint, sid bigint, low bigint"))
+    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared_runs, "sig bigint, sid bigint, low bigint"), "shared")
 
-    sets = settle(usable.groupBy("sid", "chk").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    sets = stored(usable.groupBy("sid", "chk").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
     names = sets.select("sid", "doc_id")
     common = shared.where("sid != low").groupBy("sid", "low").agg(F.count(F.lit(1)).alias("n"))
     stars = common.groupBy(F.col("sid").alias("a")).agg(F.max_by("low", F.struct("n", "low")).alias("b"))
-    first = settle(verify(stars, names, texts))
+    first = settle(verify(_rule_out(stars, sets), names, texts))
     rest = settle(verify(remaining_pairs(shared, components(first), sets), names, texts))
 
     edges = first.unionByName(rest)
