@@ -69,8 +69,11 @@ def test_append_decisions(spark):
     assert got == {("k1", "f1"): "unchanged", ("k1", "f2"): "conflict", ("k2", "f3"): "append", ("k3", "f4"): "append", ("k3", "f5"): "conflict"}
 
 
-def test_dimensions(spark):
-    rules = dm.rule_registry(spark)
+def test_dimensions(spark, tmp_path):
+    facts = {"evidence_level": "A", "implementation_mode": "verified_core", "human_approval_required": False, "project_operationalization": False}
+    lines = [json.dumps({"rule_id": r, **facts, "allowed_outputs": ["x"], "forbidden_uses": [], "rule_version": "1"}) for r in ("R1", "R2")]
+    (tmp_path / "rules.json").write_text("\n".join(lines))
+    rules = dm.rule_registry(spark, str(tmp_path / "rules.json"))
     assert dm.dimension_defects(rules, "rule_id", ("evidence_level",)).count() == 0
     assert dm.dimension_defects(rules.union(rules.limit(1)), "rule_id").count() == 1
 

@@ -31,10 +31,10 @@ def _walk(events, bars):
         elif kind == "entry":
             s["next"] += 1
             s["held"] += 1
-            out[eid] = "simulated_entry"
+            out[eid] = "entry_confirmed"
         else:
             s["end"] = True
-            out[eid] = "simulated_exit" if s["held"] else "no_position_to_invalidate"
+            out[eid] = "invalidation_confirmed" if s["held"] else "nothing_to_invalidate"
             s["held"] = 0
     return out
 

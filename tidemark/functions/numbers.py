@@ -11,15 +11,21 @@ from tidemark import constants as K
 
 
 def half_up(c: Column | str, digits: int) -> Column:
-    """Round half up at ``digits``, after dropping binary noise below 1e-10."""
+    """Round half up at ``digits``, after dropping binary noise below 1e-10.
+
+    Up to 28 digits stand before the point; larger and non-finite values are null.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("decimal(28,10)"), digits).cast("double")
+    return F.round(c.try_cast("decimal(38,10)"), digits).cast("double")
+
 
+def exact(c: Column | str, scale: int = 8, whole: int = 14) -> Column:
+    """Exact decimal with ``whole`` digits before the point; values beyond are null.
 
-def exact(c: Column | str, scale: int = 8) -> Column:
-    """Exact decimal with room for one product."""
+    The product of two stays exact while their digits add up to 37 at most.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast(f"decimal(18,{scale})")
+    return c.try_cast(f"decimal({whole + scale},{scale})")
 
 
 def parse_number(c: Column, kind: str = "double") -> Column:

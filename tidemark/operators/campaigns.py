@@ -1,12 +1,11 @@
-"""Signal campaigns: next executable bar, conflicts, stage order, result."""
+"""Signal campaigns: next bar, conflicts, order of stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark import constants as K
-from tidemark.functions.numbers import first_reason, half_up
+from tidemark.functions.numbers import first_reason
 from tidemark.operators.asof import asof_lookup
 
 STAGES = 3
@@ -75,13 +74,12 @@ def stage_sequence(events: DataFrame, bars: DataFrame) -> DataFrame:
         F.when(clash_first, F.col("_defect"))
         .when(entry & over, "campaign_already_invalidated")
         .when(F.col("_defect").isNotNull(), F.col("_defect"))
-        .when(entry & hit, "simulated_entry")
+        .when(entry & hit, "entry_confirmed")
         .when(entry, "stage_sequence_violation")
-        .when((at == F.col("ended_at")) & F.col("t1").isNotNull(), "simulated_exit")
-        .otherwise("no_position_to_invalidate")
+        .when((at == F.col("ended_at")) & F.col("t1").isNotNull(), "invalidation_confirmed")
+        .otherwise("nothing_to_invalidate")
     )
     out = out.withColumn("outcome", outcome)
-    done = F.col("outcome").isin("simulated_entry", "simulated_exit")
     return out.select(
         "event_id",
         "campaign_id",
@@ -90,46 +88,4 @@ def stage_sequence(events: DataFrame, bars: DataFrame) -> DataFrame:
         "stage",
         "outcome",
         F.when(F.col("outcome") == "stage_sequence_violation", expected).alias("expected_stage"),
-        F.when(done, F.col("bar_at")).alias("execution_at"),
-        F.when(done, F.col("open")).alias("execution_open"),
-    )
-
-
-def campaign_pnl(outcomes: DataFrame, budgets: DataFrame, tax: float = K.STOCK_TAX_RATE) -> DataFrame:
-    """Shares, invested cash, costs and realised result per campaign.
-
-    ``budgets(campaign_id, stage, capital_budget)``.  Budgets are fixed per
-    stage, so entries do not depend on each other and the exit is a plain sum.
-    """
-    entries = outcomes.where("outcome = 'simulated_entry'").join(budgets, ["campaign_id", "stage"])
-    price = F.col("execution_open") * (1.0 + K.SLIPPAGE_RATE)
-    shares = F.floor(F.col("capital_budget") / (price * (1.0 + K.COMMISSION_RATE)) * 1e6) / 1e6
-    bought = entries.select(
-        "campaign_id",
-        shares.alias("shares"),
-        (shares * price * (1.0 + K.COMMISSION_RATE)).alias("invested"),
-        (shares * price * K.COMMISSION_RATE + (price - F.col("execution_open")) * shares).alias("cost"),
-    )
-    pos = bought.groupBy("campaign_id").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.sum(F.col("shares").cast("decimal(28,6)")).cast("double").alias("shares"),
-        F.sum("invested").alias("invested"),
-        F.sum("cost").alias("entry_cost"),
-    )
-    exits = outcomes.where("outcome = 'simulated_exit'").select(
-        "campaign_id", F.col("execution_open").alias("exit_open"), F.col("execution_at").alias("exit_at")
-    )
-    out = pos.join(exits, "campaign_id", "left")
-    gross = F.col("shares") * F.col("exit_open") * (1.0 - K.SLIPPAGE_RATE)
-    net = gross * (1.0 - K.COMMISSION_RATE - tax)
-    exit_cost = gross * (K.COMMISSION_RATE + tax) + F.col("exit_open") * K.SLIPPAGE_RATE * F.col("shares")
-    return out.select(
-        "campaign_id",
-        "entries",
-        half_up("shares", 6).alias("shares"),
-        half_up("invested", 4).alias("invested_cash"),
-        "exit_at",
-        half_up(net - F.col("invested"), 4).alias("realized_pnl"),
-        half_up(F.col("entry_cost") + F.coalesce(exit_cost, F.lit(0.0)), 4).alias("total_costs"),
-        F.col("exit_open").isNotNull().alias("terminated"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.functions.numbers import point_to_range
+from tidemark.functions.numbers import first_reason, point_to_range
 from tidemark.operators.asof import bucketed_lag, explode_buckets
 
 CLUSTER_PREFIX = "target_cluster_"
@@ -23,24 +23,46 @@ MIN_COMPONENTS = 2
 EXCLUDED_MODES = ("unsupported", "legacy_experimental")
 
 
-def normalize_candidates(
-    candidates: DataFrame, tolerance: str, families: Sequence[str] = (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY)
-) -> DataFrame:
-    """Ranges of admissible candidates; points are widened by the tolerance."""
-    keep = F.col("method_family").isin(*families) & ~F.col("evidence_level").eqNullSafe("U")
-    if "implementation_mode" in candidates.columns:
-        keep = keep & ~F.coalesce(F.col("implementation_mode").isin(*EXCLUDED_MODES), F.lit(False))
+def _ends(candidates: DataFrame) -> tuple[Column, Column]:
     price = F.col("price").cast("decimal(18,4)")
     low = F.coalesce(F.col("price_low"), price) if "price_low" in candidates.columns else price
     high = F.coalesce(F.col("price_high"), price) if "price_high" in candidates.columns else price
-    lo, hi = point_to_range(low, high, tolerance)
+    return low, high
+
+
+def exclusion_reason(candidates: DataFrame, families: Sequence[str]) -> Column:
+    """Why a candidate is no evidence, or null if it is admissible."""
+    low, high = _ends(candidates)
+    mode = F.col("implementation_mode").isin(*EXCLUDED_MODES) if "implementation_mode" in candidates.columns else F.lit(False)
+    return first_reason(
+        (~F.coalesce(F.col("method_family").isin(*families), F.lit(False)), "method_family_not_allowed_by_profile"),
+        (F.col("evidence_level").eqNullSafe("U"), "evidence_level_unverified"),
+        (mode, "implementation_mode_excluded"),
+        (low.isNull() | (low <= 0), "price_not_positive"),
+        (low > high, "range_reversed"),
+    )
+
+
+def normalize_candidates(
+    candidates: DataFrame, tolerance: str, families: Sequence[str] = (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY)
+) -> DataFrame:
+    """Ranges of admissible candidates; points are widened by the tolerance.
+
+    ``rejected_candidates`` lists the others; both together are all rows.
+    """
+    lo, hi = point_to_range(*_ends(candidates), tolerance)
     return (
-        candidates.where(keep & (low > 0) & (low <= high))
+        candidates.where(exclusion_reason(candidates, families).isNull())
         .withColumns({"lo": lo.cast("decimal(20,4)"), "hi": hi.cast("decimal(20,4)")})
         .drop("price_low", "price_high")
     )
 
 
+def rejected_candidates(candidates: DataFrame, families: Sequence[str] = (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY)) -> DataFrame:
+    """Candidates that ``normalize_candidates`` leaves out, with the reason."""
+    return candidates.withColumn("exclusion_reason", exclusion_reason(candidates, families)).where(F.col("exclusion_reason").isNotNull())
+
+
 def candidate_extract(matrix: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Candidates from usable matrix cells and from approved technical scenarios.
 
@@ -166,10 +188,13 @@ def strength(count: Column, policy: Sequence[tuple[int, str]]) -> Column:
     return out
 
 
-def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[int, str]]) -> DataFrame:
-    """Clusters of at least two families; dependent ones are marked, not dropped."""
-    members = overlap_members(targets, overlap_points(targets, width), width)
-    deps = _family_dependencies(K.TARGET_FAMILIES)
+def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[int, str]], families: Sequence[str] = K.TARGET_FAMILIES) -> DataFrame:
+    """Clusters of at least two families; dependent ones are marked, not dropped.
+
+    ``families`` are those the profile allows, as in ``normalize_candidates``.
+    """
+    members = overlap_members(targets.where(F.col("method_family").isin(*families)), overlap_points(targets, width), width)
+    deps = _family_dependencies(families)
     grouped = members.groupBy("symbol", "point").agg(
         F.max("lo").alias("price_low"),
         F.min("hi").alias("price_high"),
@@ -177,7 +202,7 @@ def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[in
         F.array_sort(F.collect_set("method_family")).alias("families"),
         *[c.alias(f) for f, c in deps.items()],
     )
-    out = _with_components(grouped.where(F.size("families") >= 2), K.TARGET_FAMILIES)
+    out = _with_components(grouped.where(F.size("families") >= 2), families)
     ok = F.col("independent_method_count") >= MIN_COMPONENTS
     digest = F.substring(F.sha2(F.array_join("candidate_ids", "|"), 256), 1, 20)
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,11 @@ def dependency_freshness(
     active: str = "active",
     order: Sequence[str] = REVISION_ORDER,
 ) -> DataFrame:
-    """State of every dependency on one ledger at a cutoff, first failing test first.
+    """State of every dependency at a cutoff, first failing test first.
+
+    Dependencies of other types than the ledger's stay as ``unknown`` with the
+    reason ``unsupported_resource_type``; ``freshness_over_ledgers`` answers
+    several types at once.
 
     One set-based pipeline per ledger: visible revisions with their latest
     approvals give the newest visible and the newest eligible revision per
@@ -55,7 +59,7 @@ def dependency_freshness(
     )
     exact_app = app.select(F.col("id").alias("resource_id"), F.col("decision").alias("_exact_decision"))
     rows = (
-        dependencies.where(F.col("resource_type") == resource_type)
+        dependencies.where(F.col("resource_type").eqNullSafe(F.lit(resource_type)))
         .join(exact, "resource_id", "left")
         .join(exact_app, "resource_id", "left")
         .join(last, "logical_id", "left")
@@ -89,7 +93,7 @@ def dependency_freshness(
         & ~F.col("latest_visible_id").eqNullSafe(F.col("latest_eligible_id"))
         & ~F.coalesce(F.col("_last_approved"), F.lit(False))
     )
-    return rows.select(
+    known = rows.select(
         *dependencies.columns,
         status.alias("status"),
         "reason",
@@ -97,6 +101,27 @@ def dependency_freshness(
         F.when(decided, F.col("latest_eligible_revision_number")).alias("latest_eligible_revision_number"),
         awaiting.alias("candidate_awaiting_review"),
     )
+    return known.unionByName(_unsupported(dependencies, [resource_type], known))
+
+
+def _unsupported(dependencies: DataFrame, types: Sequence[str], like: DataFrame) -> DataFrame:
+    """Dependencies of no known type, in the shape of ``like``."""
+    fixed = {"status": F.lit("unknown"), "reason": F.lit("unsupported_resource_type"), "candidate_awaiting_review": F.lit(False)}
+    other = dependencies.where(~F.coalesce(F.col("resource_type").isin(*types), F.lit(False)))
+    return other.select(*[fixed.get(f.name, F.col(f.name) if f.name in dependencies.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema])
+
+
+def freshness_over_ledgers(dependencies: DataFrame, ledgers: Mapping[str, DataFrame], approvals: DataFrame, cutoff: str, rule_ids: Mapping[str, str]) -> DataFrame:
+    """``dependency_freshness`` for each resource type with its own ledger and approval rule.
+
+    Types without a ledger are ``unknown``; every dependency gives one row.
+    """
+    out = None
+    for kind, ledger in ledgers.items():
+        own = dependencies.where(F.col("resource_type") == kind)
+        part = dependency_freshness(own, ledger, approvals, cutoff, rule_ids[kind], kind)
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(_unsupported(dependencies, list(ledgers), out))
 
 
 # Worst first.

@@ -25,16 +25,20 @@ def rolling_means(df: DataFrame, column: str, means: Mapping[str, int], w: Windo
     """Add means over the last ``n`` rows, null until ``n`` values exist.
 
     Differences of running totals: every row costs the same however long the
-    frame is, where a sliding frame would be summed anew for each row.
+    frame is, where a sliding frame would be summed anew for each row.  Totals
+    are decimals, so a mean depends on its own rows only and equal values give
+    equal means; values are taken to eight decimals, and non-finite ones or
+    those of 1e18 and more count as missing.
     """
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({"_sum": F.sum(column).over(run), "_cnt": F.count(column).over(run)})
+    out = df.withColumn("_exact", F.col(column).try_cast("decimal(26,8)"))
+    out = out.withColumns({"_sum": F.sum("_exact").over(run), "_cnt": F.count("_exact").over(run)})
 
     def part(total: str, n: int) -> Column:
         return F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0))
 
-    out = out.withColumns({name: F.when(part("_cnt", n) == n, part("_sum", n) / n) for name, n in means.items()})
-    return out.drop("_sum", "_cnt")
+    out = out.withColumns({name: F.when(part("_cnt", n) == n, (part("_sum", n) / n).cast("double")) for name, n in means.items()})
+    return out.drop("_exact", "_sum", "_cnt")
 
 
 def falsy(c: Column) -> Column:
@@ -43,9 +47,9 @@ def falsy(c: Column) -> Column:
 
 
 def sma_deduction(bars: DataFrame, periods: tuple[int, ...] = K.MA_PERIODS) -> DataFrame:
-    """SMA, deduction value and slope flag for every period; missing closes are dropped."""
+    """SMA, deduction value and slope flag for every period; missing and non-finite closes are dropped."""
     w = by_symbol()
-    known = bars.where(F.col("close").isNotNull() & ~F.isnan("close"))
+    known = bars.where(F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < float("inf")))
     out = rolling_means(known, "close", {f"sma_{n}": n for n in periods}, w)
     out = out.withColumns({f"deduct_{n}": F.lag("close", n - 1).over(w) for n in periods})
     return out.withColumns({f"slope_up_{n}": falsy(F.col("close") > F.col(f"deduct_{n}")) for n in periods})

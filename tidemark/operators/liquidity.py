@@ -62,7 +62,8 @@ def m1b_spans(m1b: DataFrame, cutoff: str) -> DataFrame:
     published; revoked revisions keep their span but are not offered.
     """
     seen = m1b.where(F.col("ingested_at") <= F.lit(cutoff).cast("timestamp"))
-    higher = Window.partitionBy("period").orderBy(F.col("revision").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    series = [c for c in ("period", "dataset") if c in m1b.columns]  # datasets revise on their own
+    higher = Window.partitionBy(*series).orderBy(F.col("revision").desc()).rowsBetween(Window.unboundedPreceding, -1)
     spans = seen.withColumn("held_until", F.min("available_at").over(higher))
     usable = F.col("status") == "available"
     if "eligible" in m1b.columns:  # result of publication_binding

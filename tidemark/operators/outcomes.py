@@ -81,7 +81,7 @@ def evaluate_outcomes(
     b_end = bench.select(F.col("session").alias("end_session"), F.col("close").alias("b_close"))
     rows = (
         eligible_subjects(subjects)
-        .join(outcome_starts(subjects, bars), ["symbol", "cutoff_date"], "left")
+        .join(outcome_starts(subjects, bars.join(sessions, "date", "left_semi")), ["symbol", "cutoff_date"], "left")
         .withColumn("horizon_sessions", F.explode(F.array(*[F.lit(h) for h in horizons])))
         .join(paths, ["symbol", "start_date", "horizon_sessions"], "left")
         .withColumn("end_session", F.col("start_session") + F.col("horizon_sessions"))
@@ -224,7 +224,6 @@ def outcome_coverage(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("subjects"),
         F.sum("records").alias("records"),
         F.sum("warned").alias("warned"),
-        F.collect_set("symbol").alias("symbols"),
         *[F.count_if(F.col("subject_type") == t).alias(t) for t in ("target_candidate", "target_cluster", "support_candidate")],
     )
     return per_snapshot.agg(
@@ -233,7 +232,7 @@ def outcome_coverage(results: DataFrame) -> DataFrame:
         F.sum("records").alias("records"),
         F.sum("warned").alias("quality_warning_records"),
         F.count_if(F.col("warned") > 0).alias("quality_warning_snapshots"),
-        F.count_distinct(F.get("symbols", F.lit(0))).alias("symbols"),
+        F.first(per.select(F.count_distinct("symbol")).scalar()).alias("symbols"),
         F.sum("target_candidate").alias("target_candidates"),
         F.sum("target_cluster").alias("target_clusters"),
         F.sum("support_candidate").alias("support_candidates"),

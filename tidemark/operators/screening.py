@@ -10,6 +10,8 @@ from tidemark.operators.asof import approval_eligible
 
 INCOMPLETE = ("insufficient_data", "needs_human_input", "unsupported")
 
+FACTS = ("rule_version", "evidence_level", "implementation_mode", "project_operationalization")
+
 # component -> (column, lower is better, zero allowed)
 METRICS = {
     "pe": ("pe", True, False),
@@ -94,15 +96,16 @@ def rule_use_status(requests: DataFrame, rules: DataFrame) -> DataFrame:
 def technical_component(results: DataFrame, rules: DataFrame, component: str, usage: str = "trend_confirmation") -> DataFrame:
     """Gate on a replaceable technical provider.
 
-    ``results(symbol, status, component_name, turned_positive, rule_id,
-    rule_version, evidence_level)``: any job may supply it.  Rule facts come
+    ``results(symbol, status, component_name, turned_positive, rule_id)`` and
+    any of the stated facts rule_version, evidence_level, implementation_mode
+    and project_operationalization: any job may supply it.  Rule facts come
     from the registry; a provider that states other facts is rejected.
     """
+    stated = [c for c in FACTS if c in results.columns]
+    results = results.withColumnsRenamed({c: f"_said_{c}" for c in stated})
     facts = rules.select(
         "rule_id",
-        F.col("rule_version").alias("_version"),
-        F.col("evidence_level").alias("_level"),
-        "implementation_mode",
+        *FACTS,
         "human_approval_required",
         "allowed_outputs",
         "forbidden_uses",
@@ -110,9 +113,9 @@ def technical_component(results: DataFrame, rules: DataFrame, component: str, us
     )
     out = results.join(facts, "rule_id", "left")
 
-    def differs(stated: str, fact: str) -> Column:
-        return F.col(stated).isNotNull() & (F.col(stated) != F.col(fact))
-
+    differs = F.lit(False)
+    for c in stated:
+        differs = differs | F.coalesce(F.col(f"_said_{c}") != F.col(c), F.lit(False))
     usable = (
         F.array_contains("forbidden_uses", usage) | (F.col("human_approval_required") & F.lit(True))
     )
@@ -121,15 +124,12 @@ def technical_component(results: DataFrame, rules: DataFrame, component: str, us
             (F.col("component_name") != component, "technical_component_mismatch"),
             (F.col("_known").isNull(), "unknown_technical_rule"),
             (
-                (F.col("_level") == "U") | F.col("implementation_mode").isin("legacy_experimental", "unsupported"),
+                (F.col("evidence_level") == "U") | F.col("implementation_mode").isin("legacy_experimental", "unsupported"),
                 "legacy_or_unsupported_technical_component",
             ),
             (~F.array_contains("allowed_outputs", usage), "rule_not_allowed_for_technical_confirmation"),
             (usable, "technical_rule_not_available_for_confirmation"),
-            (
-                differs("rule_version", "_version") | differs("evidence_level", "_level"),
-                "technical_rule_metadata_mismatch",
-            ),
+            (differs, "technical_rule_metadata_mismatch"),
         )
     )
     out = out.withColumn("reason", reason)

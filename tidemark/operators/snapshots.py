@@ -29,11 +29,12 @@ def section_document(symbols: DataFrame, sections: Mapping[str, DataFrame]) -> D
 def provenance_union(sections: Mapping[str, DataFrame]) -> DataFrame:
     """Dependencies of all sections in section order, one per section, type and resource.
 
-    Each input: ``(snapshot_id, resource_type, resource_id, position)``.
+    Each input: ``(snapshot_id, resource_type, resource_id, position)``; the
+    result is ordered by section_number and position.
     """
     out = None
     for i, (name, df) in enumerate(sections.items()):
-        part = df.withColumns({"section": F.lit(name), "position": F.col("position") + F.lit(i) * 1_000_000_000})
+        part = df.withColumns({"section": F.lit(name), "section_number": F.lit(i)})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return dependency_dedupe(out)
 
@@ -64,7 +65,9 @@ def latest_event_per_item(events: DataFrame) -> DataFrame:
 
 
 def queue_page(watchlist: DataFrame, order: str = "symbol", include_archived: bool = False, limit: int = 50) -> DataFrame:
-    """One page of the queue by symbol or by last update; at most 50 rows."""
+    """One page of ``limit`` rows of the queue by symbol, or by last update with ties by symbol and item."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
     rows = watchlist if include_archived else watchlist.where(~F.col("archived"))
-    keys = [F.col("symbol"), F.col("item_id")] if order == "symbol" else [F.col("updated_at").desc(), F.col("item_id").desc()]
-    return rows.orderBy(*keys).limit(min(limit, 50))
+    keys = [F.col("symbol"), F.col("item_id")]
+    return rows.orderBy(*(keys if order == "symbol" else [F.col("updated_at").desc(), *keys])).limit(limit)

@@ -147,7 +147,7 @@ def pe_bands(df: DataFrame, pe: tuple[float, float, float] = (K.PE_MIN, K.PE_MID
     return df.select(
         *df.columns,
         F.when(ok, "available").otherwise("not_applicable").alias("status"),
-        *[F.when(ok, half_up(exact("eps") * exact(F.lit(m), 4), 2)).alias(name) for name, m in prices],
+        *[F.when(ok, half_up(exact("eps") * exact(F.lit(m), 4, 11), 2)).alias(name) for name, m in prices],
     )
 
 
@@ -155,7 +155,8 @@ def eva_floor(df: DataFrame, wacc: float = K.DEFAULT_WACC) -> DataFrame:
     """Floor price from economic value added; needs positive cost of capital and shares."""
     rate = F.coalesce(F.col("wacc"), F.lit(wacc)) if "wacc" in df.columns else F.lit(wacc)
     ok = (rate > 0) & (F.col("shares") > 0)
-    eva = half_up(exact("nopat") - exact("invested_capital", 4) * exact(rate, 4), 2)
+    # Amounts of up to 22 digits, rates with six decimals.
+    eva = half_up(exact("nopat", 8, 22) - exact("invested_capital", 4, 22) * exact(rate, 6, 5), 2)
     value = F.try_divide(F.col("invested_capital") + F.try_divide(eva, rate), F.col("shares"))
     return df.select(
         *df.columns,

@@ -380,9 +380,10 @@ def profile_selection(
         & (F.col("max_drawdown_pct") <= max_drawdown)
         & (F.col("total_trades") >= min_trades)
     )
-    merit = F.struct("total_return_pct", -F.col("max_drawdown_pct"), "candidate_id")
+    # Of equal ones the least candidate id is taken.
+    merit = F.struct((-F.col("total_return_pct")).alias("r"), "max_drawdown_pct", "candidate_id")
     g = results.groupBy("symbol", "window_no").agg(
-        F.max(F.when(ok, merit))["candidate_id"].alias("best"), F.count(F.lit(1)).alias("candidates")
+        F.min(F.when(ok, merit))["candidate_id"].alias("best"), F.count(F.lit(1)).alias("candidates")
     )
     out = windows.select("symbol", "window_no").join(g, ["symbol", "window_no"], "left")
     reason = (

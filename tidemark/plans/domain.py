@@ -171,8 +171,8 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turnover_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turnover per day and market: open orders are market A, filled ones market B."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "F"))
+    """Turnover per day and market: open orders are market A, all others market B."""
+    o = table(spark, sf_dir, "orders")
     return o.groupBy(
         F.col("o_orderdate").cast("date").alias("trade_date"),
         F.when(F.col("o_orderstatus") == "O", "A").otherwise("B").alias("market"),
@@ -413,8 +413,8 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signal events: campaign = user; three entry stages and an invalidation."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+    """Signal events: campaign = user; three entry stages, entries of no stage, and an invalidation."""
+    e = table(spark, sf_dir, "events")
     stage = (
         F.when(F.col("event_type") == "view", 1)
         .when(F.col("event_type") == "click", 2)
@@ -424,7 +424,7 @@ def campaign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.col("user_id").alias("campaign_id"),
         F.date_trunc("minute", "ts").alias("signal_at"),
-        F.when(stage.isNull(), "invalidation").otherwise("entry").alias("event_kind"),
+        F.when(F.col("event_type") == "error", "invalidation").otherwise("entry").alias("event_kind"),
         stage.alias("stage"),
     )
 
@@ -457,3 +457,19 @@ def run_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("accepted")
         .alias("status"),
     )
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule registry: one part is one rule."""
+    k = F.col("p_partkey")
+    uses = F.array(F.lit("automatic_order"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("R"), k.cast("string")).alias("rule_id"),
+        F.element_at(F.array(*[F.lit(x) for x in "ABCU"]), (F.col("p_size") % 4 + 1).cast("int")).alias("evidence_level"),
+        F.when(k % 11 == 0, "unsupported").when(k % 13 == 0, "legacy_experimental").when(k % 2 == 0, "verified_core").otherwise("parameterized_support").alias("implementation_mode"),
+        (k % 3 == 0).alias("human_approval_required"),
+        (k % 5 == 0).alias("project_operationalization"),
+        F.when(k % 7 == 0, F.array(F.lit("price_scenario"))).otherwise(F.array(F.lit("trend_confirmation"), F.lit("price_scenario"))).alias("allowed_outputs"),
+        F.when(k % 17 == 0, F.array_append(uses, F.lit("trend_confirmation"))).otherwise(uses).alias("forbidden_uses"),
+        F.concat(F.lit("1."), (F.col("p_size") % 3).cast("string")).alias("rule_version"),
+    )

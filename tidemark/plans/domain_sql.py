@@ -10,11 +10,11 @@ def cents(c: str) -> str:
 
 
 def half_up(expr: str, digits: int) -> str:
-    return f"round(({expr})::DECIMAL(28,10), {digits})::DOUBLE"
+    return f"round(({expr})::DECIMAL(38,10), {digits})::DOUBLE"
 
 
-def exact(expr: str, scale: int = 8) -> str:
-    return f"({expr})::DECIMAL(18,{scale})"
+def exact(expr: str, scale: int = 8, whole: int = 14) -> str:
+    return f"({expr})::DECIMAL({whole + scale},{scale})"
 
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -93,7 +93,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""
         SELECT o_orderdate::DATE AS trade_date, CASE WHEN o_orderstatus = 'O' THEN 'A' ELSE 'B' END AS market,
                sum({cents('o_totalprice')})::DOUBLE / 1e2 AS value
-        FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1, 2""",
+        FROM orders GROUP BY 1, 2""",
     ),
     "m1b": (
         (),
@@ -208,7 +208,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id, user_id AS campaign_id, date_trunc('minute', ts) AS signal_at,
                CASE WHEN event_type = 'error' THEN 'invalidation' ELSE 'entry' END AS event_kind,
                CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 END AS stage
-        FROM events WHERE event_type <> 'signup'""",
+        FROM events""",
+    ),
+    "rules": (
+        (),
+        """
+        SELECT 'R' || p_partkey AS rule_id, (['A', 'B', 'C', 'U'])[p_size % 4 + 1] AS evidence_level,
+               CASE WHEN p_partkey % 11 = 0 THEN 'unsupported' WHEN p_partkey % 13 = 0 THEN 'legacy_experimental'
+                    WHEN p_partkey % 2 = 0 THEN 'verified_core' ELSE 'parameterized_support' END AS implementation_mode,
+               p_partkey % 3 = 0 AS human_approval_required, p_partkey % 5 = 0 AS project_operationalization,
+               CASE WHEN p_partkey % 7 = 0 THEN ['price_scenario'] ELSE ['trend_confirmation', 'price_scenario'] END AS allowed_outputs,
+               CASE WHEN p_partkey % 17 = 0 THEN ['automatic_order', 'trend_confirmation'] ELSE ['automatic_order'] END AS forbidden_uses,
+               '1.' || p_size % 3 AS rule_version FROM part""",
     ),
     "hourly": (
         (),

@@ -151,7 +151,7 @@ def symbol_pe(spark, sf_dir):
         },
         body="""SELECT l.symbol, l.id, l.fiscal_year::BIGINT AS fiscal_year, eps_scenario, eps_value, pe_id, label, pe_value,
             CASE WHEN eps_value > 0 THEN 'available' ELSE 'not_applicable' END AS status,
-            CASE WHEN eps_value > 0 THEN """ + half_up(exact('eps_value') + ' * ' + exact('pe_value', 4), 4) + """ END AS target_price
+            CASE WHEN eps_value > 0 THEN """ + half_up(exact('eps_value') + ' * ' + exact('pe_value', 4, 11), 4) + """ END AS target_price
             FROM long l JOIN pe_eff p ON p.scope = 'symbol' AND p.scope_value = l.symbol""",
     ),
 )
@@ -281,9 +281,9 @@ def q_approved_effective(spark, sf_dir):
     with_views(
         "eps",
         body="""SELECT id, round(eps_base - 2e1, 6) AS eps, CASE WHEN eps_base - 2e1 > 0 THEN 'available' ELSE 'not_applicable' END AS status,
-            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('1e1', 4), 2) + """ END AS cheap_price,
-            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('2e1', 4), 2) + """ END AS fair_price,
-            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('25e0', 4), 2) + """ END AS expensive_price FROM eps""",
+            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('1e1', 4, 11), 2) + """ END AS cheap_price,
+            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('2e1', 4, 11), 2) + """ END AS fair_price,
+            CASE WHEN eps_base - 2e1 > 0 THEN """ + half_up(exact('eps_base - 2e1') + ' * ' + exact('25e0', 4, 11), 2) + """ END AS expensive_price FROM eps""",
     ),
 )
 def q_pe_bands(spark, sf_dir):
@@ -308,21 +308,21 @@ def q_eps_dual(spark, sf_dir):
 
 @query(
     "eva_floor",
-    f"""WITH x AS (SELECT o_orderkey AS id, round(o_totalprice * 100)::BIGINT::DOUBLE / 1e6 AS nopat,
+    f"""WITH x AS (SELECT o_orderkey AS id, (round(o_totalprice * 100)::BIGINT * 1000)::DOUBLE AS nopat,
            (o_custkey % 500)::DOUBLE AS invested_capital, (o_orderkey % 4)::DOUBLE AS shares FROM orders),
-       e AS (SELECT *, {half_up(exact('nopat') + ' - ' + exact('invested_capital', 4) + ' * ' + exact('7e-2', 4), 2)} AS eva FROM x)
+       e AS (SELECT *, {half_up(exact('nopat', 8, 22) + ' - ' + exact('invested_capital', 4, 22) + ' * ' + exact('7e-2', 6, 5), 2)} AS eva FROM x)
        SELECT id, CASE WHEN shares > 0 THEN 'available' ELSE 'not_applicable' END AS status,
            CASE WHEN shares > 0 THEN eva END AS eva,
-           CASE WHEN shares > 0 THEN {half_up('(invested_capital + eva / 7e-2) / shares', 2)} END AS eva_floor_price FROM e""",
+           CASE WHEN shares > 0 THEN round({half_up('(invested_capital + eva / 7e-2) / shares', 2)}, -1) END AS eva_floor_price FROM e""",
 )
 def q_eva_floor(spark, sf_dir):
     rows = d.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
-        (d.cents("o_totalprice").cast("double") / 1000000.0).alias("nopat"),
+        (d.cents("o_totalprice") * 1000).cast("double").alias("nopat"),  # up to 5e10
         (F.col("o_custkey") % 500).cast("double").alias("invested_capital"),
         (F.col("o_orderkey") % 4).cast("double").alias("shares"),
     )
-    return val.eva_floor(rows).select("id", "status", "eva", "eva_floor_price")
+    return val.eva_floor(rows).select("id", "status", "eva", F.round("eva_floor_price", -1).alias("eva_floor_price"))
 
 
 @query(

@@ -84,6 +84,33 @@ def q_resonance_latest(spark, sf_dir):
     )
 
 
+_ADJUSTED = """SELECT symbol, date, close * CASE WHEN date < DATE '1997-01-05' THEN 9.87654e-3 WHEN date < DATE '1999-01-05' THEN 9.91e-3 ELSE 1e-2 END AS close FROM bars"""
+_EXACT_SQL = ", ".join(
+    f"CASE WHEN count(c) OVER w{n} = {n} THEN ((20 * sum(u) OVER w{n} + {n}) // {2 * n})::DOUBLE / 1e9 END AS sma_{n}, "
+    f"coalesce(c > lag(c, {n - 1}) OVER w, false) AS slope_up_{n}"
+    for n in K.MA_PERIODS
+)
+
+
+@query(
+    "sma_adjusted_prices",
+    with_views(
+        "bars",
+        extra={
+            "adj": _ADJUSTED,
+            "dec": "SELECT symbol, date, close, c, (c * 100000000)::HUGEINT AS u FROM (SELECT *, close::DECIMAL(26,8) AS c FROM adj)",
+            "s": f"SELECT symbol, date, close, {_EXACT_SQL} FROM dec {_SMA_WINDOWS}",
+        },
+        body=f"SELECT symbol, date::VARCHAR AS date, close, {', '.join(f'sma_{n}' for n in K.MA_PERIODS)}, ({_RES}) AS resonance FROM s",
+    ),
+)
+def q_sma_adjusted(spark, sf_dir):
+    """Averages and resonance on fractional, adjusted prices."""
+    factor = F.when(F.col("date") < F.lit("1997-01-05").cast("date"), 0.00987654).when(F.col("date") < F.lit("1999-01-05").cast("date"), 0.00991).otherwise(0.01)
+    bars = d.bars(spark, sf_dir).select("symbol", "date", (F.col("close") * factor).alias("close"))
+    return ind.with_resonance(bars).select("symbol", "date", "close", *[f"sma_{n}" for n in K.MA_PERIODS], "resonance")
+
+
 @query(
     "breakdown_reversal",
     with_views(

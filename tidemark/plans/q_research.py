@@ -72,10 +72,10 @@ SEQ = {
             CASE WHEN e.defect = 'ambiguous_same_time_events' THEN e.defect
                  WHEN e.event_kind = 'entry' AND r.ended THEN 'campaign_already_invalidated'
                  WHEN e.defect IS NOT NULL THEN e.defect
-                 WHEN e.event_kind = 'entry' AND e.stage = r.nxt THEN 'simulated_entry'
+                 WHEN e.event_kind = 'entry' AND e.stage = r.nxt THEN 'entry_confirmed'
                  WHEN e.event_kind = 'entry' THEN 'stage_sequence_violation'
-                 WHEN r.held > 0 THEN 'simulated_exit' ELSE 'no_position_to_invalidate' END,
-            CASE WHEN e.defect IS NULL AND e.event_kind = 'entry' AND NOT r.ended AND e.stage <> r.nxt THEN r.nxt END
+                 WHEN r.held > 0 THEN 'invalidation_confirmed' ELSE 'nothing_to_invalidate' END,
+            CASE WHEN e.defect IS NULL AND e.event_kind = 'entry' AND NOT r.ended AND e.stage IS DISTINCT FROM r.nxt THEN r.nxt END
         FROM r JOIN df e ON e.campaign_id = r.campaign_id AND e.j = r.j + 1)
         SELECT * FROM r WHERE j > 0""",
     "oc": """SELECT df.*, sq.outcome, sq.expected FROM sq JOIN df ON df.event_id = sq.event_id""",
@@ -93,51 +93,13 @@ def _sequence(spark, sf_dir):
         "hourly",
         extra=SEQ,
         body=f"""SELECT event_id, campaign_id, {TS.format(c='signal_at')} AS signal_at, event_kind, stage::BIGINT AS stage, outcome,
-            expected::BIGINT AS expected_stage,
-            CASE WHEN outcome LIKE 'simulated%' THEN {TS.format(c='bar_at')} END AS execution_at,
-            CASE WHEN outcome LIKE 'simulated%' THEN open END AS execution_open FROM oc""",
+            expected::BIGINT AS expected_stage FROM oc""",
     ),
 )
 def q_sequence(spark, sf_dir):
     return _sequence(spark, sf_dir)
 
 
-_S, _C, _T = f"{K.SLIPPAGE_RATE}e0", f"{K.COMMISSION_RATE}e0", f"{K.STOCK_TAX_RATE}e0"
-
-
-@query(
-    "campaign_pnl",
-    with_views(
-        "campaign_events",
-        "hourly",
-        extra={
-            **SEQ,
-            "en": f"""SELECT campaign_id, open, open * (1e0 + {_S}) AS price,
-                floor((campaign_id % 7 + 1)::DOUBLE * 10000 * stage / (open * (1e0 + {_S}) * (1e0 + {_C})) * 1e6) / 1e6 AS shares
-                FROM oc WHERE outcome = 'simulated_entry'""",
-            "po": f"""SELECT campaign_id, count(*) AS entries, sum(shares::DECIMAL(28,6))::DOUBLE AS shares,
-                sum(shares * price * (1e0 + {_C})) AS invested, sum(shares * price * {_C} + (price - open) * shares) AS ecost FROM en GROUP BY 1""",
-            "ex": "SELECT campaign_id, open AS xo, bar_at AS xa FROM oc WHERE outcome = 'simulated_exit'",
-            "j": f"SELECT po.*, xo, xa, shares * xo * (1e0 - {_S}) AS gross FROM po LEFT JOIN ex USING (campaign_id)",
-        },
-        body=f"""SELECT campaign_id, entries, {half_up('shares', 6)} AS shares, {half_up('invested', 4)} AS invested_cash,
-            {TS.format(c='xa')} AS exit_at, {half_up(f'gross * (1e0 - {_C} - {_T}) - invested', 4)} AS realized_pnl,
-            {half_up(f'ecost + coalesce(gross * ({_C} + {_T}) + xo * {_S} * shares, 0)', 4)} AS total_costs,
-            xo IS NOT NULL AS terminated FROM j""",
-    ),
-)
-def q_pnl(spark, sf_dir):
-    out = _sequence(spark, sf_dir)
-    budgets = (
-        d.table(spark, sf_dir, "events")
-        .select(F.col("user_id").alias("campaign_id"))
-        .distinct()
-        .withColumn("stage", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        .withColumn("capital_budget", (F.col("campaign_id") % 7 + 1).cast("double") * 10000 * F.col("stage"))
-    )
-    return cp.campaign_pnl(out, budgets)
-
-
 TOL, WIDTH = "0.02", 40.0
 POLICY = ((2, "low"), (3, "moderate"), (4, "high"))
 NORM = {
@@ -201,7 +163,7 @@ def q_ranges(spark, sf_dir):
             **STATES,
             **PE_EFF,
             "long": """SELECT symbol, id, unnest(['low', 'base', 'high']) AS sc, unnest([eps_low, eps_base, eps_high]) AS v FROM states WHERE status = 'active' AND eligible""",
-            "cells": "SELECT l.symbol, l.id, sc, pe_id, " + half_up(exact("v") + " * " + exact("pe_value", 4), 4)
+            "cells": "SELECT l.symbol, l.id, sc, pe_id, " + half_up(exact("v") + " * " + exact("pe_value", 4, 11), 4)
             + " AS tp FROM long l JOIN pe_eff p ON p.scope = 'symbol' AND p.scope_value = l.symbol WHERE v > 0",
             "sce": """SELECT 'C' || o_custkey AS symbol, o_orderkey AS a, CASE o_orderkey % 3 WHEN 0 THEN 'FB-03' WHEN 1 THEN 'FB-04' ELSE 'FB-05' END AS r,
                 (o_custkey % 100 + 50)::DOUBLE AS lv FROM orders""",

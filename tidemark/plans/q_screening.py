@@ -11,7 +11,7 @@ from tidemark.plans.domain_sql import CUTOFF, with_views
 from tidemark.plans.q_ledger import STATES, approved_eps
 from tidemark.plans.q_panel import pivots_cte
 from tidemark.plans.registry import query
-from tidemark.sources.dimensions import dimension_defects, rule_registry
+from tidemark.sources.dimensions import dimension_defects
 
 THRESHOLDS = {"pe": 40.0, "pb": 60.0, "dividend_yield": 30.0}
 YEARS, MINIMUM = 3, 150
@@ -21,9 +21,6 @@ def _list(items) -> str:
     return "[" + ", ".join(f"'{i}'" for i in items) + "]"
 
 
-RULES_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]}, {r[4]}, {_list(r[5])}, {_list(r[6])}, '{r[7]}')" for r in K.RULES
-) + f") AS t({', '.join(K.RULE_COLUMNS)})"
 
 VALS = {
     "vals": """SELECT symbol, metric_date, unnest(CASE WHEN (substr(symbol, 2)::BIGINT + date_diff('day', DATE '1995-01-01', metric_date)) % 40 = 0
@@ -90,25 +87,28 @@ def q_metric(spark, sf_dir):
 
 
 TECH = {
-    "rules": RULES_SQL,
     "tb": """SELECT symbol, date, close, CASE WHEN count(close) OVER w = 21 THEN avg(close) OVER w END AS sma,
         row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars
         WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""",
     "tech": """SELECT symbol, substr(symbol, 2)::BIGINT AS k, CASE WHEN k % 11 = 0 THEN 'insufficient_data' ELSE 'available' END AS status,
         CASE WHEN k % 13 = 0 THEN 'other' ELSE 'annual_line' END AS component_name, coalesce(close > sma, false) AS turned_positive,
-        CASE k % 6 WHEN 0 THEN 'MA-03' WHEN 1 THEN 'SEL-02' WHEN 2 THEN 'XX-00' ELSE 'WV-03' END AS rule_id,
-        CASE WHEN k % 7 = 0 THEN '1.0.0' ELSE '2.0.0' END AS rule_version FROM tb WHERE rn = 1""",
+        CASE WHEN k % 19 = 0 THEN 'X' ELSE 'R' END || k AS rule_id, CASE WHEN k % 4 = 0 THEN '1.1' END AS rule_version,
+        CASE WHEN k % 5 = 1 THEN 'A' END AS evidence_level, CASE WHEN k % 6 = 2 THEN 'verified_core' END AS implementation_mode,
+        CASE WHEN k % 5 = 2 THEN false END AS project_operationalization FROM tb WHERE rn = 1""",
     "tg": """SELECT t.symbol, turned_positive, CASE WHEN t.status <> 'available' THEN 'technical_confirmation_required'
         WHEN component_name <> 'annual_line' THEN 'technical_component_mismatch'
         WHEN r.rule_id IS NULL THEN 'unknown_technical_rule'
-        WHEN r.evidence_level = 'U' OR implementation_mode IN ('legacy_experimental', 'unsupported') THEN 'legacy_or_unsupported_technical_component'
+        WHEN r.evidence_level = 'U' OR r.implementation_mode IN ('legacy_experimental', 'unsupported') THEN 'legacy_or_unsupported_technical_component'
         WHEN NOT list_contains(allowed_outputs, 'trend_confirmation') THEN 'rule_not_allowed_for_technical_confirmation'
         WHEN list_contains(forbidden_uses, 'trend_confirmation') OR human_approval_required THEN 'technical_rule_not_available_for_confirmation'
-        WHEN t.rule_version <> r.rule_version THEN 'technical_rule_metadata_mismatch' END AS reason
+        WHEN t.rule_version <> r.rule_version OR t.evidence_level <> r.evidence_level OR t.implementation_mode <> r.implementation_mode
+            OR t.project_operationalization <> r.project_operationalization THEN 'technical_rule_metadata_mismatch' END AS reason,
+        list_contains(forbidden_uses, 'trend_confirmation') AS never
         FROM tech t LEFT JOIN rules r ON r.rule_id = t.rule_id""",
     "techc": """SELECT symbol, 'technical_turn' AS component, CASE WHEN reason IS NULL THEN 'available'
         WHEN reason IN ('unknown_technical_rule', 'legacy_or_unsupported_technical_component', 'rule_not_allowed_for_technical_confirmation')
-        THEN 'unsupported' ELSE 'insufficient_data' END AS status, reason, reason IS NULL AND turned_positive AS passed FROM tg""",
+        THEN 'unsupported' WHEN reason = 'technical_rule_not_available_for_confirmation' THEN CASE WHEN never THEN 'forbidden' ELSE 'needs_human_input' END
+        ELSE 'insufficient_data' END AS status, reason, reason IS NULL AND turned_positive AS passed FROM tg""",
 }
 
 
@@ -123,16 +123,18 @@ def _technical(spark, sf_dir):
         F.when(k % 11 == 0, "insufficient_data").otherwise("available").alias("status"),
         F.when(k % 13 == 0, "other").otherwise("annual_line").alias("component_name"),
         F.coalesce(F.col("close") > F.col("sma"), F.lit(False)).alias("turned_positive"),
-        F.when(k % 6 == 0, "MA-03").when(k % 6 == 1, "SEL-02").when(k % 6 == 2, "XX-00").otherwise("WV-03").alias("rule_id"),
-        F.when(k % 7 == 0, "1.0.0").otherwise("2.0.0").alias("rule_version"),
-        F.lit(None).cast("string").alias("evidence_level"),
+        F.concat(F.when(k % 19 == 0, "X").otherwise("R"), k.cast("string")).alias("rule_id"),
+        F.when(k % 4 == 0, "1.1").alias("rule_version"),
+        F.when(k % 5 == 1, "A").alias("evidence_level"),
+        F.when(k % 6 == 2, "verified_core").alias("implementation_mode"),
+        F.when(k % 5 == 2, F.lit(False)).alias("project_operationalization"),
     )
-    return sn.technical_component(results, rule_registry(spark), "annual_line")
+    return sn.technical_component(results, d.rules(spark, sf_dir), "annual_line")
 
 
 @query(
     "technical_component_gate",
-    with_views("bars", extra=TECH, body="SELECT symbol, component, status, reason, passed FROM techc"),
+    with_views("bars", "rules", extra=TECH, body="SELECT symbol, component, status, reason, passed FROM techc"),
 )
 def q_technical(spark, sf_dir):
     return _technical(spark, sf_dir)
@@ -161,6 +163,7 @@ GROWTH = {
         "bars",
         "eps",
         "approvals",
+        "rules",
         extra={
             **METRIC,
             **TECH,
@@ -199,32 +202,29 @@ def q_decision(spark, sf_dir):
 @query(
     "rule_use_status",
     with_views(
+        "rules",
         extra={
-            "rules": RULES_SQL,
-            "rl": "SELECT *, row_number() OVER (ORDER BY rule_id) - 1 AS i FROM rules",
-            "req": f"""SELECT o_orderkey AS request_id, rule_id, CASE o_custkey % 3 WHEN 0 THEN 'automatic_order'
+            "req": """SELECT o_orderkey AS request_id, 'R' || o_orderkey % 2500 AS rule_id, CASE o_custkey % 3 WHEN 0 THEN 'automatic_order'
                 WHEN 1 THEN 'trend_confirmation' ELSE 'price_scenario' END AS usage,
-                CASE WHEN o_orderstatus = 'F' THEN 'A' || o_orderkey END AS approval_id
-                FROM orders JOIN rl ON i = o_orderkey % {len(K.RULES)}""",
+                CASE WHEN o_orderstatus = 'F' THEN 'A' || o_orderkey END AS approval_id FROM orders""",
         },
-        body="""SELECT request_id, q.rule_id, usage, approval_id, CASE WHEN list_contains(forbidden_uses, usage) THEN 'forbidden'
+        body="""SELECT request_id, q.rule_id, usage, approval_id, CASE WHEN implementation_mode IS NULL THEN 'unknown_rule' WHEN list_contains(forbidden_uses, usage) THEN 'forbidden'
             WHEN implementation_mode = 'unsupported' THEN 'unsupported'
             WHEN human_approval_required AND approval_id IS NULL THEN 'needs_human_input' ELSE 'available' END AS use_status
-            FROM req q JOIN rules r ON r.rule_id = q.rule_id""",
+            FROM req q LEFT JOIN rules r ON r.rule_id = q.rule_id""",
     ),
 )
 def q_rule_use(spark, sf_dir):
-    ids = F.array(*[F.lit(r) for r in sorted(r[0] for r in K.RULES)])
     requests = d.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("request_id"),
-        F.get(ids, (F.col("o_orderkey") % len(K.RULES)).cast("int")).alias("rule_id"),
+        F.concat(F.lit("R"), (F.col("o_orderkey") % 2500).cast("string")).alias("rule_id"),
         F.when(F.col("o_custkey") % 3 == 0, "automatic_order")
         .when(F.col("o_custkey") % 3 == 1, "trend_confirmation")
         .otherwise("price_scenario")
         .alias("usage"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("approval_id"),
     )
-    return sn.rule_use_status(requests, rule_registry(spark))
+    return sn.rule_use_status(requests, d.rules(spark, sf_dir))
 
 
 @query(

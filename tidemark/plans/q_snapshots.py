@@ -646,7 +646,7 @@ def q_queue(spark, sf_dir):
     "dependency_dedupe",
     """WITH x AS (SELECT l_orderkey AS snapshot_id, 'S' || (l_linenumber % 3) AS section, l_returnflag AS resource_type, l_suppkey % 5 AS resource_id,
             l_linenumber::BIGINT * 1000000 + l_partkey AS position FROM lineitem)
-        SELECT snapshot_id, section, resource_type, resource_id, max(position) AS position FROM x GROUP BY ALL""",
+        SELECT snapshot_id, section, section_number, resource_type, resource_id, max(position) AS position FROM x GROUP BY ALL""",
 )
 def q_dedupe(spark, sf_dir):
     li = d.table(spark, sf_dir, "lineitem")
@@ -662,9 +662,9 @@ def q_dedupe(spark, sf_dir):
 
 @query(
     "provenance_union",
-    """WITH x AS (SELECT o_custkey AS snapshot_id, 'valuation' AS section, o_orderstatus AS resource_type, o_orderkey % 50 AS resource_id, o_orderkey AS position FROM orders
-            UNION ALL SELECT o_custkey, 'screening', o_orderpriority, o_orderkey % 20, o_orderkey + 1000000000 FROM orders)
-        SELECT snapshot_id, section, resource_type, resource_id, max(position) AS position FROM x GROUP BY ALL""",
+    """WITH x AS (SELECT o_custkey AS snapshot_id, 'valuation' AS section, 0::BIGINT AS section_number, o_orderstatus AS resource_type, o_orderkey % 50 AS resource_id, o_orderkey AS position FROM orders
+            UNION ALL SELECT o_custkey, 'screening', 1, o_orderpriority, o_orderkey % 20, o_orderkey FROM orders)
+        SELECT snapshot_id, section, section_number, resource_type, resource_id, max(position) AS position FROM x GROUP BY ALL""",
 )
 def q_provenance(spark, sf_dir):
     o = d.table(spark, sf_dir, "orders")

@@ -343,7 +343,7 @@ def q_spread(spark, sf_dir):
 
 SELECTED = {
     **TRAINED,
-    "el": f"""SELECT *, row_number() OVER (PARTITION BY symbol, window_no ORDER BY total_return_pct DESC, max_drawdown_pct, candidate_id DESC) AS rn
+    "el": f"""SELECT *, row_number() OVER (PARTITION BY symbol, window_no ORDER BY total_return_pct DESC, max_drawdown_pct, candidate_id) AS rn
         FROM tr WHERE total_return_pct > 0 AND max_drawdown_pct <= {MAX_DD} AND total_trades >= {MIN_TRADES}""",
     "tw": "SELECT DISTINCT symbol, window_no FROM tr",
     "selected": f"""SELECT w.symbol, w.window_no, CASE WHEN el.candidate_id IS NULL THEN 'fallback' ELSE 'selected' END AS status,

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark import constants as K
-
 RULE_SCHEMA = T.StructType(
     [
         T.StructField("rule_id", T.StringType(), False),
@@ -24,10 +22,8 @@ RULE_SCHEMA = T.StructType(
 UNIVERSE_SCHEMA = "symbol string, category string"
 
 
-def rule_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Rules from a JSON-lines file, or the built-in ones."""
-    if path is None:
-        return spark.createDataFrame([tuple(r) for r in K.RULES], RULE_SCHEMA)
+def rule_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from a JSON-lines file; the registry is data, none is built in."""
     return spark.read.schema(RULE_SCHEMA).json(path, mode="FAILFAST")
 
 

@@ -21,12 +21,22 @@ TURNOVER_B = "Date string, TradeAmount string"
 MONEY = "data struct<dataSets: array<array<string>>, structure: struct<Table1: array<struct<data: string>>>>"
 SESSIONS = "Name string, Date string, Weekday string, Description string"
 STATEMENTS = "stock_id string, date string, origin_date string, type string, value double"
+CORRUPT = "corrupt"
 PER_ROWS = "stock_id string, date string, PER string, PBR string, dividend_yield string"
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file (or a list of objects), under a fixed schema."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    """One JSON document per file (or a list of objects), under a fixed schema.
+
+    A document that cannot be read keeps its text in ``corrupt`` with all else
+    null; ``unreadable`` turns such rows into rejects.  No broken file ends the job.
+    """
+    return spark.read.schema(f"{schema}, {CORRUPT} string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """Documents that are no JSON of the expected shape, with the reason."""
+    return documents.where(F.col(CORRUPT).isNotNull()).withColumn("reason", F.lit("document_unreadable"))
 
 
 def _cell(i: int) -> Column:
@@ -43,14 +53,20 @@ def _number(i: int) -> Column:
 
 def envelope_rows(envelopes: DataFrame) -> DataFrame:
     """Data rows of accepted envelopes; other columns of the envelope are kept."""
-    rest = [c for c in envelopes.columns if c not in ("stat", "data")]
+    rest = [c for c in envelopes.columns if c not in ("stat", "data", CORRUPT)]
     return envelopes.where("stat = 'OK'").select(*rest, F.explode("data").alias("row"))
 
 
 def envelope_rejects(envelopes: DataFrame) -> DataFrame:
-    return envelopes.where(~F.col("stat").eqNullSafe("OK")).withColumn(
-        "reason", F.concat(F.lit("response_not_ok:"), F.coalesce("stat", F.lit("missing")))
+    """Envelopes that give no rows: unreadable, refused, or accepted without data."""
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in envelopes.columns else F.lit(False)
+    refused = ~F.col("stat").eqNullSafe("OK")
+    reason = (
+        F.when(broken, "document_unreadable")
+        .when(refused, F.concat(F.lit("response_not_ok:"), F.coalesce("stat", F.lit("missing"))))
+        .when(F.col("data").isNull(), "accepted_without_data")
     )
+    return envelopes.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def market_month(envelopes: DataFrame) -> DataFrame:
@@ -134,11 +150,23 @@ def _plain_name(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.upper(c), "[\\s　]", ""), wide, narrow)
 
 
+def _category_place(category: str) -> Column:
+    """Number of the first column group that names the category; null if none does."""
+    names = F.transform("data.structure.Table1", lambda x: _plain_name(x["data"]))
+    hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(names) - 1, F.lit(0))), lambda i: F.contains(F.get(names, i), F.lit(category)))
+    return F.get(hits, F.lit(0))
+
+
+def money_supply_rejects(documents: DataFrame, category: str = "M1B") -> DataFrame:
+    """Documents that hold no values of the category, with the reason."""
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in documents.columns else F.lit(False)
+    reason = F.when(broken, "document_unreadable").when(_category_place(category).isNull(), "category_missing").when(F.col("data.dataSets").isNull(), "no_data")
+    return documents.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def money_supply(documents: DataFrame, category: str = "M1B") -> DataFrame:
     """Monthly values of one category: each category owns a value and a growth column."""
-    names = F.transform("data.structure.Table1", lambda x: _plain_name(x["data"]))
-    hits = F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda i: F.contains(F.get(names, i), F.lit(category)))
-    located = documents.select(F.get(hits, F.lit(0)).alias("at"), F.explode("data.dataSets").alias("row"))
+    located = documents.select(_category_place(category).alias("at"), F.explode("data.dataSets").alias("row"))
     period = parse_month_period(_cell(0))
     return located.where(F.col("at").isNotNull()).select(
         F.date_format(period, "yyyy-MM").alias("period"),

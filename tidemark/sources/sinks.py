@@ -35,9 +35,10 @@ def range_replace(old: DataFrame, new: DataFrame, ranges: DataFrame) -> DataFram
 def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Decide for each incoming row: append, already there, or conflict.
 
-    Both carry ``fingerprint`` (of the content) and ``idempotency_key``.  Equal
-    content is appended once.  A key seen before, or twice in the batch, with
-    other content is a conflict.
+    Both carry ``fingerprint`` (of the content) and ``idempotency_key``; one row
+    per pair of them comes out.  Equal content is appended once, under its least
+    key of the batch; the other keys of that content are unchanged.  A key seen
+    before, or twice in the batch, with other content is a conflict.
     """
     # Only ledger rows that the batch names matter; a small batch is broadcast and the ledger is not shuffled.
     named_content = incoming.select("fingerprint").distinct()
@@ -47,10 +48,15 @@ def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     taken = existing.select("idempotency_key", F.col("fingerprint").alias("_old"))
     by_key = taken.join(named_keys, "idempotency_key", "left_semi").groupBy("idempotency_key").agg(F.min("_old").alias("_old"))
-    once = newest(incoming, ["fingerprint"], ["idempotency_key"])
+    once = newest(incoming, ["fingerprint", "idempotency_key"], ["fingerprint"])
     in_batch = once.groupBy("idempotency_key").agg(F.min("fingerprint").alias("_first"))
+    # Only a pair that is no conflict of its own may stand for the content.
+    keyed = once.join(in_batch, "idempotency_key").join(by_key, "idempotency_key", "left")
+    fit = (F.col("_first") == F.col("fingerprint")) & F.coalesce(F.col("_old") == F.col("fingerprint"), F.lit(True))
+    lead = keyed.where(fit).groupBy("fingerprint").agg(F.min("idempotency_key").alias("_lead"))
     rows = (
         once.join(known, "fingerprint", "left")
+        .join(lead, "fingerprint", "left")
         .join(by_key, "idempotency_key", "left")
         .join(in_batch, "idempotency_key", "left")
     )
@@ -58,6 +64,7 @@ def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         F.when(F.col("_known").isNotNull(), "unchanged")
         .when(F.col("_old").isNotNull() & (F.col("_old") != F.col("fingerprint")), "conflict")
         .when(F.col("_first") != F.col("fingerprint"), "conflict")
+        .when(F.col("_lead") != F.col("idempotency_key"), "unchanged")
         .otherwise("append")
     )
     return rows.select(*incoming.columns, decision.alias("decision"))
@@ -71,11 +78,9 @@ def write_version(df: DataFrame, path: str, version: str, partition_by: Sequence
 
 
 def write_results(tables: Mapping[str, DataFrame], path: str, run_id: str, fmt: str = "parquet") -> None:
-    """Result tables of one run, each partitioned by the run."""
+    """Result tables of one run, each in the run's partition; writing a run again replaces it."""
     for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").format(fmt).option(
-            "header", "true"
-        ).save(f"{path.rstrip('/')}/{name}")
+        df.write.mode("overwrite").format(fmt).option("header", "true").save(f"{path.rstrip('/')}/{name}/run_id={run_id}")
 
 
 def write_snapshot(panel: DataFrame, ledgers: Mapping[str, DataFrame], path: str) -> None:
