@@ -94,31 +94,37 @@ def _enter_buckets(hashes: int):
     return run
 
 
-def _links_of_run(node: np.ndarray, weight: np.ndarray, vectors: np.ndarray, side: np.ndarray, bucket: int, hashes: int, threshold: float):
-    """Counts and edges of one unit: (node, linked vectors, smallest node of its cluster here)."""
+def _close_pairs(vectors: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a unit with a partner, and which of them link."""
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]  # within a block another unit compares
     some = np.flatnonzero(linked.any(axis=1))
-    if not len(some):
-        return None
-    linked, node, weight = linked[np.ix_(some, some)], node[some], weight[some]
-    _, inverse, counts = np.unique(own := bucket_ids(vectors[some], hashes), return_inverse=True, return_counts=True)
-    earlier = (counts[inverse.reshape(own.shape)] > 1) & (own < bucket)
-    ids, place = np.unique(own[earlier], return_inverse=True)
-    if len(ids):
-        member = np.zeros((len(some), len(ids)), np.float32)
-        member[np.nonzero(earlier)[0], place] = 1.0
-        linked &= member @ member.T == 0
+    return some, linked[np.ix_(some, some)]
+
+
+def _first_meetings(linked: np.ndarray, buckets: np.ndarray, bucket: int) -> np.ndarray:
+    """The links whose two rows share no bucket below this one."""
+    _, inverse, counts = np.unique(buckets, return_inverse=True, return_counts=True)
+    earlier = (counts[inverse.reshape(buckets.shape)] > 1) & (buckets < bucket)
+    ids, place = np.unique(buckets[earlier], return_inverse=True)
+    if not len(ids):
+        return linked
+    member = np.zeros((len(buckets), len(ids)), np.float32)
+    member[np.nonzero(earlier)[0], place] = 1.0
+    return linked & (member @ member.T == 0)
+
+
+def _least_reached(node: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Least node of each row's cluster, by spreading minima."""
     low = node.copy()
-    while True:  # least node of each cluster, by spreading minima
+    while True:
         spread = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (spread == low).all():
-            break
+            return low
         low = spread
-    return node, (linked * weight[None, :]).sum(axis=1), low
 
 
 def _verify(hashes: int, threshold: float):
@@ -150,16 +156,30 @@ def _links(rows: pa.Table, starts: np.ndarray, hashes: int, threshold: float) ->
     bucket, node, weight, side, length = (rows.column(c).to_numpy() for c in ("bucket", "node", "weight", "side", "length"))
     vector = rows.column("vector").combine_chunks()
     offsets, values = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False)
-    out = []
+    pairs = []
     for a, b in zip(starts, ends, strict=True):
-        if b - a < 2:
-            continue
-        v = values[offsets[a] : offsets[b]].reshape(b - a, length[a]).astype(float)
-        found = _links_of_run(node[a:b], weight[a:b], v, side[a:b], int(bucket[a]), hashes, threshold)
-        if found:
-            out.append(found)
-    if out:
-        yield pa.record_batch([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], names=["node", "links", "low"])
+        if b - a > 1:
+            v = values[offsets[a] : offsets[b]].reshape(b - a, length[a]).astype(float)
+            some, linked = _close_pairs(v, side[a:b], threshold)
+            if len(some):
+                pairs.append((a + some, linked))
+    if not pairs:
+        return
+    # Buckets of the rows that link, each vector hashed once.
+    used = np.unique(np.concatenate([at for at, _ in pairs]))
+    _, first, which = np.unique(node[used], return_index=True, return_inverse=True)
+    hashed: dict[int, np.ndarray] = {}
+    for size in np.unique(length[used[first]]):
+        own = np.flatnonzero(length[used[first]] == size)
+        at = offsets[used[first[own]]]
+        for k, buckets in zip(own, bucket_ids(values[at[:, None] + np.arange(size)].astype(float), hashes), strict=True):
+            hashed[int(k)] = buckets
+    out = []
+    for at, linked in pairs:
+        buckets = np.stack([hashed[int(which[k])] for k in np.searchsorted(used, at)])
+        linked = _first_meetings(linked, buckets, int(bucket[at[0]]))
+        out.append((node[at], (linked * weight[at][None, :]).sum(axis=1), _least_reached(node[at], linked)))
+    yield pa.record_batch([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], names=["node", "links", "low"])
 
 
 def hashes_for(vectors: int, length: int) -> int:
