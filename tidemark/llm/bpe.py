@@ -18,6 +18,7 @@ import heapq
 import json
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.tables import whole_text
 
-PIECES_KEPT = 200_000  # per Python worker
+PIECES_KEPT = 200_000  # pieces, and chunks between white space, per Python worker
+LOW = (1 << 32) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -48,7 +50,7 @@ class Vocabulary:
     """What a worker needs of a vocabulary file."""
 
     strings: list[str]  # by id
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair of ids -> (rank, id of the merged symbol)
+    merges: dict[int, int]  # pair of ids (first << 32 | second) -> rank << 32 | id of the merged symbol
     first: list[int]  # id of each byte inside a piece
     final: list[int]  # id of each byte at the end of a piece
     special: dict[str, int]
@@ -72,38 +74,51 @@ def read_vocabulary(path: str) -> Vocabulary:
     for text, i in [*ids.items(), *special.items()]:
         strings[i] = text
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+    merges = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
     signs = byte_alphabet()
     return Vocabulary(strings, merges, [ids[s] for s in signs], [ids[s + end] for s in signs], special, split["pattern"]["Regex"])
 
 
-def merge_piece(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply all merges to one piece, best rank first, leftmost first among equals."""
+def merge_piece(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """Apply all merges to one piece, best rank first, leftmost first among equals.
+
+    Queue entries are (rank << 32) | place.  A rank belongs to one pair only,
+    so an entry is stale if the pair at its place has another rank by now.
+    """
     n = len(symbols)
     symbols, left, right = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(*merges[pair], i, pair) for i in range(n - 1) if (pair := (symbols[i], symbols[i + 1])) in merges]
-    queue = [(rank, i, pair, new) for rank, new, i, pair in queue]
+    found = merges.get
+    queue = []
+    for i in range(n - 1):
+        merge = found(symbols[i] << 32 | symbols[i + 1])
+        if merge is not None:
+            queue.append((merge & ~LOW) | i)
     heapq.heapify(queue)
     while queue:
-        _, at, pair, new = heapq.heappop(queue)
+        entry = heapq.heappop(queue)
+        at = entry & LOW
         after = right[at]
-        if after < 0 or (symbols[at], symbols[after]) != pair:
+        if after < 0 or symbols[at] < 0:
+            continue
+        merge = found(symbols[at] << 32 | symbols[after])
+        if merge is None or merge >> 32 != entry >> 32:
             continue  # stale: one of the two has been merged already
-        symbols[at], symbols[after] = new, -1
+        symbols[at], symbols[after] = merge & LOW, -1
         right[at] = right[after]
         if right[at] >= 0:
             left[right[at]] = at
-        for a in (left[at], at):
-            if a >= 0 and right[a] >= 0:
-                fresh = (symbols[a], symbols[right[a]])
-                if fresh in merges:
-                    rank, merged = merges[fresh]
-                    heapq.heappush(queue, (rank, a, fresh, merged))
+            fresh = found(symbols[at] << 32 | symbols[right[at]])
+            if fresh is not None:
+                heapq.heappush(queue, (fresh & ~LOW) | at)
+        if left[at] >= 0:
+            fresh = found(symbols[left[at]] << 32 | symbols[at])
+            if fresh is not None:
+                heapq.heappush(queue, (fresh & ~LOW) | left[at])
     return [s for s in symbols if s >= 0]
 
 
-class Chunks(dict):
-    """Ids of the chunks seen last."""
+class Known(dict):
+    """Ids of the texts seen last."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
@@ -124,15 +139,16 @@ class Encoder:
         self.strings = pa.array(vocabulary.strings, pa.large_string())
         self.piece = regex.compile(vocabulary.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.chunks = Chunks(self._chunk)
+        self.chunks = Known(self._chunk)
+        self.pieces = Known(self._piece)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids (int32) of a stretch without white space."""
-        v, out = self.vocabulary, []
-        for piece in self.piece.findall(chunk):
-            raw = piece.encode()
-            out += merge_piece([*(v.first[b] for b in raw[:-1]), v.final[raw[-1]]], v.merges)
-        return np.array(out, np.int32).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk)))
+
+    def _piece(self, piece: str) -> bytes:
+        v, raw = self.vocabulary, piece.encode()
+        return array("i", merge_piece([*(v.first[b] for b in raw[:-1]), v.final[raw[-1]]], v.merges)).tobytes()
 
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
