@@ -37,6 +37,10 @@ HEADLINE = (
     "latest_revision_many_cutoffs",
     "eps_pe_matrix",
     "liquidity_alert",
+    "liquidity_latest",
+    "universe_gate",
+    "reconcile_status",
+    "sma_adjusted_prices",
     "metric_percentile",
     "ttm_sum",
     "overlap_clusters",
@@ -46,6 +50,9 @@ HEADLINE = (
     "dependency_freshness",
     "provider_health",
     "append_decision",
+    "stream_ledger_append",
+    "stream_turnover_pairing",
+    "stream_evidence_gate",
 )
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import confluence as cf, freshness as fr, indicators as ind, snapshots as sn, valuation as val
+from tidemark.operators import confluence as cf, freshness as fr, indicators as ind, quality as ql, screening as sg, snapshots as sn, valuation as val, walkforward as wf
 from tidemark.sources import landed as ld, sinks as sk
 
 
@@ -81,3 +81,17 @@ def test_queue_page_takes_its_limit_and_breaks_ties_by_symbol(spark):
     df = spark.range(80).select(F.col("id").alias("item_id"), F.format_string("S%02d", 79 - F.col("id")).alias("symbol"), F.lit("2020-01-01").cast("timestamp").alias("updated_at"), F.lit(False).alias("archived"))
     page = sn.queue_page(df, "updated", limit=80).collect()
     assert len(page) == 80 and [r.symbol for r in page] == sorted(r.symbol for r in page)
+
+
+def test_symbols_without_rows_are_kept_as_insufficient(spark):
+    asked = spark.createDataFrame([("A", "c1"), ("Z", "c1")], "symbol string, candidate_id string")
+    values = spark.createDataFrame([("A", "2020-01-01", 10.0, 1.0, 0.02)], "symbol string, metric_date string, pe double, pb double, dividend_yield_ratio double")
+    values = values.withColumn("metric_date", F.col("metric_date").cast("date"))
+    got = sg.metric_percentile(values, "2020-06-01", 5, 1, {"pe": 50, "pb": 50, "dividend_yield": 50}, asked).where("symbol = 'Z'").collect()
+    assert {(r.status, r.reason) for r in got} == {("insufficient_data", "no_valuation_history")} and len(got) == 3
+    results = spark.createDataFrame([("A", "c1", 1.0, 2.0, 3)], "symbol string, candidate_id string, total_return_pct double, max_drawdown_pct double, total_trades long")
+    assert {r.symbol: r.training_window_count for r in wf.sensitivity_summary(results, asked).collect()} == {"A": 1, "Z": 0}
+    bars = spark.createDataFrame([("A", "2020-01-01", 1, 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, date string, ingest_order int, open double, high double, low double, close double, volume double")
+    bars = bars.withColumn("date", F.col("date").cast("date"))
+    profile = ql.data_quality_profile(bars, bars.select("date"), symbols=asked).collect()
+    assert {r.symbol: (r.row_count, r.status) for r in profile} == {"A": (1, "available"), "Z": (0, "insufficient_data")}

@@ -92,8 +92,11 @@ def bar_returns(raw: DataFrame, order: str = "ingest_order") -> DataFrame:
     )
 
 
-def data_quality_profile(raw: DataFrame, calendar: DataFrame, order: str = "ingest_order") -> DataFrame:
-    """One row of quality facts per symbol, and whether any of them is a warning."""
+def data_quality_profile(raw: DataFrame, calendar: DataFrame, order: str = "ingest_order", symbols: DataFrame | None = None) -> DataFrame:
+    """One row of quality facts per symbol, and whether any of them is a warning.
+
+    With ``symbols``, those without a row are kept as ``insufficient_data``.
+    """
     rows = bar_returns(raw, order)
     invalid: Column = F.col("high") < F.col("low")
     for c in PRICES:
@@ -120,7 +123,11 @@ def data_quality_profile(raw: DataFrame, calendar: DataFrame, order: str = "inge
     counts = ["duplicate_dates", "invalid_price_rows", "zero_volume_rows", "large_return_rows", "missing_reference_dates"]
     counts += [f"missing_{c}" for c in REQUIRED]
     warned = F.greatest(*counts) > 0
-    return out.withColumn("status", F.when(warned, "quality_warning").otherwise("available"))
+    out = out.withColumn("status", F.when(warned, "quality_warning").otherwise("available"))
+    if symbols is None:
+        return out
+    known = symbols.select("symbol").distinct().join(out, "symbol", "left")
+    return known.fillna(0, ["row_count"]).fillna("insufficient_data", ["status"]).select(*out.columns)
 
 
 def actions_by_day(actions: DataFrame) -> DataFrame:

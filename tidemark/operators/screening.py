@@ -20,12 +20,15 @@ METRICS = {
 }
 
 
-def metric_percentile(valuations: DataFrame, cutoff: str, years: int, minimum: int, thresholds: dict[str, float]) -> DataFrame:
+def metric_percentile(
+    valuations: DataFrame, cutoff: str, years: int, minimum: int, thresholds: dict[str, float], symbols: DataFrame | None = None
+) -> DataFrame:
     """Percentile component per symbol and metric over the trailing years.
 
     The current row is found by aggregation and joined back on the symbol; the
     count of lower values is then a plain aggregate with map-side partials.
-    More than one row on the newest day makes the symbol ambiguous.
+    More than one row on the newest day makes the symbol ambiguous.  With
+    ``symbols``, those without history are kept as ``insufficient_data``.
     """
     end = F.to_date(F.lit(cutoff).cast("timestamp"))
     start = F.add_months(end, -12 * years)
@@ -54,10 +57,14 @@ def metric_percentile(valuations: DataFrame, cutoff: str, years: int, minimum: i
             F.count_if(ok & (F.col(c) <= F.col(f"now_{name}"))).alias(f"below_{name}"),
         ]
     counted = rows.join(newest, "symbol").groupBy("symbol").agg(*aggs)
+    if symbols is not None:
+        counts = ["rows", *[f"n_{name}" for name in METRICS], *[f"below_{name}" for name in METRICS]]
+        counted = symbols.select("symbol").distinct().join(counted, "symbol", "left").fillna(0, counts)
     parts = []
     for name, (_, lower, zero) in METRICS.items():
         now, n = F.col(f"now_{name}"), F.col(f"n_{name}")
         reason = first_reason(
+            (F.col("current_rows").isNull(), "no_valuation_history"),
             (F.col("current_rows") != 1, "ambiguous_current_valuation_observation"),
             (~valid(now, zero), f"invalid_{name}"),
             (n < minimum, f"{name}_minimum_observations_not_met"),

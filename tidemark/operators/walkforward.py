@@ -206,8 +206,12 @@ def buy_and_hold_equity(rows: DataFrame, cash: float, keys: Sequence[str] = ("sy
     ).drop("_price", "_final")
 
 
-def risk_metrics(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Return, drawdown, Sharpe, trades, win rate and exposure per key."""
+def risk_metrics(equity: DataFrame, keys: Sequence[str], flat_below: float = 1e-12) -> DataFrame:
+    """Return, drawdown, Sharpe, trades, win rate and exposure per key.
+
+    A curve whose daily returns deviate by ``flat_below`` at most is flat and
+    has no Sharpe ratio; the default covers rounding noise, 0 tests exactly.
+    """
     w = Window.partitionBy(*keys).orderBy("date")
     peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = equity.withColumns(
@@ -224,8 +228,7 @@ def risk_metrics(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("pos").alias("held"),
         F.count(F.lit(1)).alias("observation_days"),
     )
-    # A flat curve has no spread; below 1e-12 the deviation is rounding noise.
-    sharpe = F.when((F.col("n_ret") >= 2) & (F.col("sd") > 1e-12), F.col("mean") / F.col("sd") * (K.TRADING_DAYS_PER_YEAR**0.5))
+    sharpe = F.when((F.col("n_ret") >= 2) & (F.col("sd") > flat_below), F.col("mean") / F.col("sd") * (K.TRADING_DAYS_PER_YEAR**0.5))
     return g.select(
         *keys,
         half_up((F.col("final") - 1.0) * 100.0, 4).alias("total_return_pct"),
@@ -346,9 +349,13 @@ def excess_returns(aggregates: DataFrame, model: str, others: Sequence[str]) ->
     )
 
 
-def sensitivity_summary(results: DataFrame) -> DataFrame:
-    """Per candidate: mean, median, share of positive windows, worst drawdown, trades."""
-    return results.groupBy("symbol", "candidate_id").agg(
+def sensitivity_summary(results: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Per candidate: mean, median, share of positive windows, worst drawdown, trades.
+
+    With ``asked`` (symbol, candidate_id), pairs without a training window are
+    kept with a count of 0 and no figures.
+    """
+    out = results.groupBy("symbol", "candidate_id").agg(
         F.count(F.lit(1)).alias("training_window_count"),
         half_up(F.avg("total_return_pct"), 4).alias("average_return_pct"),
         half_up(F.median("total_return_pct"), 4).alias("median_return_pct"),
@@ -356,6 +363,10 @@ def sensitivity_summary(results: DataFrame) -> DataFrame:
         F.max("max_drawdown_pct").alias("worst_drawdown_pct"),
         F.sum("total_trades").alias("total_trades"),
     )
+    if asked is None:
+        return out
+    pairs = asked.select("symbol", "candidate_id").distinct()
+    return pairs.join(out, ["symbol", "candidate_id"], "left").fillna(0, ["training_window_count"])
 
 
 def sensitivity_spread(summary: DataFrame) -> DataFrame:
