@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from tidemark.llm.tables import whole_text
 
 PIECES_KEPT = 200_000  # pieces, and chunks between white space, per Python worker
+ROWS_AT_ONCE = 256  # decoded together
 LOW = (1 << 32) - 1
 
 
@@ -193,10 +194,13 @@ def _encoded(texts: pa.Array, shared: SharedVocabulary) -> pa.Array:
 
 
 def _decoded(lists: pa.Array, shared: SharedVocabulary) -> pa.Array:
-    strings = shared.encoder().strings
-    space = pa.scalar(" ", pa.large_string())
-    rows = (strings.take(row.values) for row in lists)
-    return pa.array([pc.binary_join(pa.ListArray.from_arrays([0, len(r)], r), space)[0].as_py() for r in rows], pa.string())
+    strings, space = shared.encoder().strings, pa.scalar(" ", pa.large_string())
+    out = [pa.array([], pa.string())]
+    for at in range(0, len(lists), ROWS_AT_ONCE):
+        part = lists.slice(at, ROWS_AT_ONCE)
+        ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False)))), pa.int32())
+        out.append(pc.binary_join(pa.ListArray.from_arrays(ends, strings.take(part.flatten())), space).cast(pa.string()))
+    return pa.concat_arrays(out)
 
 
 def encode(text: Column, shared: SharedVocabulary) -> Column:
