@@ -19,8 +19,8 @@ Frequent hashes are counted over all documents: each task reports hashes it
 has met several times, and the sums rank them.  The ranking steers the order
 only; no pair depends on it.
 
-Verification.  First every set is compared with the set that shares most
-signatures with it among the least of its groups; confirmed pairs give
+Verification.  First every set is compared with one centre: of the sets that
+meet most others, the one it shares most signatures with.  Confirmed pairs give
 components.  Then the groups that still hold several components are compared
 in blocks, across components only, after size and a parity sketch (a lower
 bound of the difference) have ruled out what they can.  Each pair left is
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.tables import settle, shared_if_small, stored
+from tidemark.llm.tables import BROADCAST_ROWS, shared_if_small, stored
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity: DEN * intersection >= NUM * union
@@ -246,35 +246,58 @@ def _sign(shared: Broadcast):
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, sid): members of signatures with two or more sets, with the least of them."""
+    """From rows sorted by (sig, sid): each set once per signature, signatures with one set left out."""
     last: tuple[int, int] | None = None  # sig and sid of the last row
-    low, waiting = 0, False  # least set of the open run, and whether it still has to be given out
+    waiting = False  # the last row began its run and has not been given out
     for batch in batches:
         sig, sid = batch.column("sig").to_numpy(), batch.column("sid").to_numpy()
-        if last is not None:
-            sig, sid = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], sid))
         if not len(sig):
             continue
+        if last is not None:
+            sig, sid = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], sid))
         fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))
         sig, sid = sig[fresh], sid[fresh]
         start = np.concatenate(([True], sig[1:] != sig[:-1]))
-        first = np.flatnonzero(start)
-        lows = sid[first]
-        if last is not None:
-            lows[0] = low
-        run = np.cumsum(start) - 1
-        out = ~start
-        alone = np.append(start[1:], True)
-        out[first] = ~alone[first]
-        if last is not None:  # the first row is the carried one: given out before unless it waits
-            out[0] = waiting and len(sig) > 1 and not start[1]
-            waiting_now = waiting and (len(sig) == 1 or bool(start[1]))
-        else:
-            waiting_now = False
+        more = np.append(~start[1:], False)  # another set of the same signature follows
+        out = ~start | more
+        if last is not None:  # the first row is the carried one
+            start[0] = waiting
+            out[0] = waiting and more[0]
         if out.any():
-            yield pa.record_batch([pa.array(sig[out]), pa.array(sid[out]), pa.array(lows[run][out])], names=["sig", "sid", "low"])
-        waiting = bool(start[-1]) if len(sig) > 1 or last is None else waiting_now
-        last, low = (int(sig[-1]), int(sid[-1])), int(lows[-1])
+            yield pa.record_batch([pa.array(sig[out]), pa.array(sid[out])], names=["sig", "sid"])
+        last, waiting = (int(sig[-1]), int(sid[-1])), bool(start[-1])
+
+
+def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, length) of each run of equal signatures."""
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    return first, np.diff(np.append(first, len(sig)))
+
+
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many other sets each set meets, per batch."""
+    for batch in batches:
+        if batch.num_rows:
+            _, size = _runs(batch.column("sig").to_numpy())
+            yield pa.record_batch([batch.column("sid"), pa.array(np.repeat(size - 1, size))], names=["sid", "met"])
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set of a signature with the one of them that meets most others.
+
+    A signature cut by the end of a batch has two centres, which is no loss:
+    centres are proposals only.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, sid, met = (batch.column(c).to_numpy() for c in ("sig", "sid", "met"))
+        first, size = _runs(sig)
+        run = np.repeat(np.arange(len(first)), size)
+        order = np.lexsort((sid, -met, run))
+        centre = np.repeat(sid[order[first]], size)
+        other = centre != sid
+        yield pa.record_batch([pa.array(sid[other]), pa.array(centre[other])], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +398,25 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from units(held, np.zeros(1, np.int64))
 
 
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """For each set the one set (a, b) that it shares most signatures with among those that meet most others.
+
+    The original of a group of edited copies shares more with each of them
+    than they share with each other, so it becomes the centre of the group.
+    """
+    company = stored(shared.mapInArrow(_company, "sid bigint, met bigint").groupBy("sid").agg(F.sum("met").alias("met")), "company")
+    if company.count() <= BROADCAST_ROWS:
+        rows = shared.join(F.broadcast(company), "sid")
+    else:
+        rows = shared.join(company, "sid").repartition("sig").sortWithinPartitions("sig")
+    common = rows.select("sig", "sid", "met").mapInArrow(_centres, "a bigint, b bigint").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return common.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+
+
 def remaining_pairs(shared: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of sets that share a signature and are in different components so far."""
     known = stored(known.select(F.col("node").alias("sid"), "component"), "known")
-    labelled = shared.select("sig", "sid").join(shared_if_small(known), "sid", "left")
+    labelled = shared.join(shared_if_small(known), "sid", "left")
     labelled = labelled.select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
     # A signature's rows lie together, so its counts are nearly done before they are shuffled.
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 != c1")
@@ -411,14 +449,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared_hot = spark.sparkContext.broadcast(Hot(hot))
 
     signed = texts.where("doc_id is not null").select("text").mapInArrow(_sign(shared_hot), "sig bigint, sid bigint")
-    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared_runs, "sig bigint, sid bigint, low bigint"), "shared")
+    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "sid").mapInArrow(_shared_runs, "sig bigint, sid bigint"), "shared")
 
     sets = stored(usable.groupBy("sid", "chk").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "sets")
     names = sets.select("sid", "doc_id")
-    common = shared.where("sid != low").groupBy("sid", "low").agg(F.count(F.lit(1)).alias("n"))
-    stars = common.groupBy(F.col("sid").alias("a")).agg(F.max_by("low", F.struct("n", "low")).alias("b"))
-    first = settle(verify(_rule_out(stars, sets), names, texts))
-    rest = settle(verify(remaining_pairs(shared, components(first), sets), names, texts))
+    first = stored(verify(stored(_rule_out(star_pairs(shared), sets), "stars"), names, texts), "first")
+    pairs = stored(remaining_pairs(shared, components(first), sets), "pairs")
+    rest = stored(verify(pairs, names, texts), "rest")
 
     edges = first.unionByName(rest)
     joined = edges.join(names.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
