@@ -389,7 +389,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([held, rows]) if held is not None else rows
-        keys = np.column_stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
+        keys = np.column_stack([rows.column(c).to_numpy() for c in ("hub", "i", "j")])
         starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
         last = int(starts[-1]) if len(starts) else 0
         held = rows.slice(last)
@@ -418,14 +418,17 @@ def remaining_pairs(shared: DataFrame, known: DataFrame, sets: DataFrame) -> Dat
     known = stored(known.select(F.col("node").alias("sid"), "component"), "known")
     labelled = shared.join(shared_if_small(known), "sid", "left")
     labelled = labelled.select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
-    # A signature's rows lie together, so its counts are nearly done before they are shuffled.
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).where("c0 != c1")
-    mixed = stored(mixed.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    met = labelled.join(shared_if_small(mixed), "sig").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    # A signature's rows lie together, so its bounds are nearly done before they are shuffled.
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("hub"), F.max("comp").alias("other")).where("hub != other")
+    mixed = stored(mixed.select("sig", "hub"), "mixed")
+    # Signatures with the same least component make one group: their pairs are looked at once.
+    groups = stored(labelled.join(shared_if_small(mixed), "sig").select("hub", "sid", "comp").distinct(), "groups")
+    sizes = stored(groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
+    met = groups.join(shared_if_small(sizes), "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     units = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("sig", "sid", "comp", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).cast("int").alias("side"))
-    work = units.join(sets.select("sid", "n", "sketch"), "sid").select("sig", "i", "j", "sid", "comp", "n", "side", "sketch")
-    work = work.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "sid")
+    units = units.select("hub", "sid", "comp", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).cast("int").alias("side"))
+    work = units.join(sets.select("sid", "n", "sketch"), "sid").select("hub", "i", "j", "sid", "comp", "n", "side", "sketch")
+    work = work.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "sid")
     return work.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
 
 
