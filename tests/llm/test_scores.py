@@ -160,6 +160,23 @@ def test_html_query_against_articles(spark):
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in sorted(html_extract.extract_main_text(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_host_of_mixed_layouts(spark):
+    """A page is not emptied because others of its host have an article or a paragraph of links."""
+    pages = [(f"http://m.example/{k}", f"<body><div>out</div><article><p>Story {k}</article></body>") for k in range(6)]
+    pages += [(f"http://m.example/{k}", f"<body><div class=content><p>Plain {k}</div></body>") for k in range(6, 26)]
+    pages += [(f"http://l.example/{k}", f"<body><div class=content><p>A long text without links {k}</div></body>") for k in range(20)]
+    pages += [("http://l.example/20", "<body><div class=content><p><a href=x>all of it</a></div></body>")]
+    pages += [(f"http://l.example/{k}", f"<body><div class=list><p><a href=x>one {k}</a> and</div><div class=content><p>Words {k}</div></body>") for k in range(21, 30)]
+    want = [f"Story {k}" for k in range(6)] + [f"Plain {k}" for k in range(6, 26)]
+    want += [f"A long text without links {k}" for k in range(20)] + ["all of it"] + [f"Words {k}" for k in range(21, 30)]
+    assert extracted(spark, pages) == want
+
+
 def test_simple_tree_match():
     a = ["r", [["x", [], 1], ["y", [["z", [], 3]], 2], ["x", [], 4]], 0]
     b = ["r", [["y", [["z", [], 2], ["w", [], 3]], 1], ["x", [], 4]], 0]
