@@ -177,6 +177,15 @@ def test_html_host_of_mixed_layouts(spark):
     assert extracted(spark, pages) == want
 
 
+def test_html_template_text_inside_articles(spark):
+    """Blocks that most pages of a host repeat go, in articles and among varying siblings; copies of a page are one page."""
+    pages = [(f"http://n.example/{k}", f"<body><article><h1>T{k}</h1><div class=box>Print this</div><p>One {k}<p>By our staff<p>Two {k}</article></body>") for k in range(9)]
+    pages += [(f"http://p.example/{k}", f"<body><div class=post><p>One {k}<p>By our staff{'<p>More' * (k % 3 == 0)}</div></body>") for k in range(9)]
+    pages += [(f"http://q.example/{k}", f"<body><div class=ad>a{k}</div><article><p>The same</article></body>") for k in range(5)]
+    want = [f"T{k}\n\nOne {k}\n\nTwo {k}" for k in range(9)] + [f"One {k}" + "\n\nMore" * (k % 3 == 0) for k in range(9)] + ["The same"] * 5
+    assert extracted(spark, pages) == want
+
+
 def test_simple_tree_match():
     a = ["r", [["x", [], 1], ["y", [["z", [], 3]], 2], ["x", [], 4]], 0]
     b = ["r", [["y", [["z", [], 2], ["w", [], 3]], 1], ["x", [], 4]], 0]
