@@ -186,6 +186,14 @@ def test_html_template_text_inside_articles(spark):
     assert extracted(spark, pages) == want
 
 
+def test_html_counts_all_pages(spark):
+    """Constant text goes on hosts of three pages whatever their addresses, and in a rare layout of a large host."""
+    pages = [(f"http://s{k // 3}.example/{k}", f"<body><div class=top>Site {k // 3}</div><div class=post><p>Text {k}</div></body>") for k in range(60)]
+    rare = [k % 20 == 7 for k in range(100)]
+    pages += [(f"http://big.example/{k}", f"<body><div class=post>{'<div class=box>Sign up</div>' * rare[k]}<p>Text {k}</div></body>") for k in range(100)]
+    assert extracted(spark, pages) == [f"Text {k}" for k in [*range(60), *range(100)]]
+
+
 def test_simple_tree_match():
     a = ["r", [["x", [], 1], ["y", [["z", [], 3]], 2], ["x", [], 4]], 0]
     b = ["r", [["y", [["z", [], 2], ["w", [], 3]], 1], ["x", [], 4]], 0]
