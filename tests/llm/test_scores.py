@@ -194,6 +194,16 @@ def test_html_counts_all_pages(spark):
     assert extracted(spark, pages) == [f"Text {k}" for k in [*range(60), *range(100)]]
 
 
+def test_html_names_of_layout_wrappers(spark):
+    """Names that only contain a furniture word hide nothing, nor does a furniture name around the page's article."""
+    names = ["content has-sidebar", "no-sidebar", "with-nav", "search-result-page", "social-news", "search", "social"]
+    pages = [(f"http://w.example/{k}", f"<body><div class='{n}'><article><p>Story {k}<div class=sidebar>side</div></article><div>side {k}</div></div></body>") for k, n in enumerate(names)]
+    pages += [(f"http://v.example/{k}", f"<body><div class='{n}'><p>Plain {k}</div></body>") for k, n in enumerate(names[:5])]
+    pages += [("http://c.example/1", "<body><div class=post>Text</div><div id=comments><article>A reader</article></div></body>")]
+    pages += [("http://c.example/2", "<body><article>Text</article><div class=related><article>A teaser longer than all</article></div></body>")]
+    assert extracted(spark, pages) == [f"Story {k}" for k in range(7)] + [f"Plain {k}" for k in range(5)] + ["Text", "Text"]
+
+
 def test_simple_tree_match():
     a = ["r", [["x", [], 1], ["y", [["z", [], 3]], 2], ["x", [], 4]], 0]
     b = ["r", [["y", [["z", [], 2], ["w", [], 3]], 1], ["x", [], 4]], 0]
