@@ -1,11 +1,35 @@
 """Sizes, odd values and rows that must not vanish."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import confluence as cf, freshness as fr, indicators as ind, quality as ql, screening as sg, snapshots as sn, valuation as val, walkforward as wf
+from tidemark.plans import catalog
 from tidemark.sources import landed as ld, sinks as sk
 
 
+def test_queries_over_the_whole_dimension_keep_symbols_without_rows(spark, tmp_path):
+    for source in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / source.name).symlink_to(source)
+    (tmp_path / "supplier.parquet").unlink()
+    known = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    more = known.limit(1).withColumn("s_suppkey", F.lit(999999).cast(known.schema["s_suppkey"].dataType))
+    known.unionByName(more).write.parquet(f"{tmp_path}/supplier.parquet")
+    for name, rows in (("metric_percentile_asked", 3), ("data_quality_profile_asked", 1), ("buy_and_hold_asked", 1)):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).where("symbol = 'S999999'").collect()
+        assert len(got) == rows and {r.status for r in got} == {"insufficient_data"}
+    assert [r.candidate_count for r in catalog.QUERIES["sensitivity_spread_asked"](spark, str(tmp_path)).where("symbol = 'S999999'").collect()] == [3]
+
+
+def test_windows_without_a_lot_have_a_status(spark):
+    bars = spark.createDataFrame([("A", 1, f"2020-01-0{k}", p, p) for k in (1, 2, 3) for p in (10.0,)] + [("A", 2, f"2021-01-0{k}", 1e6, 1e6) for k in (1, 2, 3)], "symbol string, window_no int, date string, open double, close double")
+    metrics = wf.risk_metrics(wf.buy_and_hold_equity(bars, 1e5), ["symbol", "window_no"])
+    asked = spark.createDataFrame([("A",), ("Z",)], "symbol string")
+    got = wf.buy_and_hold_status(asked, bars.select("symbol", "window_no").distinct(), metrics).collect()
+    assert {(r.symbol, r.window_no, r.status) for r in got} == {("A", 1, "available"), ("A", 2, "cash_below_one_lot"), ("Z", None, "insufficient_data")}
+
+
 def test_large_and_non_finite_amounts(spark):
     df = spark.createDataFrame([(1.2e12, 5e11, 1e6), (float("inf"), 0.0, 1.0), (float("nan"), 0.0, 1.0)], "nopat double, invested_capital double, shares double")
     got = [r.eva for r in val.eva_floor(df, 0.07).collect()]

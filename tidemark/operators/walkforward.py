@@ -206,6 +206,19 @@ def buy_and_hold_equity(rows: DataFrame, cash: float, keys: Sequence[str] = ("sy
     ).drop("_price", "_final")
 
 
+def buy_and_hold_status(asked: DataFrame, windows: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Metrics of every window of the asked symbols, with a status.
+
+    Windows whose first price passes the cash for one lot have no figures;
+    symbols without a window have one row without a number.
+    """
+    metrics = metrics.withColumn("_traded", F.lit(True))
+    rows = windows.select("symbol", "window_no").join(metrics, ["symbol", "window_no"], "left")
+    rows = asked.select("symbol").distinct().join(rows, "symbol", "left")
+    status = F.when(F.col("window_no").isNull(), "insufficient_data").when(F.col("_traded"), "available").otherwise("cash_below_one_lot")
+    return rows.withColumn("status", status).drop("_traded")
+
+
 def risk_metrics(equity: DataFrame, keys: Sequence[str], flat_below: float = 1e-12) -> DataFrame:
     """Return, drawdown, Sharpe, trades, win rate and exposure per key.
 

@@ -80,6 +80,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asked_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol of the dimension, with rows or without."""
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"))
+
+
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars as a provider would land them: nulls, bad ranges, zero volume, repeats."""
     n, k = day_number(), symbol_number()

@@ -258,5 +258,7 @@ def with_views(*names: str, body: str, extra: dict[str, str] | None = None) -> s
     return f"WITH {parts}\n{body}" if parts else body
 
 
+ASKED = "SELECT DISTINCT 'S' || s_suppkey AS symbol FROM supplier"
+
 CUTOFF = "TIMESTAMP '1999-06-30'"
 LATER_CUTOFF = "TIMESTAMP '2000-12-31'"

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import gaps as gp, quality as qa
 from tidemark.plans import domain as d
-from tidemark.plans.domain_sql import half_up, with_views
-from tidemark.plans.registry import query
+from tidemark.plans.domain_sql import ASKED, half_up, with_views
+from tidemark.plans.registry import ORACLES, query
 
 START, END = "1995-01-01", "2001-12-31"
 
@@ -96,6 +96,15 @@ def q_quality(spark, sf_dir):
     return qa.data_quality_profile(d.raw_bars(spark, sf_dir), d.calendar(spark, sf_dir))
 
 
+@query(
+    "data_quality_profile_asked",
+    f"""SELECT a.symbol, q.* EXCLUDE (symbol) REPLACE (coalesce(row_count, 0) AS row_count, coalesce(status, 'insufficient_data') AS status)
+        FROM ({ASKED}) a LEFT JOIN ({ORACLES["data_quality_profile"]}) q ON q.symbol = a.symbol""",
+)
+def q_quality_asked(spark, sf_dir):
+    return qa.data_quality_profile(d.raw_bars(spark, sf_dir), d.calendar(spark, sf_dir), symbols=d.asked_symbols(spark, sf_dir))
+
+
 @query(
     "calendar_gaps",
     with_views("provider", "calendar", extra=GAPS, body="SELECT symbol, date::VARCHAR AS date FROM gaps"),

@@ -153,6 +153,20 @@ def q_ranges(spark, sf_dir):
     return _norm(spark, sf_dir).select("symbol", "candidate_id", "semantic_role", "lo", "hi")
 
 
+@query(
+    "rejected_candidates",
+    with_views(
+        "candidates",
+        body=f"""SELECT * FROM (SELECT symbol, candidate_id, CASE
+            WHEN NOT coalesce(method_family IN ({", ".join(f"'{f}'" for f in (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY))}), false) THEN 'method_family_not_allowed_by_profile'
+            WHEN evidence_level = 'U' THEN 'evidence_level_unverified' WHEN NOT coalesce(price > 0, false) THEN 'price_not_positive' END AS exclusion_reason
+            FROM candidates) WHERE exclusion_reason IS NOT NULL""",
+    ),
+)
+def q_rejected(spark, sf_dir):
+    return cf.rejected_candidates(d.candidates(spark, sf_dir)).select("symbol", "candidate_id", "exclusion_reason")
+
+
 @query(
     "candidate_extract",
     with_views(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.operators import asof, indicators as ind, scenarios as sc, screening as sn, valuation as val
 from tidemark.plans import domain as d
-from tidemark.plans.domain_sql import CUTOFF, with_views
+from tidemark.plans.domain_sql import ASKED, CUTOFF, with_views
 from tidemark.plans.q_ledger import STATES, approved_eps
 from tidemark.plans.q_panel import pivots_cte
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.dimensions import dimension_defects
 
 THRESHOLDS = {"pe": 40.0, "pb": 60.0, "dividend_yield": 30.0}
@@ -69,8 +69,8 @@ METRIC = {
 }
 
 
-def _metric(spark, sf_dir):
-    return sn.metric_percentile(_valuations(spark, sf_dir), d.CUTOFF, YEARS, MINIMUM, THRESHOLDS)
+def _metric(spark, sf_dir, symbols=None):
+    return sn.metric_percentile(_valuations(spark, sf_dir), d.CUTOFF, YEARS, MINIMUM, THRESHOLDS, symbols)
 
 
 @query(
@@ -86,6 +86,18 @@ def q_metric(spark, sf_dir):
     return _metric(spark, sf_dir).withColumns({"value": F.round("value", 6), "percentile": F.round("percentile", 6)})
 
 
+@query(
+    "metric_percentile_asked",
+    f"""WITH m AS ({ORACLES["metric_percentile"]})
+        SELECT * FROM m UNION ALL
+        SELECT symbol, NULL, component, 'insufficient_data', 'no_valuation_history', NULL, 0, 0, NULL, false
+        FROM ({ASKED}) CROSS JOIN (SELECT unnest({_list(sn.METRICS)}) AS component) WHERE symbol NOT IN (SELECT symbol FROM m)""",
+)
+def q_metric_asked(spark, sf_dir):
+    rows = _metric(spark, sf_dir, d.asked_symbols(spark, sf_dir))
+    return rows.withColumns({"value": F.round("value", 6), "percentile": F.round("percentile", 6)})
+
+
 TECH = {
     "tb": """SELECT symbol, date, close, CASE WHEN count(close) OVER w = 21 THEN avg(close) OVER w END AS sma,
         row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars

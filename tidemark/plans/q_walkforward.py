@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.operators import walkforward as wf
 from tidemark.plans import domain as d
-from tidemark.plans.domain_sql import half_up, with_views
+from tidemark.plans.domain_sql import ASKED, half_up, with_views
 from tidemark.plans.q_panel import _RES, _SMA_CTE
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.session import settle
 
 # The panel has about 80 bars a year per symbol, so the bar counts are scaled.
@@ -208,6 +208,17 @@ def q_bh(spark, sf_dir):
     return _bh_metrics(_study(spark, sf_dir))
 
 
+BH_ASKED = f"""SELECT a.symbol, w.window_no, hr.* EXCLUDE (symbol, window_no),
+    CASE WHEN w.window_no IS NULL THEN 'insufficient_data' WHEN hr.symbol IS NULL THEN 'cash_below_one_lot' ELSE 'available' END AS status
+    FROM ({ASKED}) a LEFT JOIN windows w ON w.symbol = a.symbol LEFT JOIN hr ON hr.symbol = w.symbol AND hr.window_no = w.window_no"""
+
+
+@query("buy_and_hold_asked", with_views("bars", extra=BH, body=BH_ASKED))
+def q_bh_asked(spark, sf_dir):
+    study = _shared_study(spark, sf_dir)
+    return wf.buy_and_hold_status(d.asked_symbols(spark, sf_dir), _windows(study), _bh_metrics(study))
+
+
 REGIME = {
     **WB,
     "rg0": """SELECT w.symbol, w.window_no, count(b.date) AS benchmark_rows, arg_max(b.close, b.date) / arg_min(b.close, b.date) - 1 AS r
@@ -341,6 +352,31 @@ def q_spread(spark, sf_dir):
     return wf.sensitivity_spread(wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir))))
 
 
+SENS_ASKED = f"""SELECT a.symbol, c.candidate_id, q.* EXCLUDE (symbol, candidate_id) REPLACE (coalesce(training_window_count, 0) AS training_window_count)
+    FROM ({ASKED}) a CROSS JOIN (SELECT unnest([{", ".join(f"'{c[0]}'" for c in CANDIDATES)}]) AS candidate_id) c
+    LEFT JOIN ({ORACLES["sensitivity_summary"]}) q ON q.symbol = a.symbol AND q.candidate_id = c.candidate_id"""
+
+
+def _asked_sensitivity(spark, sf_dir):
+    asked = d.asked_symbols(spark, sf_dir).withColumn("candidate_id", F.explode(F.array(*[F.lit(c[0]) for c in CANDIDATES])))
+    return wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir)), asked)
+
+
+@query("sensitivity_summary_asked", SENS_ASKED)
+def q_sensitivity_asked(spark, sf_dir):
+    return _asked_sensitivity(spark, sf_dir)
+
+
+@query(
+    "sensitivity_spread_asked",
+    f"""SELECT symbol, count(*) AS candidate_count,
+        {half_up('max(average_return_pct) - min(average_return_pct)', 4)} AS average_return_range_pct,
+        {half_up('avg((average_return_pct > 0)::INT::DOUBLE)', 4)} AS positive_candidate_fraction FROM ({SENS_ASKED}) GROUP BY symbol""",
+)
+def q_spread_asked(spark, sf_dir):
+    return wf.sensitivity_spread(_asked_sensitivity(spark, sf_dir))
+
+
 SELECTED = {
     **TRAINED,
     "el": f"""SELECT *, row_number() OVER (PARTITION BY symbol, window_no ORDER BY total_return_pct DESC, max_drawdown_pct, candidate_id) AS rn
