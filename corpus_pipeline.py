@@ -50,6 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words are no copies of each other and stay, as do rows
     without an identifier.
+    An identifier with several rows is one document with the links of all its
+    texts: its rows stay or go together, and repeats of a kept one all stay.
     """
     found = ngram_components(docs.select("doc_id", "text")).where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -152,6 +152,13 @@ def test_ngram_components_with_frequent_hashes(near_docs, monkeypatch):
     assert got == brute_components(rows_of(near_docs))
 
 
+def test_ngram_components_through_repeated_identifiers(spark, prose):
+    a, b, c = (prose(k, 40) for k in (71, 72, 73))
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (8, c), (7, None), (6, prose(74, 40))], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles > 0): r.component_id for r in ngram_components(docs).collect()}
+    assert got == {(3, True): 3, (7, True): 3, (9, True): 3, (8, True): 8, (7, False): 7, (6, True): 6}
+
+
 def test_ngram_components_of_nothing(odd_docs):
     assert ngram_components(odd_docs.limit(0)).count() == 0
 

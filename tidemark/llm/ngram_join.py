@@ -432,6 +432,15 @@ def remaining_pairs(shared: DataFrame, known: DataFrame, sets: DataFrame) -> Dat
     return work.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
 
 
+def identifier_links(usable: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) from each identifier with several sets to the node of each of them."""
+    bounds = [f(c).alias(f"{k}_{c}") for c in ("sid", "chk") for k, f in (("lo", F.min), ("hi", F.max))]
+    several = usable.groupBy("doc_id").agg(*bounds).where("lo_sid != hi_sid or lo_chk != hi_chk")
+    several = stored(several.select("doc_id"), "several")
+    own = usable.join(shared_if_small(several), "doc_id").select("sid", "chk", F.col("doc_id").alias("a")).distinct()
+    return own.join(sets.select("sid", "chk", F.col("doc_id").alias("b")), ["sid", "chk"]).select("a", "b")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id.
 
@@ -440,7 +449,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     these link with nothing, as do rows without an identifier (component
     null).  component_id is the smallest identifier reachable by links.
     Repeated rows are copies of one document; an identifier with several texts
-    is one node with the links of all.  Other columns are not read.
+    is one node with the links of all, except that its rows without words stay
+    on their own.  Other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -462,7 +472,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     edges = first.unionByName(rest)
     joined = edges.join(names.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
-    found = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = joined.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(identifier_links(usable, sets))
+    found = components(links)
     least = sets.select("sid", "chk", F.col("doc_id").alias("node")).join(found, "node", "left").select("sid", "chk", F.coalesce("component", "node").alias("component"))
     out = base.join(least, ["sid", "chk"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
