@@ -48,6 +48,11 @@ def test_query_matches_sql(spark, duck, name):
     assert rows_of(df.columns, mine) == rows_of(names, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_check_sql_binds(duck, name):
+    duck.execute(f"explain {catalog.ORACLES[name]}")
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
