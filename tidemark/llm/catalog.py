@@ -13,6 +13,7 @@ from tidemark.llm.language_id import identify_languages
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_components
+from tidemark.llm.secret_scan import kind_count, scan_secrets, scan_sql, spans_text
 from tidemark.llm.tables import table
 
 
@@ -72,6 +73,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s.kind.isin("assign", "access", "hex"))
+    counts = [kind_count(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -83,9 +92,11 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_ngram_join": op10_ngram_join,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 ORACLES = {
+    "op11_secret_scan": scan_sql(),
     "op2_line_dedup": r"""
 with lines as (
   select doc_id, coalesce(text, '') as body, unnest(string_split(coalesce(text, ''), chr(10))) as line,
