@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     cur = con.execute(catalog.ORACLES[name])
     names = [c[0] for c in cur.description]

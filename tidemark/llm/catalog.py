@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, quality, toxicity
 from tidemark.llm.embedding_dedup import embedding_near_dups
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.language_id import identify_languages
 from tidemark.llm.line_dedup import dedup_lines
@@ -15,6 +16,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.secret_scan import kind_count, scan_secrets, scan_sql, spans_text
 from tidemark.llm.tables import table
+from tidemark.llm.whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,15 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -93,10 +104,30 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_ngram_join": op10_ngram_join,
     "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
     "op11_secret_scan": scan_sql(),
+    "op12_hard_negatives": r"""
+with whole as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * cast(x as double)) for x in embedding] as v
+  from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from whole a join whole b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as integer) as rank,
+       n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on p.anchor_id = n.anchor_id and not n.same
+  and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) <= 3
+""",
     "op2_line_dedup": r"""
 with lines as (
   select doc_id, coalesce(text, '') as body, unnest(string_split(coalesce(text, ''), chr(10))) as line,
