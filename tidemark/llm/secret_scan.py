@@ -72,9 +72,9 @@ RULES = BASE_RULES + MORE_RULES
 
 def trigram_entries(texts: DataFrame, grams: list[str], buckets: int) -> DataFrame:
     """(bucket, slot, grams) of (id, text): the numbers of the trigrams in the lower-cased text, one row per slot and set."""
-    low = F.lower("text")
-    there = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    return texts.select(*slot_of(buckets), there.alias("grams")).where(F.size("grams") > 0).distinct()
+    low = texts.select(*slot_of(buckets), F.lower("text").alias("low"))  # by itself, so that it is computed once
+    there = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
+    return low.select("bucket", "slot", there.alias("grams")).distinct()
 
 
 def slot_of(buckets: int) -> list[Column]:
