@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tidemark.llm import exact_dedup as ed
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.graph import components
 from tidemark.llm.line_dedup import dedup_lines
@@ -41,6 +42,24 @@ def test_exact_dedup(spark, odd_docs):
     got = sorted((tuple(r) for r in exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr)
     assert got == brute_exact(rows_of(docs))
     assert exact_dedup(docs.limit(0)).count() == 0
+    assert sorted((tuple(r) for r in exact_dedup(docs, fan_in_bits=1, levels=4).collect()), key=repr) == got
+
+
+def test_exact_dedup_merges_sorted_runs(spark, odd_docs):
+    """Every level deals pieces of runs, sorts them and aggregates in that order; nothing is hashed together."""
+    runs = ed.leaf_runs(ed.digests(odd_docs, "doc_id", "text", 8))
+    for level in (1, 2, 3):
+        runs = ed.merge_round(runs, 1, level)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan.replace("ObjectHashAggregate", "HashAggregate")
+    assert plan.count("SortAggregate") >= 4 and plan.count("Sort [run") >= 4
+    assert len(re.findall(r"Exchange hashpartitioning\(run#\d+, piece#\d+L", plan)) == 3
+    rows = runs.orderBy("run", "piece").collect()
+    assert {r.run for r in rows} == {0} and {r.piece for r in rows} <= set(range(8))
+    assert [r.piece for r in rows] == [r.digest[0] >> 5 for r in rows]
+    assert len({bytes(r.digest) for r in rows}) == len(rows)
+    assert sum(r.n for r in rows) == odd_docs.count()
+    assert (ed.levels_for(0), ed.levels_for(10**7), ed.levels_for(10**10)) == (2, 3, 6)
 
 
 def brute_lines(rows):
