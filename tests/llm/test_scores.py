@@ -125,6 +125,54 @@ def test_embeddings(spark):
     assert embedding_near_dups(df.limit(0)).count() == 0
 
 
+def linked_by_force(rows):
+    """Identifier -> (links, component) of rows of usable vectors; an identifier is one node."""
+    good = [(i, np.array(v, float) / np.abs(v).max()) for i, v in rows]
+    links, part = {i: 0 for i, _ in good}, {i: i for i, _ in good}
+    close = [(i, j) for a, (i, v) in enumerate(good) for b, (j, w) in enumerate(good) if a != b and len(v) == len(w) and v @ w / math.sqrt((v @ v) * (w @ w)) >= 0.95]
+    for i, _ in close:
+        links[i] += 1
+    for _ in rows:
+        for i, j in close:
+            part[i] = part[j] = min(part[i], part[j])
+    return links, part
+
+
+def test_embeddings_in_double_precision(spark):
+    """Pairs a hair below and above the limit, at sizes from 1e-200 to 1e200."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(80):
+        a, b = rng.normal(size=(2, 32))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cosine = 0.95 + (2e-9 if k % 2 else -2e-9)
+        rows += [(2 * k, (a * 10.0 ** (5 * k - 200)).tolist()), (2 * k + 1, (cosine * a + math.sqrt(1 - cosine**2) * b).tolist())]
+        want |= {2 * k: k % 2, 2 * k + 1: k % 2}
+    got = {r.vec_id: r for r in embedding_near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].n_links <= n for i, n in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.95 * 80
+    assert all(r.component_id == r.vec_id - r.vec_id % 2 for r in got.values() if r.n_links)
+
+
+def test_embedding_components_by_force(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 16))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(np.vstack((base, base[:10].repeat(4, axis=0) + 0.05 * rng.normal(size=(40, 16)))))]
+    links, part = linked_by_force(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (links[i], part[i]) for i in links}
+
+
+def test_embedding_identifier_on_several_vectors(spark):
+    """Identifier 5 ties the copies of two texts that have nothing else in common."""
+    a, b, c = ([float(x) for x in np.eye(8)[k]] for k in range(3))
+    rows = [(9, a), (5, a), (5, b), (3, b), (7, c)]
+    got = {(r.vec_id, r.component_id) for r in embedding_near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(9, 3), (5, 3), (3, 3), (7, 7)}
+
+
 PAGES = [
     ("http://a.example/1", "<html><body><nav>m1</nav><div class='top'>Site name</div><div class=post><p>First &amp; one<p>second <b>bold</b><br>line</div><div class='sidebar'>s</div><form>f</form></body>"),
     ("http://a.example/2", "<html><body><nav>m2</nav><div class='top'>Site name</div><div class=post><p>Other text</div><div class='sidebar'>t</div></body>"),

@@ -36,6 +36,11 @@ SEED = 20240501
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def even(vectors: np.ndarray) -> np.ndarray:
+    """Rows brought near one by a power of two: no digit changes, no square leaves the range of doubles."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
     n, width = x.shape
@@ -56,7 +61,7 @@ def bucket_ids(vectors: np.ndarray, hashes: int, seed: int = SEED) -> np.ndarray
     n, length = vectors.shape
     width = 1 << max(1, (length - 1).bit_length())
     padded = np.zeros((n, width))
-    padded[:, :length] = vectors
+    padded[:, :length] = even(vectors)
     rng = np.random.default_rng([seed, length, hashes])
     rows, out = np.arange(n), []
     with np.errstate(over="ignore"):
@@ -83,19 +88,21 @@ def bucket_ids(vectors: np.ndarray, hashes: int, seed: int = SEED) -> np.ndarray
 def _enter_buckets(hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, lists = batch.column("node").to_numpy(), batch.column("vector")
+            node, vkey, lists = batch.column("node").to_numpy(), batch.column("vkey").to_numpy(), batch.column("vector")
             sizes = np.diff(lists.offsets.to_numpy())
             starts, values = lists.offsets.to_numpy()[:-1], lists.values.to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 buckets = bucket_ids(values[starts[own][:, None] + np.arange(size)].astype(float), hashes)
-                yield pa.record_batch([pa.array(buckets.ravel()), pa.array(np.repeat(node[own], buckets.shape[1]))], names=["bucket", "node"])
+                columns = [buckets.ravel(), *(np.repeat(c[own], buckets.shape[1]) for c in (node, vkey))]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["bucket", "node", "vkey"])
 
     return run
 
 
 def _close_pairs(vectors: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a unit with a partner, and which of them link."""
+    vectors = even(vectors)
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     linked = unit @ unit.T >= threshold
     np.fill_diagonal(linked, False)
@@ -153,7 +160,7 @@ def _links(rows: pa.Table, starts: np.ndarray, hashes: int, threshold: float) ->
         return
     starts = starts[starts < rows.num_rows]
     ends = np.append(starts[1:], rows.num_rows)
-    bucket, node, weight, side, length = (rows.column(c).to_numpy() for c in ("bucket", "node", "weight", "side", "length"))
+    bucket, node, vkey, weight, side, length = (rows.column(c).to_numpy() for c in ("bucket", "node", "vkey", "weight", "side", "length"))
     vector = rows.column("vector").combine_chunks()
     offsets, values = vector.offsets.to_numpy(), vector.values.to_numpy(zero_copy_only=False)
     pairs = []
@@ -167,7 +174,8 @@ def _links(rows: pa.Table, starts: np.ndarray, hashes: int, threshold: float) ->
         return
     # Buckets of the rows that link, each vector hashed once.
     used = np.unique(np.concatenate([at for at, _ in pairs]))
-    _, first, which = np.unique(node[used], return_index=True, return_inverse=True)
+    _, first, which = np.unique(np.column_stack((node[used], vkey[used])), axis=0, return_index=True, return_inverse=True)
+    which = which.ravel()
     hashed: dict[int, np.ndarray] = {}
     for size in np.unique(length[used[first]]):
         own = np.flatnonzero(length[used[first]] == size)
@@ -196,35 +204,39 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     or non-finite components, and rows without an identifier, link with
     nothing and are their own component.  Vectors of different lengths do not
     link.  Rows that repeat a vector link with each other; an identifier on
-    different vectors is one node with the links of all.  Other columns are
+    different vectors is in the component of all of them.  Other columns are
     not read; an empty table gives no rows.
     """
-    values = F.col(vector_col).cast("array<float>")
+    values = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), values.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("id").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
     folded = settle(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
+    folded = folded.withColumn("vkey", F.xxhash64("vector"))  # an identifier may be the least of several vectors
     known = folded.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("length")).first()
     hashes = hashes or hashes_for(known.n, known.length or 1)
 
-    entries = folded.select("node", "vector").mapInArrow(_enter_buckets(hashes), "bucket bigint, node bigint").distinct()
+    entries = folded.select("node", "vkey", "vector").mapInArrow(_enter_buckets(hashes), "bucket bigint, node bigint, vkey bigint").distinct()
     entries = settle(entries)
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = entries.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = entries.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "vkey"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = met.select("bucket", "node", "block", other.alias("x")).select(
-        "bucket", "node", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).alias("side")
+    units = met.select("bucket", "node", "vkey", "block", other.alias("x")).select(
+        "bucket", "node", "vkey", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") > F.col("x")).alias("side")
     )
-    work = units.join(folded.select("node", "weight", "vector", F.size("vector").alias("length")), "node")
-    work = work.select("bucket", "i", "j", "length", "node", "weight", "vector", F.col("side").cast("int").alias("side"))
-    order = ["bucket", "i", "j", "length", "node"]
+    work = units.join(folded.select("node", "vkey", "weight", "vector", F.size("vector").alias("length")), ["node", "vkey"])
+    work = work.select("bucket", "i", "j", "length", "node", "vkey", "weight", "vector", F.col("side").cast("int").alias("side"))
+    order = ["bucket", "i", "j", "length", "node", "vkey"]
     work = work.repartition("bucket", "i", "j", "length").sortWithinPartitions(*order)
     found = settle(work.mapInArrow(_verify(hashes, threshold), "node bigint, links bigint, low bigint"))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    # An identifier on several vectors ties their nodes.
+    several = rows.where("vector is not null").groupBy("id").agg(F.min(F.xxhash64("vector")).alias("v"), F.max(F.xxhash64("vector")).alias("w")).where("v != w").select("id")
+    ties = rows.join(several, "id").join(folded.select("vector", "node"), "vector").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(ties))
     per_node = folded.join(links, "node", "left").join(joined, "node", "left")
     per_node = per_node.select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
     out = rows.join(per_node, "vector", "left")
