@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import settle, word_count
+from tidemark.llm.tables import settle, shared_if_small, stored, word_count
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -109,6 +109,7 @@ def mix(
     reached = buckets.withColumn("upto", F.sum("words").over(upto)).join(plan, same_source)
     ends = reached.where((F.col("upto") - F.col("words") < F.col("goal")) & (F.col("upto") >= F.col("goal")))
     ends = ends.select("p_source", F.col("bucket").alias("end_bucket"), (F.col("upto") - F.col("words")).alias("before"), "goal")
+    ends = shared_if_small(stored(ends, "mix-ends"))  # one row per source
 
     # The bucket in which the sample ends, put in order; repeated rows stand together.
     edge = sized.join(ends, same_source & (F.col("bucket") == F.col("end_bucket")))
@@ -118,6 +119,7 @@ def mix(
     taken_keys = F.when(F.col("middle") <= F.col("goal"), F.struct("h", "key", "size"))
     last = edge.withColumn("middle", middle).groupBy(F.col("source").alias("e_source"), "end_bucket").agg(F.max(taken_keys).alias("last"))
     plan = plan.join(last, F.col("p_source").eqNullSafe(F.col("e_source")), "left").select("p_source", "source_size", "target", "whole", "end_bucket", "last")
+    plan = shared_if_small(stored(plan, "mix-plan"))  # one row per source; a hot source stays where it lies
 
     once_more = (F.col("bucket") < F.col("end_bucket")) | ((F.col("bucket") == F.col("end_bucket")) & (F.struct("h", "key", "size") <= F.col("last")))
     times = F.col("whole") + F.when(F.col("size") == 0, 0).when(once_more, 1).otherwise(0)
