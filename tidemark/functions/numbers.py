@@ -13,21 +13,31 @@ from tidemark import constants as K
 def half_up(c: Column | str, digits: int) -> Column:
     """Round half up at ``digits``, after dropping binary noise below 1e-10.
 
-    Up to 28 digits stand before the point; larger and non-finite values are null.
+    Doubles of 1e27 and more have no such digits and stay as they are;
+    non-finite values are null.
     """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.try_cast("decimal(38,10)"), digits).cast("double")
+    plain = c.cast("double")
+    large = (F.abs(plain) >= 1e27) & (F.abs(plain) < float("inf"))
+    return F.when(large, plain).otherwise(F.round(c.try_cast("decimal(38,10)"), digits).cast("double"))
 
 
 def exact(c: Column | str, scale: int = 8, whole: int = 14) -> Column:
     """Exact decimal with ``whole`` digits before the point; values beyond are null.
 
     The product of two stays exact while their digits add up to 37 at most.
+    A caller must say so where a value is there and its exact form is not:
+    see ``out_of_range``.
     """
     c = F.col(c) if isinstance(c, str) else c
     return c.try_cast(f"decimal({whole + scale},{scale})")
 
 
+def out_of_range(result: Column, *inputs: Column | str) -> Column:
+    """True where every input has a value and the result computed from them has none."""
+    return result.isNull() & all_of(*[(F.col(c) if isinstance(c, str) else c).isNotNull() for c in inputs])
+
+
 def parse_number(c: Column, kind: str = "double") -> Column:
     """Number from a landed cell: separators dropped, placeholders become null."""
     text = F.trim(F.regexp_replace(c, ",", ""))
@@ -35,11 +45,36 @@ def parse_number(c: Column, kind: str = "double") -> Column:
 
 
 def canonical_decimal(c: Column | str) -> Column:
-    """Exponent-free text without trailing zeros; zero is ``0``."""
+    """Exponent-free text of all digits without trailing zeros; zero is ``0``.
+
+    Doubles are written with the digits of their text form in Spark;
+    non-finite ones by their names.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    text = c.cast("decimal(38,10)").cast("string")
-    bare = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
-    return F.when(bare.isin("-0", ""), F.lit("0")).otherwise(bare)
+    text = c.cast("string")
+
+    def trimmed(t: Column) -> Column:
+        bare = F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0*$", "")).otherwise(t)
+        return F.when(bare.rlike("^-?0?$"), F.lit("0")).otherwise(bare)
+
+    def spread(t: Column) -> Column:
+        """The digits of 1.25E-7 with zeros on the side to which the point moves, and the point in its place."""
+        parts = F.struct(
+            F.regexp_extract(t, r"^(-?)", 1).alias("sign"),
+            F.regexp_extract(t, r"^-?(\d+)", 1).alias("whole"),
+            F.regexp_extract(t, r"\.(\d*)", 1).alias("rest"),
+            F.regexp_extract(t, r"E(-?\d+)$", 1).cast("int").alias("shift"),
+        )
+
+        def placed(p: Column) -> Column:
+            front, back = F.greatest(-p.shift, F.lit(0)), F.greatest(p.shift - F.length(p.rest), F.lit(0))
+            digits = F.concat(F.repeat(F.lit("0"), front), p.whole, p.rest, F.repeat(F.lit("0"), back))
+            point = F.length(p.whole) + front + p.shift
+            return F.concat(p.sign, F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
+
+        return trimmed(F.regexp_replace(F.transform(F.array(parts), placed)[0], r"^(-?)0+(?=\d)", "$1"))
+
+    return F.when(text.rlike(r"E-?\d+$"), spread(text)).when(text.rlike(r"\d$"), trimmed(text)).otherwise(text)
 
 
 def yield_to_ratio(value: Column, unit: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
-from tidemark.functions.numbers import exact, half_up
+from tidemark.functions.numbers import exact, half_up, out_of_range
 from tidemark.operators.asof import approval_eligible
 
 
@@ -35,7 +35,11 @@ def scope_dispatch(symbols: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def eps_pe_matrix(eps: DataFrame, pe: DataFrame) -> DataFrame:
-    """Approved EPS (low, base, high) times every symbol PE; non-positive EPS is not applicable."""
+    """Approved EPS (low, base, high) times every symbol PE; non-positive EPS is not applicable.
+
+    A cell is ``available`` only with a price: a missing multiple is
+    ``insufficient_data``, a product beyond exact decimals ``value_out_of_range``.
+    """
     long = eps.select(
         "symbol",
         "id",
@@ -51,11 +55,14 @@ def eps_pe_matrix(eps: DataFrame, pe: DataFrame) -> DataFrame:
     ).select("symbol", "id", "fiscal_year", "e.*").where(F.col("eps_value").isNotNull())
     cells = long.join(pe.select("symbol", "pe_id", "label", "pe_value"), "symbol")
     ok = F.col("eps_value") > 0
-    return cells.select(
-        *cells.columns,
-        F.when(ok, "available").otherwise("not_applicable").alias("status"),
-        F.when(ok, half_up(exact("eps_value") * exact("pe_value", 4), 4)).alias("target_price"),
+    price = half_up(F.try_multiply(exact("eps_value"), exact("pe_value", 4)), 4)
+    status = (
+        F.when(~F.coalesce(ok, F.lit(False)), "not_applicable")
+        .when(F.col("pe_value").isNull(), "insufficient_data")
+        .when(out_of_range(price, "eps_value", "pe_value"), "value_out_of_range")
+        .otherwise("available")
     )
+    return cells.select(*cells.columns, status.alias("status"), F.when(ok, price).alias("target_price"))
 
 
 def eps_pe_status(states: DataFrame, pe: DataFrame, rule_id: str = "VAL-02") -> DataFrame:
@@ -138,32 +145,55 @@ def eps_dual_track(institutional: Column, ttm: Column, growth: float = K.DEFAULT
 
 
 def pe_bands(df: DataFrame, pe: tuple[float, float, float] = (K.PE_MIN, K.PE_MID, K.PE_MAX)) -> DataFrame:
-    """Cheap, fair and expensive price from EPS; the multiples must be positive and ordered."""
+    """Cheap, fair and expensive price from EPS; the multiples must be positive and ordered.
+
+    EPS beyond exact decimals has status ``value_out_of_range`` and no prices.
+    """
     low, mid, high = pe
     if not 0 < low <= mid <= high:
         raise ValueError("multiples must be positive and ordered")
     ok = F.col("eps") > 0
     prices = zip(("cheap_price", "fair_price", "expensive_price"), pe)
+    status = F.when(ok & out_of_range(exact("eps"), "eps"), "value_out_of_range").when(ok, "available").otherwise("not_applicable")
     return df.select(
         *df.columns,
-        F.when(ok, "available").otherwise("not_applicable").alias("status"),
+        status.alias("status"),
         *[F.when(ok, half_up(exact("eps") * exact(F.lit(m), 4, 11), 2)).alias(name) for name, m in prices],
     )
 
 
 def eva_floor(df: DataFrame, wacc: float = K.DEFAULT_WACC) -> DataFrame:
-    """Floor price from economic value added; needs positive cost of capital and shares."""
+    """Floor price from economic value added; needs positive cost of capital and shares.
+
+    Exact in whole units of the last digit: amounts and shares with four
+    decimals (operating profit with eight), rates with six.  Missing amounts
+    are ``insufficient_data``, results beyond that range ``value_out_of_range``.
+    """
     rate = F.coalesce(F.col("wacc"), F.lit(wacc)) if "wacc" in df.columns else F.lit(wacc)
-    ok = (rate > 0) & (F.col("shares") > 0)
-    # Amounts of up to 22 digits, rates with six decimals.
-    eva = half_up(exact("nopat", 8, 22) - exact("invested_capital", 4, 22) * exact(rate, 6, 5), 2)
-    value = F.try_divide(F.col("invested_capital") + F.try_divide(eva, rate), F.col("shares"))
-    return df.select(
-        *df.columns,
-        F.when(F.coalesce(ok, F.lit(False)), "available").otherwise("not_applicable").alias("status"),
-        F.when(ok, eva).alias("eva"),
-        F.when(ok, half_up(value, 2)).alias("eva_floor_price"),
+    ok = F.coalesce((rate > 0) & (F.col("shares") > 0), F.lit(False))
+    charge = F.try_multiply(exact("invested_capital", 4, 16), exact(rate, 6, 5))
+    eva = F.round(F.try_subtract(exact("nopat", 8, 16), charge), 2)
+
+    def units(c: Column, digits: int) -> Column:
+        """A decimal as a whole number of its last digit."""
+        return F.try_multiply(c, F.lit(10**digits).cast("decimal(9,0)")).try_cast("decimal(38,0)")
+
+    # (capital + eva / rate) / shares in hundredths, as one fraction of whole numbers.
+    capital, gain, cost, count = units(exact("invested_capital", 4, 16), 4), units(eva, 2), units(exact(rate, 6, 5), 6), units(exact("shares", 4, 14), 4)
+    hundred, even = F.lit(100).cast("decimal(3,0)"), F.lit(10**8).cast("decimal(9,0)")
+    above = F.try_multiply(hundred, F.try_add(F.try_multiply(capital, cost), F.try_multiply(gain, even)).try_cast("decimal(36,0)")).try_cast("decimal(38,0)")
+    below = F.try_multiply(cost, count).try_cast("decimal(37,0)")
+    double = F.lit(2).cast("decimal(1,0)")
+    twice = F.try_add(F.try_multiply(F.abs(above), double).try_cast("decimal(38,0)"), below).try_cast("decimal(38,0)")
+    half = F.try_divide(twice, F.try_multiply(below, double).try_cast("decimal(38,0)"))
+    price = (F.floor(half) * F.signum(above.cast("double")).cast("int")).cast("double") / 100.0
+    status = (
+        F.when(~ok, "not_applicable")
+        .when(F.col("nopat").isNull() | F.col("invested_capital").isNull(), "insufficient_data")
+        .when(price.isNull(), "value_out_of_range")
+        .otherwise("available")
     )
+    return df.select(*df.columns, status.alias("status"), F.when(ok, eva.cast("double")).alias("eva"), F.when(ok, price).alias("eva_floor_price"))
 
 
 def fixed_threshold_screen(df: DataFrame, pe_average: Column | float = 15.0) -> DataFrame:

@@ -310,10 +310,12 @@ def q_eps_dual(spark, sf_dir):
     "eva_floor",
     f"""WITH x AS (SELECT o_orderkey AS id, (round(o_totalprice * 100)::BIGINT * 1000)::DOUBLE AS nopat,
            (o_custkey % 500)::DOUBLE AS invested_capital, (o_orderkey % 4)::DOUBLE AS shares FROM orders),
-       e AS (SELECT *, {half_up(exact('nopat', 8, 22) + ' - ' + exact('invested_capital', 4, 22) + ' * ' + exact('7e-2', 6, 5), 2)} AS eva FROM x)
+       e AS (SELECT *, {half_up(exact('nopat', 8, 22) + ' - ' + exact('invested_capital', 4, 22) + ' * ' + exact('7e-2', 6, 5), 2)} AS eva FROM x),
+       f AS (SELECT *, 100::HUGEINT * (invested_capital::HUGEINT * 10000 * 70000 + round(eva * 100)::HUGEINT * 100000000) AS above,
+           70000::HUGEINT * shares::HUGEINT * 10000 AS below FROM e)
        SELECT id, CASE WHEN shares > 0 THEN 'available' ELSE 'not_applicable' END AS status,
            CASE WHEN shares > 0 THEN eva END AS eva,
-           CASE WHEN shares > 0 THEN round({half_up('(invested_capital + eva / 7e-2) / shares', 2)}, -1) END AS eva_floor_price FROM e""",
+           CASE WHEN shares > 0 THEN (CASE WHEN above < 0 THEN -1 ELSE 1 END * ((2 * abs(above) + below) // (2 * below)))::DOUBLE / 100 END AS eva_floor_price FROM f""",
 )
 def q_eva_floor(spark, sf_dir):
     rows = d.table(spark, sf_dir, "orders").select(
@@ -322,7 +324,19 @@ def q_eva_floor(spark, sf_dir):
         (F.col("o_custkey") % 500).cast("double").alias("invested_capital"),
         (F.col("o_orderkey") % 4).cast("double").alias("shares"),
     )
-    return val.eva_floor(rows).select("id", "status", "eva", F.round("eva_floor_price", -1).alias("eva_floor_price"))
+    return val.eva_floor(rows).select("id", "status", "eva", "eva_floor_price")
+
+
+@query(
+    "valuation_beyond_limits",
+    """WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2e14 WHEN o_orderkey % 3 = 1 THEN 5e-1 END AS eps FROM orders)
+       SELECT id, eps, CASE WHEN eps > 1e14 THEN 'value_out_of_range' WHEN eps > 0 THEN 'available' ELSE 'not_applicable' END AS status,
+           CASE WHEN eps < 1 THEN 5e0 END AS cheap_price, CASE WHEN eps < 1 THEN 10e0 END AS fair_price, CASE WHEN eps < 1 THEN 125e-1 END AS expensive_price FROM x""",
+)
+def q_beyond_limits(spark, sf_dir):
+    """Values that exact decimals cannot hold have a status, no price and no silent null."""
+    eps = F.when(F.col("o_orderkey") % 3 == 0, 2e14).when(F.col("o_orderkey") % 3 == 1, 0.5)
+    return val.pe_bands(d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), eps.alias("eps")))
 
 
 @query(
