@@ -587,29 +587,57 @@ def q_ref_calendar(spark, sf_dir):
     return pn.reference_calendar(d.bars(spark, sf_dir), "S0", "1996-01-01", "1999-12-31")
 
 
-@query(
-    "keyed_upsert",
-    """WITH o AS (SELECT o_custkey AS k, year(o_orderdate) AS y, o_orderdate AS f, o_orderkey AS v, (o_orderstatus = 'F')::INT AS nw FROM orders),
+UPSERT_SQL = """WITH o AS (SELECT o_custkey AS k, year(o_orderdate) AS y, o_orderdate AS f, o_orderkey AS v, (o_orderstatus = 'F')::INT AS nw FROM orders),
         r AS (SELECT *, row_number() OVER (PARTITION BY k, y ORDER BY f DESC, v DESC, nw DESC) AS rn FROM o)
-        SELECT k, y::BIGINT AS y, v FROM r WHERE rn = 1""",
-)
+        SELECT k, y::BIGINT AS y, v FROM r WHERE rn = 1"""
+
+
+@query("keyed_upsert", UPSERT_SQL)
 def q_upsert(spark, sf_dir):
+    old, new = _upsert_sides(spark, sf_dir)
+    return sk.keyed_upsert(old, new, ["k", "y"], ["fetched_at", "v"]).select("k", "y", "v")
+
+
+def _upsert_sides(spark, sf_dir):
     o = d.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), F.col("o_orderdate").alias("fetched_at"), F.col("o_orderkey").alias("v"), "o_orderstatus"
     )
-    new, old = o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.where("o_orderstatus <> 'F'").drop("o_orderstatus")
-    return sk.keyed_upsert(old, new, ["k", "y"], ["fetched_at", "v"]).select("k", "y", "v")
+    return o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus")
 
 
-@query(
-    "range_replace",
-    with_views(
-        "bars",
-        body="""SELECT symbol, date::VARCHAR AS date, close FROM bars WHERE NOT (substr(symbol, 2)::INT % 2 = 0 AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31')
+@query("keyed_upsert_sink", UPSERT_SQL)
+def q_upsert_sink(spark, sf_dir):
+    """The same merge into a stored table cut by hash of its keys."""
+    path = work_dir(spark, "upsert")
+    old, new = _upsert_sides(spark, sf_dir)
+    for rows in (old, new):
+        sk.upsert_into(path, rows, ["k", "y"], ["fetched_at", "v"], parts=8)
+    return sk.stored_rows(spark, path).select("k", "y", "v")
+
+
+RANGE_SQL = with_views(
+    "bars",
+    body="""SELECT symbol, date::VARCHAR AS date, close FROM bars WHERE NOT (substr(symbol, 2)::INT % 2 = 0 AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31')
             UNION ALL SELECT symbol, date::VARCHAR, close + 1 FROM bars WHERE substr(symbol, 2)::INT % 2 = 0 AND date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND day(date) <> 1""",
-    ),
 )
+
+
+@query("range_replace", RANGE_SQL)
 def q_replace(spark, sf_dir):
+    return sk.range_replace(*_range_sides(spark, sf_dir))
+
+
+@query("range_replace_sink", RANGE_SQL)
+def q_replace_sink(spark, sf_dir):
+    """The same replacement in a stored table cut by month."""
+    path = work_dir(spark, "ranges")
+    old, new, ranges = _range_sides(spark, sf_dir)
+    sk.replace_parts(old.withColumn("part", sk.month_of(F.col("date"))), path, [])
+    sk.replace_ranges_in(path, new, ranges)
+    return sk.stored_rows(spark, path)
+
+
+def _range_sides(spark, sf_dir):
     b = d.bars(spark, sf_dir).select("symbol", "date", "close")
     new = b.where(F.dayofmonth("date") != 1).withColumn("close", F.col("close") + 1)
     k = F.col("s_suppkey")
@@ -618,7 +646,7 @@ def q_replace(spark, sf_dir):
         F.lit("1997-01-01").cast("date").alias("start"),
         F.lit("1997-12-31").cast("date").alias("end"),
     )
-    return sk.range_replace(b, new, ranges)
+    return b, new, ranges
 
 
 APPEND = """SELECT l_orderkey || '-' || l_linenumber AS idempotency_key, sha256(l_partkey || '-' || l_suppkey) AS fingerprint,
@@ -669,12 +697,10 @@ STREAM_RULES = {
             CASE WHEN event_type = 'signup' THEN 'kind_unknown' END) FROM events WHERE value <= 1 OR event_type = 'signup'""",
 )
 def q_stream_append(spark, sf_dir):
-    """Runs the stream over the whole events table to its end, then reads both targets."""
+    """Lands the whole events table in two deliveries, the second with late copies of the first, and reads both targets."""
     base = work_dir(spark, "ledger-append")
-    schema = d.table(spark, sf_dir, "events").schema
     text = canonical_json({"id": F.col("event_id").cast("string"), "type": F.col("event_type")})
-    # A glob fits a table that is one file as well as one that is a folder.
-    rows = st.file_stream(spark, f"{sf_dir}/events.parquet*", schema).select(
+    events = d.table(spark, sf_dir, "events").select(
         "event_id",
         "event_type",
         "value",
@@ -682,11 +708,15 @@ def q_stream_append(spark, sf_dir):
         fingerprint(text).alias("fingerprint"),
         F.col("event_id").cast("string").alias("idempotency_key"),
     )
-    # A landed file may be delivered twice; the copies carry the same content.
-    doubled = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    first = F.col("event_id") % 2 == 0
+    copies = events.where(first & (F.col("event_id") % 3 == 0))
     rules = {name: rule() for name, rule in STREAM_RULES.items()}
-    q = st.ledger_append(doubled, rules, f"{base}/ledger", f"{base}/rejects", f"{base}/checkpoint")
-    q.awaitTermination()
+    # Copies within a delivery meet in the stream's state, those of the third delivery, past its time, in the ledger.
+    for part, delay in ((events.where(first), "1 day"), (events.where(~first).unionByName(copies), "1 day"), (copies, None)):
+        part.write.mode("append").parquet(f"{base}/landed")
+        rows = st.file_stream(spark, f"{base}/landed", events.schema)
+        checkpoint = f"{base}/checkpoint" if delay else f"{base}/checkpoint-again"
+        st.ledger_append(rows, rules, f"{base}/ledger", f"{base}/rejects", checkpoint, delay, parts=8).awaitTermination()
     cols = ["event_id", "event_type", "value"]
     none = F.array().cast("array<string>")
     good = spark.read.parquet(f"{base}/ledger").select(*cols, F.lit("append").alias("outcome"), none.alias("reasons"))
@@ -700,20 +730,21 @@ def q_stream_append(spark, sf_dir):
         "turnover_markets",
         extra={
             "p": """SELECT trade_date, max(value) FILTER (market = 'A') AS a, max(value) FILTER (market = 'B') AS b FROM turnover_markets GROUP BY 1""",
+            "q": "SELECT *, a IS NOT NULL AND day(trade_date) % 5 = 0 AS mended FROM p",
         },
-        body="""SELECT trade_date::VARCHAR AS trade_date, a AS market_a, NULL::DOUBLE AS market_b, NULL::DOUBLE AS total, 'partial' AS status, 1::BIGINT AS revision FROM p WHERE a IS NOT NULL
-            UNION ALL SELECT trade_date::VARCHAR, a, b, a + b, CASE WHEN a IS NULL THEN 'partial' ELSE 'available' END, (CASE WHEN a IS NULL THEN 1 ELSE 2 END)::BIGINT FROM p WHERE b IS NOT NULL""",
+        body="""SELECT trade_date::VARCHAR AS trade_date, a AS market_a, NULL::DOUBLE AS market_b, NULL::DOUBLE AS total, 'partial' AS status, 1::BIGINT AS revision FROM q WHERE a IS NOT NULL
+            UNION ALL SELECT trade_date::VARCHAR, a, b, a + b, CASE WHEN a IS NULL THEN 'partial' ELSE 'available' END, (CASE WHEN a IS NULL THEN 1 ELSE 2 END)::BIGINT FROM q WHERE b IS NOT NULL
+            UNION ALL SELECT trade_date::VARCHAR, a - 1, b, a - 1 + b, CASE WHEN b IS NULL THEN 'partial' ELSE 'available' END, (CASE WHEN b IS NULL THEN 2 ELSE 3 END)::BIGINT FROM q WHERE mended""",
     ),
 )
 def q_stream_turnover(spark, sf_dir):
-    """Market A lands first, market B second; the second arrival is a new revision of the day."""
+    """Market A lands first, market B second, then repeats of both and corrections of A; each change is a revision of the day."""
     base = work_dir(spark, "turnover")
     rows = d.turnover_markets(spark, sf_dir)
-    schema = rows.schema
-    for market in ("A", "B"):
-        rows.where(F.col("market") == market).write.mode("append").parquet(f"{base}/landed")
-        stream = st.file_stream(spark, f"{base}/landed", schema)
-        st.turnover_pairing(stream, f"{base}/markets", f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
+    mended = rows.where((F.col("market") == "A") & (F.dayofmonth("trade_date") % 5 == 0)).withColumn("value", F.col("value") - 1.0)
+    for part in (rows.where("market = 'A'"), rows.where("market = 'B'"), rows.join(mended.select("trade_date"), "trade_date", "left_anti").unionByName(mended)):
+        part.write.mode("append").parquet(f"{base}/landed")
+        st.turnover_pairing(st.file_stream(spark, f"{base}/landed", rows.schema), f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/ledger")
 
 
@@ -721,25 +752,28 @@ def q_stream_turnover(spark, sf_dir):
     "stream_evidence_gate",
     with_views(
         "m1b",
-        body="""SELECT period, revision::BIGINT AS revision, value_twd, status, 'ledger' AS target FROM m1b WHERE revision % 3 <> 0
-            UNION ALL SELECT period, revision::BIGINT, value_twd, status, 'candidate' FROM m1b WHERE revision <= 3 OR revision % 3 = 0""",
+        body="""SELECT period, revision::BIGINT AS revision, value_twd, status, CASE WHEN revision % 3 <> 0 THEN 'ledger' ELSE 'candidate' END AS target FROM m1b
+            UNION ALL SELECT period, revision::BIGINT, value_twd + 1, status, 'clash' FROM m1b WHERE revision = 2""",
     ),
 )
 def q_stream_evidence(spark, sf_dir):
-    """Evidence for revision 2 is accepted only after the rows arrived; a later empty landing releases them."""
+    """Evidence comes after some rows and before others; released rows leave the candidates, clashing ones go aside."""
     base = work_dir(spark, "evidence")
     rows = d.m1b(spark, sf_dir).select("period", "revision", "value_twd", "status")
-    schema = rows.schema
     proof = rows.select("period", "revision", F.when(F.col("revision") % 3 == 0, "pending").otherwise("accepted").alias("status"))
-    none_yet = proof.withColumn("status", F.lit("pending"))
-    rows.where("revision <= 3").write.mode("append").parquet(f"{base}/landed")
-    for evidence in (none_yet, proof):
-        stream = st.file_stream(spark, f"{base}/landed", schema)
-        st.evidence_gate(
-            stream, lambda s, e=evidence: e, f"{base}/ledger", f"{base}/candidates", f"{base}/checkpoint"
-        ).awaitTermination()
-        rows.where("revision > 3").write.mode("append").parquet(f"{base}/landed")
-    # Rows proven at arrival skip the waiting table.
-    done = spark.read.parquet(f"{base}/ledger").withColumn("target", F.lit("ledger"))
-    waited = spark.read.parquet(f"{base}/candidates").dropDuplicates(["period", "revision"]).withColumn("target", F.lit("candidate"))
-    return done.unionByName(waited)
+    clash = rows.where("revision = 2").withColumn("value_twd", F.col("value_twd") + 1)
+    landings = (
+        (rows.where("revision <= 3"), proof.limit(0)),
+        (clash, proof),
+        (rows.where("revision > 3").unionByName(rows.where("revision = 1")), proof.where("revision = 3")),
+    )
+    for arrived, proven in landings:
+        arrived.write.mode("append").parquet(f"{base}/rows")
+        proven.write.mode("append").parquet(f"{base}/proof")
+        stream, evidence = (st.file_stream(spark, f"{base}/{name}", df.schema) for name, df in (("rows", rows), ("proof", proof)))
+        st.evidence_gate(stream, evidence, f"{base}/ledger", f"{base}/candidates", f"{base}/clashes", f"{base}/checkpoint", parts=8).awaitTermination()
+    names = rows.columns
+    done = spark.read.parquet(f"{base}/ledger").select(*names, F.lit("ledger").alias("target"))
+    waiting = sk.stored_rows(spark, f"{base}/candidates").select(*names, F.lit("candidate").alias("target"))
+    odd = spark.read.parquet(f"{base}/clashes").select(*names, F.lit("clash").alias("target"))
+    return done.unionByName(waiting).unionByName(odd)

@@ -1,15 +1,18 @@
 """Merging and writing of result tables and ledgers.
 
-Merges return DataFrames; writers put a new version next to the old one and
-never rewrite a table they read from.
+Merges return DataFrames.  Writers of versions put a new version next to the old
+one.  Writers of tables cut into parts (by a hash of the key, or by month) read
+and replace only the parts that new rows fall into; the files of all others
+stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.asof import newest
 
@@ -32,13 +35,14 @@ def range_replace(old: DataFrame, new: DataFrame, ranges: DataFrame) -> DataFram
     return kept.unionByName(fresh)
 
 
-def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def append_decision(existing: DataFrame, incoming: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Decide for each incoming row: append, already there, or conflict.
 
     Both carry ``fingerprint`` (of the content) and ``idempotency_key``; one row
     per pair of them comes out.  Equal content is appended once, under its least
     key of the batch; the other keys of that content are unchanged.  A key seen
-    before, or twice in the batch, with other content is a conflict.
+    before, or twice in the batch, with other content is a conflict.  ``keys``
+    says which keys were seen, where a table of its own has them.
     """
     # Only ledger rows that the batch names matter; a small batch is broadcast and the ledger is not shuffled.
     named_content = incoming.select("fingerprint").distinct()
@@ -46,7 +50,7 @@ def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     known = (
         existing.select("fingerprint").join(named_content, "fingerprint", "left_semi").distinct().withColumn("_known", F.lit(True))
     )
-    taken = existing.select("idempotency_key", F.col("fingerprint").alias("_old"))
+    taken = (existing if keys is None else keys).select("idempotency_key", F.col("fingerprint").alias("_old"))
     by_key = taken.join(named_keys, "idempotency_key", "left_semi").groupBy("idempotency_key").agg(F.min("_old").alias("_old"))
     once = newest(incoming, ["fingerprint", "idempotency_key"], ["fingerprint"])
     in_batch = once.groupBy("idempotency_key").agg(F.min("fingerprint").alias("_first"))
@@ -70,6 +74,76 @@ def append_decision(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select(*incoming.columns, decision.alias("decision"))
 
 
+# -- tables cut into parts ------------------------------------------------------------
+
+
+def with_part(df: DataFrame, key: str | Sequence[str], parts: int) -> DataFrame:
+    """The rows with ``part``, a hash of their key below ``parts``."""
+    names = [key] if isinstance(key, str) else list(key)
+    return df.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+
+
+def parts_of(df: DataFrame, column: str = "part") -> list:
+    """The parts that rows fall into: as many values as a table has parts at most."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
+def read_parts(spark: SparkSession, path: str, like: DataFrame, touched: Sequence, column: str = "part") -> DataFrame:
+    """The rows of some parts of a table; the others are not listed in the scan.  A missing table is empty."""
+    spark.createDataFrame([], like.schema).write.mode("ignore").partitionBy(column).parquet(path)
+    shape = T.StructType([f for f in like.schema if f.name != column] + [like.schema[column]])
+    return spark.read.schema(shape).parquet(path).where(F.col(column).isin(list(touched))).select(*like.columns)
+
+
+def replace_parts(df: DataFrame, path: str, touched: Sequence, column: str = "part") -> None:
+    """Write the whole content of the touched parts; a part without rows keeps an empty file.
+
+    Spark's dynamic overwrite stages the new files and swaps the folders of
+    the parts when all tasks are done, so the rows may come from the same table.
+    """
+    spark = df.sparkSession
+    # An empty part would not be swapped: a row of nulls stands in and is not read back.
+    mark = spark.createDataFrame([(t,) for t in touched], T.StructType([df.schema[column]])).withColumn("_mark", F.lit(True))
+    rows = df.withColumn("_mark", F.lit(None).cast("boolean")).unionByName(mark, allowMissingColumns=True)
+    rows.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def held_rows(spark: SparkSession, path: str, like: DataFrame, touched: Sequence, column: str = "part") -> DataFrame:
+    """The rows of some parts of a table that ``replace_parts`` writes."""
+    return read_parts(spark, path, like.withColumn("_mark", F.lit(None).cast("boolean")), touched, column).where("_mark is null").drop("_mark")
+
+
+def stored_rows(spark: SparkSession, path: str, column: str = "part") -> DataFrame:
+    """All rows of a table that ``replace_parts`` wrote."""
+    return spark.read.parquet(path).where("_mark is null").drop("_mark", column)
+
+
+def upsert_into(path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ("fetched_at",), parts: int = 64) -> list:
+    """Upsert rows into a table cut by hash of its keys; the parts that were written come back."""
+    spark = new.sparkSession
+    fresh = with_part(new, keys, parts).persist()
+    touched = parts_of(fresh)
+    old = held_rows(spark, path, fresh, touched)
+    replace_parts(keyed_upsert(old, fresh, keys, order), path, touched)
+    fresh.unpersist()
+    return touched
+
+
+def month_of(date: Column) -> Column:
+    return F.date_format(date, "yyyy-MM")
+
+
+def replace_ranges_in(path: str, new: DataFrame, ranges: DataFrame) -> list:
+    """Replace (symbol, start, end) ranges in a table cut by month; the months that were written come back."""
+    spark = new.sparkSession
+    steps = F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month")))
+    touched = parts_of(ranges.where("start <= end").select(steps.alias("month")).select(month_of(F.col("month")).alias("part")))
+    fresh = new.withColumn("part", month_of(F.col("date")))
+    old = held_rows(spark, path, fresh, touched)
+    replace_parts(range_replace(old, fresh, ranges), path, touched)
+    return touched
+
+
 def write_version(df: DataFrame, path: str, version: str, partition_by: Sequence[str] = ()) -> str:
     """Write a table version; an existing version is never overwritten."""
     target = f"{path.rstrip('/')}/version={version}"
