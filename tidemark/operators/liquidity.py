@@ -6,12 +6,15 @@ per month, whatever the number of trades behind them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numbers import half_up
 from tidemark.operators.asof import newest
+from tidemark.operators.counting import dominance_counts
 
 
 def turnover_status(markets: DataFrame, revoked_days: DataFrame | None = None) -> DataFrame:
@@ -131,53 +134,54 @@ def rolling_ratio(observations: DataFrame, windows: tuple[int, ...] = K.ROLLING_
     return observations.select(*observations.columns, *cols)
 
 
-def trailing_percentile(observations: DataFrame, years: int, minimum: int) -> DataFrame:
-    """Share of the last ``years`` at or below today's ratio, per day.
+def trailing_percentiles(observations: DataFrame, spans: Sequence[tuple[int, int]]) -> DataFrame:
+    """Share of the last years at or below today's ratio, per day, for several (years, minimum) at once.
 
-    Each day meets its history through the calendar years it touches (an
-    equi-join), then counts; history must reach back to the window start and
-    hold the minimum number of days.
+    Columns percentile_<years> and observations_<years>.  A day's window holds
+    the days up to it without those before its start: two prefixes of the
+    ordered days, whose values at or below today's are counted offline for all
+    days and spans in one pass.  History must reach back to the window start
+    and hold the minimum number of days.
     """
-    o = observations.select("trade_date", "ratio_pct")
-    start = F.add_months("trade_date", -12 * years)
-    # One row per market day: a single small partition.
-    first = F.min("trade_date").over(Window.partitionBy(F.lit(0)))
-    asks = o.select(
-        F.col("trade_date").alias("day"),
-        first.alias("first_day"),
-        F.col("ratio_pct").alias("now"),
-        start.alias("start"),
-        F.explode(F.sequence(F.year(start), F.year("trade_date"))).alias("_year"),
-    )
-    history = o.withColumn("_year", F.year("trade_date"))
-    counted = (
-        asks.join(history, "_year")
-        .where(F.col("trade_date").between(F.col("start"), F.col("day")))
-        .groupBy("day", "start", "first_day")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("ratio_pct") <= F.col("now")).alias("below"),
-        )
-    )
-    ok = (F.col("first_day") <= F.col("start")) & (F.col("n") >= minimum)
-    return counted.select(
-        F.col("day").alias("trade_date"),
-        F.when(ok, half_up(F.col("below").cast("double") / F.col("n").cast("double") * 100.0, 4)).alias("percentile"),
-        F.col("n").alias("observations"),
-    )
+    # One row per market day is numbered in a single small partition; starts are placed among the days by merging.
+    one = Window.partitionBy(F.lit(0)).orderBy("at", "kind", "day")
+    days = observations.select(F.col("trade_date").alias("at"), F.lit(1).alias("kind"), F.col("trade_date").alias("day"), F.col("ratio_pct").alias("value"), F.lit(0).alias("years"))
+    marks = days
+    for years, _ in spans:
+        start = F.add_months("at", -12 * years)
+        marks = marks.unionByName(days.select(start.alias("at"), F.lit(0).alias("kind"), "day", "value", F.lit(years).alias("years")))
+    known = F.sum("kind").over(one.rowsBetween(Window.unboundedPreceding, 0))
+    everything = Window.partitionBy(F.lit(0))
+    marks = marks.withColumns({"known": known, "size": F.sum("kind").over(everything), "first_day": F.min(F.when(F.col("kind") == 1, F.col("at"))).over(everything)})
+    # Days on the start belong to the window: known counts those before it, for starts sort before days.
+    asks = marks.select(F.concat_ws("|", F.col("day").cast("string"), F.col("years").cast("string")).alias("id"), F.col("known").alias("upto"), "value", "size", "day", "years", "kind", "at", "first_day")
+    points = marks.where("kind = 1").select((F.col("known") - 1).alias("pos"), "value", "size")
+    counts = dominance_counts(points, asks, F.col("size"))
+    placed = asks.join(counts, "id").groupBy("day").agg(
+        F.max(F.when(F.col("kind") == 1, F.struct("n", "upto"))).alias("now"),
+        *[F.max(F.when(F.col("years") == y, F.struct("n", "upto", "at", "first_day"))).alias(f"before_{y}") for y, _ in spans],
+    )
+    out = [F.col("day").alias("trade_date")]
+    for years, minimum in spans:
+        old = f"before_{years}"
+        n, below = F.col("now.upto") - F.col(f"{old}.upto"), F.col("now.n") - F.col(f"{old}.n")
+        ok = (F.col(f"{old}.first_day") <= F.col(f"{old}.at")) & (n >= minimum)
+        out += [F.when(ok, half_up(below.cast("double") / n.cast("double") * 100.0, 4)).alias(f"percentile_{years}"), n.alias(f"observations_{years}")]
+    return placed.select(*out)
+
+
+def trailing_percentile(observations: DataFrame, years: int, minimum: int) -> DataFrame:
+    """``trailing_percentiles`` for one span: trade_date, percentile, observations."""
+    return trailing_percentiles(observations, [(years, minimum)]).withColumnsRenamed({f"percentile_{years}": "percentile", f"observations_{years}": "observations"})
 
 
 def liquidity_history(
     observations: DataFrame, short: tuple[int, int] = (5, 1000), long: tuple[int, int] = (10, 2000)
 ) -> DataFrame:
     """Rolling means, both percentiles and the alert level for every complete day."""
-    p5 = trailing_percentile(observations, *short).withColumnsRenamed(
-        {"percentile": "percentile_short", "observations": "observations_short"}
-    )
-    p10 = trailing_percentile(observations, *long).withColumnsRenamed(
-        {"percentile": "percentile_long", "observations": "observations_long"}
-    )
-    out = rolling_ratio(observations).join(p5, "trade_date").join(p10, "trade_date")
+    names = {f"{kind}_{span[0]}": f"{kind}_{name}" for name, span in (("short", short), ("long", long)) for kind in ("percentile", "observations")}
+    both = trailing_percentiles(observations, [short, long]).withColumnsRenamed(names)
+    out = rolling_ratio(observations).join(both, "trade_date")
     heat = F.coalesce("percentile_short", "percentile_long")
     alert = (
         F.when(F.col("ratio_pct").between(K.REFERENCE_RATIO_LOW, K.REFERENCE_RATIO_HIGH), "reference_extreme_case")

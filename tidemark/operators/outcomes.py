@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as K
 from tidemark.functions.numbers import half_up
 from tidemark.operators.asof import asof_lookup
+from tidemark.operators.counting import grouped_medians
 
 
 def session_index(calendar: DataFrame) -> DataFrame:
@@ -176,8 +177,20 @@ def sessions_skipped(subjects: DataFrame, bars: DataFrame, calendar: DataFrame)
 GROUP = ("evaluation_origin", "horizon_sessions", "method_family", "evidence_strength", "subject_type")
 
 
+MEDIANS = {
+    "median_forward_return": "forward_return",
+    "median_excess_return": "excess_return",
+    "median_upside_excursion": "maximum_upside_excursion",
+    "median_downside_excursion": "maximum_downside_excursion",
+}
+
+
 def outcome_summary(results: DataFrame) -> DataFrame:
-    """Counts, reach rate, medians and outcome counts per group, in one pass over the rows."""
+    """Counts, reach rate, medians and outcome counts per group.
+
+    Counts combine in the tasks; medians are selected by histograms of the
+    values, so no group's values are gathered.
+    """
     rated = (
         (F.col("semantic_role") == "target")
         & F.col("terminal_outcome").isin("target_reached", "expired")
@@ -193,21 +206,18 @@ def outcome_summary(results: DataFrame) -> DataFrame:
         "insufficient_future_data",
         "pending",
     )
-
-    def mid(c: str) -> Column:
-        return half_up(F.median(F.when(rated, F.col(c))), 8)
-
-    return results.groupBy(*GROUP).agg(
+    counts = results.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(won).alias("numerator"),
         F.count_if(rated).alias("denominator"),
         half_up(F.try_divide(F.count_if(won).cast("double"), F.count_if(rated)), 8).alias("reach_rate"),
-        mid("forward_return").alias("median_forward_return"),
-        mid("excess_return").alias("median_excess_return"),
-        mid("maximum_upside_excursion").alias("median_upside_excursion"),
-        mid("maximum_downside_excursion").alias("median_downside_excursion"),
         *[F.count_if(F.col("terminal_outcome") == k).alias(f"n_{k}") for k in kinds],
     )
+    middle = grouped_medians(results, GROUP, {name: F.when(rated, F.col(c)) for name, c in MEDIANS.items()})
+    middle = middle.select(*[F.col(k).alias(f"_{k}") for k in GROUP], *[half_up(name, 8).alias(name) for name in MEDIANS])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GROUP]
+    first = ["n", "numerator", "denominator", "reach_rate"]
+    return counts.join(middle, same, "left").select(*GROUP, *first, *MEDIANS, *[f"n_{k}" for k in kinds])
 
 
 def outcome_coverage(results: DataFrame) -> DataFrame:

@@ -102,9 +102,33 @@ def training_slices(
 
 
 def slice_bars(bars_idx: DataFrame, slices: DataFrame) -> DataFrame:
-    """Bars of each slice; a symbol has a handful of slices."""
-    s = slices.select("symbol", "window_no", "train_start_idx", "train_end_idx")
-    return bars_idx.join(s, "symbol").where(F.col("idx").between(F.col("train_start_idx"), F.col("train_end_idx")))
+    """Bars of each slice; as many rows come out as the slices hold.
+
+    A symbol's slices are one array sorted by their starts, and both starts and
+    ends rise with the window.  The slices of a bar are then one stretch of the
+    array: from the first whose end is not before the bar to the last whose
+    start is not behind it, both found by binary search.
+    """
+    s = F.struct("train_start_idx", "train_end_idx", "window_no")
+    lists = slices.groupBy("symbol").agg(F.array_sort(F.collect_list(s)).alias("_s"))
+    held = bars_idx.join(lists, "symbol")
+
+    def position(field: str, inclusive: bool) -> Column:
+        """Number of slices whose start (or end) is below the bar's index, or equal with ``inclusive``."""
+        size = F.size("_s")
+
+        def step(at: Column, k: Column) -> Column:
+            # Adds 2**k to the count where the slice at that place is still below.
+            width = F.pow(F.lit(2), k).cast("int")
+            probe = F.get("_s", at + width - 1)[field]
+            below = (probe <= F.col("idx")) if inclusive else (probe < F.col("idx"))
+            return F.when((at + width <= size) & F.coalesce(below, F.lit(False)), at + width).otherwise(at)
+
+        return F.aggregate(F.sequence(F.lit(20), F.lit(0), F.lit(-1)), F.lit(0), step)
+
+    found = held.withColumns({"_to": position("train_start_idx", True), "_from": position("train_end_idx", False)}).where("_from < _to")
+    out = found.withColumn("_hit", F.explode(F.slice("_s", F.col("_from") + 1, F.col("_to") - F.col("_from"))))
+    return out.select(*bars_idx.columns, F.col("_hit.window_no").alias("window_no"), F.col("_hit.train_start_idx").alias("train_start_idx"), F.col("_hit.train_end_idx").alias("train_end_idx"))
 
 
 def capital_feasibility(windows: DataFrame, cash: float) -> DataFrame:
