@@ -1,5 +1,7 @@
 """Sizes, odd values and rows that must not vanish."""
 
+import datetime as dt
+
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -55,8 +57,37 @@ def test_every_dependency_is_answered(spark):
     got = {r.resource_id: (r.status, r.reason) for r in fr.dependency_freshness(deps, ledger, approvals, "2020-01-01", "VAL-02", "eps").collect()}
     want = {1: ("blocked", "snapshot_dependency_missing"), 2: ("unknown", "unsupported_resource_type"), 3: ("unknown", "unsupported_resource_type")}
     assert got == want
-    both = fr.freshness_over_ledgers(deps, {"eps": ledger, "pe": ledger}, approvals, "2020-01-01", {"eps": "VAL-02", "pe": "VAL-04"})
-    assert {r.resource_id: (r.status, r.reason) for r in both.collect()} == want
+    ledgers = {"eps": fr.Ledger(ledger, rules=("VAL-02",)), "pe": fr.Ledger(ledger, rules=("VAL-04",))}
+    both = fr.freshness_over_ledgers(deps, ledgers, approvals.withColumn("resource_type", F.lit("eps")), "2020-01-01")
+    named = {1: want[1], 2: ("unknown", "unsupported_dependency_type_other"), 3: ("unknown", "unsupported_dependency_type_missing")}
+    assert {r.resource_id: (r.status, r.reason) for r in both.collect()} == named
+
+
+def test_freshness_of_providers_bindings_and_validity(spark):
+    shape = "id string, logical_id string, revision_number int, available_at timestamp, ingested_at timestamp, status string, eligible boolean, until int"
+    at = dt.datetime(2020, 1, 1)
+    rows = [("a1", "a", 1, at, at, "active", True, 9), ("a2", "a", 2, at, at, "active", False, 9), ("b1", "b", 1, at, at, "active", True, 0), ("c1", "c", 1, at, at, "active", True, 9), ("c2", "c", 2, at, at, "gone", True, 9)]
+    ledger = spark.createDataFrame(rows, shape)
+    none = spark.createDataFrame([], "approval_event_id string, resource_type string, resource_id string, decision string, rule_id string, evidence_level string, project_operationalization int, available_at timestamp, ingested_at timestamp")
+    deps = spark.createDataFrame([("k", r[0], r[1]) for r in rows], "resource_type string, resource_id string, logical_resource_id string")
+    own = {"k": fr.Ledger(ledger, valid=F.col("until") > 5, bound=F.col("eligible"), resources=("p", "q"))}
+
+    def states(*health):
+        table = spark.createDataFrame(list(health), "resource_id string, status string, freshness string")
+        got = fr.freshness_over_ledgers(deps, own, none, "2021-01-01", table).collect()
+        assert {r.resource_id: r.reason for r in got if r.resource_id != "a1"} == {
+            "a2": "publication_evidence_binding_invalid", "b1": "no_eligible_dependency_revision", "c1": "dependency_revoked", "c2": "dependency_revoked"}
+        return next((r.status, r.reason) for r in got if r.resource_id == "a1")
+
+    good = ("p", "accepted", "current")
+    assert states(good, ("q", "accepted", "current")) == ("current", None)
+    assert states(good, ("q", "accepted", "stale")) == ("stale", "dependency_source_stale")
+    assert states(good, ("q", "x", "unknown")) == ("unknown", "dependency_freshness_unknown")
+    assert states() == ("unknown", "dependency_freshness_unknown")
+    assert states(good, ("q", "provider_error", "blocked")) == ("blocked", "dependency_provider_error")
+    assert states(good, ("q", "rejected", "blocked")) == ("blocked", "dependency_operational_blocked")
+    plan = fr.freshness_over_ledgers(deps, own, none, "2021-01-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 3  # dependencies, the ledger and the events: each read once
 
 
 def test_one_decision_per_incoming_row(spark):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import first_reason
@@ -111,17 +113,137 @@ def _unsupported(dependencies: DataFrame, types: Sequence[str], like: DataFrame)
     return other.select(*[fixed.get(f.name, F.col(f.name) if f.name in dependencies.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema])
 
 
-def freshness_over_ledgers(dependencies: DataFrame, ledgers: Mapping[str, DataFrame], approvals: DataFrame, cutoff: str, rule_ids: Mapping[str, str]) -> DataFrame:
-    """``dependency_freshness`` for each resource type with its own ledger and approval rule.
+@dataclass(frozen=True)
+class Ledger:
+    """A ledger of dependencies and the tests its revisions must pass.
 
-    Types without a ledger are ``unknown``; every dependency gives one row.
+    ``rows`` has id, ``logical``, ``revision``, available_at, ingested_at.
+    ``active`` is the status that counts, None where the ledger has none;
+    ``valid`` and ``bound`` are further tests per row; ``rules`` are those of
+    which one must have approved a revision, empty where none is needed;
+    ``resources`` are the providers whose state the dependency shares.
     """
-    out = None
+
+    rows: DataFrame
+    logical: str = "logical_id"
+    revision: str = "revision_number"
+    active: str | None = "active"
+    rules: tuple[str, ...] = ()
+    valid: Column | None = None
+    bound: Column | None = None
+    resources: tuple[str, ...] = ()
+
+
+def _entries(kind: str, ledger: Ledger) -> DataFrame:
+    """The rows of a ledger in the shape that all ledgers share."""
+    yes = F.lit(True)
+    return ledger.rows.select(
+        F.lit(kind).alias("resource_type"),
+        F.col("id").cast("string").alias("id"),
+        F.col(ledger.logical).cast("string").alias("logical_id"),
+        F.col(ledger.revision).cast("bigint").alias("revision_number"),
+        "available_at",
+        "ingested_at",
+        (yes if ledger.active is None else F.col("status").eqNullSafe(ledger.active)).alias("active"),
+        (yes if ledger.valid is None else F.coalesce(ledger.valid, F.lit(False))).alias("valid"),
+        (yes if ledger.bound is None else F.coalesce(ledger.bound, F.lit(False))).alias("bound"),
+    )
+
+
+def freshness_over_ledgers(dependencies: DataFrame, ledgers: Mapping[str, Ledger], approvals: DataFrame, cutoff: str, health: DataFrame | None = None) -> DataFrame:
+    """State of dependencies of any type at a cutoff, first failing test first; every dependency gives one row.
+
+    ``dependencies(resource_type, resource_id, logical_resource_id, ...)``;
+    ``approvals`` are the events of all ledgers with their ``resource_type``;
+    ``health(resource_id, status, freshness)`` as of ``provider_health``.
+
+    All ledgers are one tagged table, read once.  Every revision meets its
+    newest approval; the newest visible and the newest eligible revision of a
+    logical resource are maxima over its revisions; dependencies then join to
+    single revisions.  Types without a ledger are ``unknown``.
+    """
+    entries = None
+    for kind, ledger in ledgers.items():
+        part = _entries(kind, ledger)
+        entries = part if entries is None else entries.unionByName(part)
+    events = newest(visible(approvals, cutoff), ["resource_type", "resource_id"], ["available_at", "ingested_at", "approval_event_id"])
+    events = events.select("resource_type", F.col("resource_id").cast("string").alias("id"), "decision", "rule_id", "evidence_level", "project_operationalization")
+    judged = F.lit(None).cast("boolean")
     for kind, ledger in ledgers.items():
-        own = dependencies.where(F.col("resource_type") == kind)
-        part = dependency_freshness(own, ledger, approvals, cutoff, rule_ids[kind], kind)
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(_unsupported(dependencies, list(ledgers), out))
+        any_rule = reduce(lambda a, b: a | b, [approval_eligible(r) for r in ledger.rules]) if ledger.rules else F.lit(True)
+        judged = F.when(F.col("resource_type") == kind, any_rule).otherwise(judged)
+    stamp = F.lit(cutoff).cast("timestamp")
+    seen = (F.col("available_at") <= stamp) & (F.col("ingested_at") <= stamp)
+    rows = entries.join(events, ["resource_type", "id"], "left").withColumn("approved", judged).withColumn("seen", F.coalesce(seen, F.lit(False)))
+    own = Window.partitionBy("resource_type", "logical_id")
+    order = ["revision_number", "available_at", "ingested_at", "id"]
+    good = F.col("seen") & F.col("active") & F.col("valid") & F.col("bound") & F.col("approved")
+    rows = rows.withColumns(
+        {
+            "last": F.max(F.when(F.col("seen"), F.struct(*order, "active", "approved"))).over(own),
+            "best": F.max(F.when(good, F.struct(*order))).over(own),
+        }
+    )
+    exact = rows.select("resource_type", F.col("id").alias("resource_id"), "logical_id", "active", "bound", F.col("decision").eqNullSafe("revoked").alias("taken_back"), "last", "best", F.lit(True).alias("found"))
+    out = dependencies.withColumn("resource_id", F.col("resource_id").cast("string")).join(exact, ["resource_type", "resource_id"], "left")
+
+    known = F.coalesce(F.col("resource_type").isin(*ledgers), F.lit(False))
+    needs = F.col("resource_type").isin(*[k for k, v in ledgers.items() if v.rules] or [""])
+    stated = F.col("logical_resource_id").isNotNull() & (F.col("logical_resource_id") != "")
+    early = first_reason(
+        (~known, "unsupported"),
+        (F.col("found").isNull(), "snapshot_dependency_missing"),
+        (stated & (F.col("logical_resource_id") != F.col("logical_id")), "snapshot_dependency_logical_identity_mismatch"),
+        (~F.col("bound"), "publication_evidence_binding_invalid"),
+        (~F.col("active"), "dependency_revoked"),
+        (F.col("last").isNotNull() & ~F.col("last.active"), "dependency_revoked"),
+        (needs & F.col("taken_back"), "approval_revoked"),
+    )
+    out = out.withColumn("early", early).withColumn("latest", F.when(F.col("early").isNull(), F.col("best")))
+    supplied = [(k, r) for k, v in ledgers.items() for r in v.resources]
+    if health is not None and supplied:
+        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("resource_type"), F.lit(r).alias("resource_id")) for k, r in supplied]))
+        wanted = dependencies.sparkSession.range(1).select(pairs.alias("p")).select("p.*")
+        state = wanted.join(health.select("resource_id", "status", "freshness"), "resource_id", "left").groupBy("resource_type").agg(
+            F.bool_or(F.col("freshness") == "blocked").alias("h_blocked"),
+            F.bool_or(F.col("status") == "provider_error").alias("h_error"),
+            (F.bool_or(F.col("freshness") == "unknown") | (F.count("freshness") == 0)).alias("h_unknown"),
+            F.bool_or(F.col("freshness") == "stale").alias("h_stale"),
+        )
+        out = out.join(state, "resource_type", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("boolean") for c in ("h_blocked", "h_error", "h_unknown", "h_stale")})
+    late = first_reason(
+        (F.col("latest").isNull(), "no_eligible_dependency_revision"),
+        (F.col("h_blocked") & F.coalesce("h_error", F.lit(False)), "dependency_provider_error"),
+        (F.col("h_blocked"), "dependency_operational_blocked"),
+        (F.col("latest.id") != F.col("resource_id"), "newer_eligible"),
+        (F.col("h_unknown"), "dependency_freshness_unknown"),
+        (F.col("h_stale"), "dependency_source_stale"),
+    )
+    out = out.withColumn("why", F.coalesce("early", late))
+    kind = F.coalesce(F.col("resource_type"), F.lit(""))
+    reason = (
+        F.when(F.col("why") == "unsupported", F.concat(F.lit("unsupported_dependency_type_"), F.when(kind == "", "missing").otherwise(kind)))
+        .when(F.col("why") == "newer_eligible", F.concat(F.lit("newer_eligible_"), kind))
+        .otherwise(F.col("why"))
+    )
+    status = (
+        F.when(F.col("why").isNull(), "current")
+        .when(F.col("why").isin("newer_eligible", "dependency_source_stale"), "stale")
+        .when(F.col("why").isin("unsupported", "no_eligible_dependency_revision", "dependency_freshness_unknown"), "unknown")
+        .otherwise("blocked")
+    )
+    awaiting = F.col("early").isNull() & needs & F.col("last").isNotNull() & ~F.col("last.id").eqNullSafe(F.col("latest.id")) & ~F.coalesce("last.approved", F.lit(False))
+    given = dependencies.schema["resource_id"].dataType
+    return out.withColumn("resource_id", F.col("resource_id").cast(given)).select(
+        *dependencies.columns,
+        status.alias("status"),
+        reason.alias("reason"),
+        F.col("latest.id").alias("latest_eligible_id"),
+        F.col("latest.revision_number").alias("latest_eligible_revision_number"),
+        F.coalesce(awaiting, F.lit(False)).alias("candidate_awaiting_review"),
+    )
 
 
 # Worst first.

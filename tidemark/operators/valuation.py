@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numbers import exact, half_up, out_of_range
-from tidemark.operators.asof import approval_eligible
+from tidemark.operators.asof import approval_eligible, revision_with_approval
 
 
 def effective_at(cutoff: str) -> Column:
@@ -17,6 +17,18 @@ def effective_at(cutoff: str) -> Column:
     return (start.isNull() | (start <= c)) & (end.isNull() | (end > c))
 
 
+def pe_effective(ledger: DataFrame, approvals: DataFrame, cutoff: str, rule_id: str = "VAL-04") -> DataFrame:
+    """PE scenarios in force at a cutoff, as ``pe_id``, label, scope, scope_value, pe_value and validity.
+
+    The newest visible revision of a scenario counts, if its newest visible
+    approval event approves it under the rule and it is valid at the cutoff; a
+    revoked or unapproved newest revision never falls back to an older one.
+    """
+    newest_rows = revision_with_approval(ledger, approvals, cutoff)
+    good = newest_rows.where(approval_eligible(rule_id) & effective_at(cutoff))
+    return good.select(F.col("id").alias("pe_id"), "label", "scope", "scope_value", "pe_value", "effective_from", "effective_to")
+
+
 def scope_dispatch(symbols: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Scenarios per symbol by symbol, industry or market, with the scope's rank.
 

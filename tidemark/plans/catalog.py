@@ -4,6 +4,7 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_ingest,
     q_ledger,
     q_market,
+    q_outputs,
     q_panel,
     q_quality,
     q_research,

@@ -310,6 +310,47 @@ def pe_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(industry).unionByName(market)
 
 
+def pe_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PE ledger: one to three revisions of every scenario, the later ones of some symbols only."""
+    pe = pe_ledger(spark, sf_dir)
+    n = F.when(F.col("scope") == "symbol", F.expr("try_cast(substring(scope_value, 2) AS bigint)")).otherwise(F.length("scope_value").cast("bigint"))
+    kept = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda r: (r == 1) | (F.col("n") % F.pow(F.lit(3), r - 1).cast("bigint") == 0))
+    rows = pe.withColumn("n", n).select("*", F.explode(kept).alias("revision_number"))
+    known = F.date_add(F.col("effective_from").cast("date"), F.col("revision_number") * 40 - 60)
+    return rows.select(
+        F.concat_ws("@", "pe_id", F.col("revision_number").cast("string")).alias("id"),
+        F.col("pe_id").alias("logical_id"),
+        "revision_number",
+        "label",
+        "scope",
+        "scope_value",
+        (F.col("pe_value") + F.col("revision_number") - 1).alias("pe_value"),
+        "effective_from",
+        "effective_to",
+        known.cast("timestamp").alias("available_at"),
+        F.date_add(known, 1).cast("timestamp").alias("ingested_at"),
+        "n",
+    )
+
+
+def pe_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approval events of PE revisions: most approved at once, some revoked later, some under another rule or never."""
+    r = pe_revisions(spark, sf_dir).withColumn("k", F.col("n") + F.col("revision_number"))
+    event = F.explode(F.expr("CASE WHEN k % 13 = 0 THEN array() WHEN k % 7 = 0 THEN array(0, 200) ELSE array(0) END")).alias("later")
+    rows = r.select("*", event)
+    at = F.date_add(F.col("available_at").cast("date"), (F.col("k") % 5).cast("int") + F.col("later"))
+    return rows.select(
+        F.concat_ws("#", "id", F.col("later").cast("string")).alias("approval_event_id"),
+        F.col("id").alias("resource_id"),
+        F.when(F.col("later") > 0, "revoked").otherwise("approved").alias("decision"),
+        F.when(F.col("k") % 11 == 0, "VAL-02").otherwise("VAL-04").alias("rule_id"),
+        F.when(F.col("k") % 4 == 0, "C").otherwise("A").alias("evidence_level"),
+        (F.col("k") % 8 == 0).cast("int").alias("project_operationalization"),
+        at.cast("timestamp").alias("available_at"),
+        F.date_add(at, 1).cast("timestamp").alias("ingested_at"),
+    )
+
+
 def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily PE, PB and yield per supplier."""
     g = (

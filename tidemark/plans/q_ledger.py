@@ -26,8 +26,26 @@ STATES = {
                  AND (a.evidence_level <> 'C' OR a.project_operationalization = 1), false) AS eligible
         FROM rev r LEFT JOIN app a ON a.resource_id = r.id""",
 }
+PE_LEDGER = {
+    "pe_n": "SELECT *, CASE WHEN scope = 'symbol' THEN substr(scope_value, 2)::BIGINT ELSE length(scope_value) END AS n, unnest([1, 2, 3]) AS r FROM pe",
+    "pe_revisions": """SELECT pe_id || '@' || r AS id, pe_id AS logical_id, r AS revision_number, label, scope, scope_value, pe_value + r - 1 AS pe_value,
+        effective_from, effective_to, (effective_from::DATE + (r * 40 - 60))::TIMESTAMP AS available_at,
+        (effective_from::DATE + (r * 40 - 59))::TIMESTAMP AS ingested_at, n, n + r AS k FROM pe_n WHERE r = 1 OR (r = 2 AND n % 3 = 0) OR (r = 3 AND n % 9 = 0)""",
+    "pe_events": "SELECT *, unnest(CASE WHEN k % 13 = 0 THEN [] WHEN k % 7 = 0 THEN [0, 200] ELSE [0] END) AS later FROM pe_revisions",
+    "pe_approvals": """SELECT id || '#' || later AS approval_event_id, id AS resource_id, CASE WHEN later > 0 THEN 'revoked' ELSE 'approved' END AS decision,
+        CASE WHEN k % 11 = 0 THEN 'VAL-02' ELSE 'VAL-04' END AS rule_id, CASE WHEN k % 4 = 0 THEN 'C' ELSE 'A' END AS evidence_level,
+        (k % 8 = 0)::INT AS project_operationalization, (available_at::DATE + (k % 5)::INT + later)::TIMESTAMP AS available_at,
+        (available_at::DATE + (k % 5)::INT + later + 1)::TIMESTAMP AS ingested_at FROM pe_events""",
+}
 PE_EFF = {
-    "pe_eff": f"SELECT * FROM pe WHERE effective_from <= {CUTOFF} AND (effective_to IS NULL OR effective_to > {CUTOFF})"
+    **PE_LEDGER,
+    "pe_rev": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY logical_id ORDER BY revision_number DESC, available_at DESC, ingested_at DESC, id DESC) AS rn
+        FROM pe_revisions WHERE available_at <= {CUTOFF} AND ingested_at <= {CUTOFF}) WHERE rn = 1""",
+    "pe_app": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY available_at DESC, ingested_at DESC, approval_event_id DESC) AS rn
+        FROM pe_approvals WHERE available_at <= {CUTOFF} AND ingested_at <= {CUTOFF}) WHERE rn = 1""",
+    "pe_eff": f"""SELECT r.id AS pe_id, r.* EXCLUDE (id, rn) FROM pe_rev r JOIN pe_app a ON a.resource_id = r.id
+        WHERE a.decision = 'approved' AND a.rule_id = 'VAL-04' AND (a.evidence_level <> 'C' OR a.project_operationalization = 1)
+          AND (effective_from IS NULL OR effective_from <= {CUTOFF}) AND (effective_to IS NULL OR effective_to > {CUTOFF})""",
 }
 
 
@@ -119,8 +137,7 @@ def q_revision_with_approval(spark, sf_dir):
     ),
 )
 def q_pe_scoped(spark, sf_dir):
-    pe = d.pe_ledger(spark, sf_dir).where(val.effective_at(d.CUTOFF))
-    out = val.scope_dispatch(d.symbols(spark, sf_dir), pe)
+    out = val.scope_dispatch(d.symbols(spark, sf_dir), _pe_effective(spark, sf_dir))
     return out.select("symbol", "pe_id", "label", "scope", "pe_value", "scope_rank")
 
 
@@ -133,8 +150,11 @@ def approved_eps(spark, sf_dir):
 
 
 def symbol_pe(spark, sf_dir):
-    pe = d.pe_ledger(spark, sf_dir).where((F.col("scope") == "symbol") & val.effective_at(d.CUTOFF))
-    return pe.withColumnRenamed("scope_value", "symbol")
+    return _pe_effective(spark, sf_dir).where("scope = 'symbol'").withColumnRenamed("scope_value", "symbol")
+
+
+def _pe_effective(spark, sf_dir):
+    return val.pe_effective(d.pe_revisions(spark, sf_dir), d.pe_approvals(spark, sf_dir), d.CUTOFF)
 
 
 @query(

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical_json, canonical_map, dataset_hash, fingerprint, path_get
 from tidemark.functions.numbers import canonical_decimal
-from tidemark.operators import asof, diff as df_, freshness as fr, scenarios as sc, snapshots as sn, valuation as val
+from tidemark.operators import asof, diff as df_, freshness as fr, liquidity as lq, scenarios as sc, snapshots as sn, valuation as val
 from tidemark.plans import domain as d
 from tidemark.plans.domain_sql import CUTOFF, LATER_CUTOFF, cents, with_views
-from tidemark.plans.q_ledger import PE_EFF, STATES, _states, symbol_pe
+from tidemark.plans.q_ledger import PE_EFF, PE_LEDGER, STATES, _states, symbol_pe
 from tidemark.plans.q_screening import PLANS, _plans
 from tidemark.plans.registry import query
 
@@ -407,6 +407,114 @@ def q_freshness(spark, sf_dir):
     return _freshness(spark, sf_dir)
 
 
+L = LATER_CUTOFF
+NEWEST = "revision_number DESC, available_at DESC, ingested_at DESC, id DESC"
+ALL_LEDGERS = {
+    **PE_LEDGER,
+    "ev": """SELECT period || '-' || revision AS pid, period, revision, available_at AS ing, CASE WHEN revision % 3 = 0 THEN 'candidate' ELSE 'accepted' END AS st
+        FROM m1b WHERE substr(period, 6, 2) <> '07'""",
+    "mb": "SELECT *, CASE WHEN substr(period, 6, 2)::INT % 4 <> 3 THEN period || '-' || revision END AS bid FROM m1b",
+    "la": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY revision DESC, ing DESC, pid DESC) AS rn FROM ev WHERE ing <= {L}) WHERE rn = 1",
+    "led": f"""SELECT 'forward_eps_revision' AS resource_type, id::VARCHAR AS id, logical_id, revision_number::BIGINT AS revision_number, available_at, ingested_at,
+            status = 'active' AS active, true AS valid, true AS bound FROM eps
+        UNION ALL SELECT 'pe_scenario_revision', id, logical_id, revision_number, available_at, ingested_at, true,
+            (effective_from IS NULL OR effective_from <= {L}) AND (effective_to IS NULL OR effective_to > {L}), true FROM pe_revisions
+        UNION ALL SELECT 'm1b_revision', mb.period || '-' || mb.revision, mb.period, mb.revision, mb.available_at, mb.ingested_at, mb.status = 'available', true,
+            (la.pid IS NULL AND bid IS NULL) OR coalesce(la.st = 'accepted' AND la.pid = bid, false) FROM mb LEFT JOIN la ON la.period = mb.period
+        UNION ALL SELECT 'market_turnover_revision', 'T' || trade_date, trade_date::VARCHAR, 1, (trade_date + 1)::TIMESTAMP, (trade_date + 1)::TIMESTAMP,
+            date_diff('day', DATE '1995-01-01', trade_date) % 41 <> 0, true, true FROM (SELECT DISTINCT trade_date FROM turnover_markets)""",
+    "apps": """SELECT 'forward_eps_revision' AS resource_type, resource_id::VARCHAR AS id, approval_event_id, decision, rule_id, evidence_level,
+            project_operationalization, available_at, ingested_at FROM approvals
+        UNION ALL SELECT 'pe_scenario_revision', resource_id, approval_event_id, decision, rule_id, evidence_level, project_operationalization, available_at, ingested_at FROM pe_approvals""",
+    "ap": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_type, id ORDER BY available_at DESC, ingested_at DESC, approval_event_id DESC) AS rn
+        FROM apps WHERE available_at <= {L} AND ingested_at <= {L}) WHERE rn = 1""",
+    "jl": f"""SELECT led.*, a.decision, led.available_at <= {L} AND led.ingested_at <= {L} AS seen, led.resource_type NOT IN ('forward_eps_revision', 'pe_scenario_revision')
+        OR coalesce(a.decision = 'approved' AND a.rule_id = CASE led.resource_type WHEN 'pe_scenario_revision' THEN 'VAL-04' ELSE 'VAL-02' END
+            AND (a.evidence_level <> 'C' OR a.project_operationalization = 1), false) AS approved
+        FROM led LEFT JOIN ap a ON a.resource_type = led.resource_type AND a.id = led.id""",
+    "lv": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_type, logical_id ORDER BY {NEWEST}) AS rn FROM jl WHERE seen) WHERE rn = 1",
+    "bv": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_type, logical_id ORDER BY {NEWEST}) AS rn FROM jl
+        WHERE seen AND active AND valid AND bound AND approved) WHERE rn = 1""",
+    "dep": """SELECT resource_type, CASE WHEN hash_n % 19 = 0 THEN id || '?' ELSE id END AS resource_id, CASE WHEN hash_n % 23 = 0 THEN 'other' WHEN hash_n % 5 = 0 THEN '' ELSE logical_id END AS logical_resource_id
+            FROM (SELECT *, length(logical_id) * 31 + revision_number * 7 + ascii(right(id, 1)) AS hash_n FROM led)
+        UNION ALL SELECT CASE WHEN r_regionkey = 0 THEN NULL ELSE 'report' END, r_name, NULL FROM region""",
+    "hs": """SELECT CASE r_regionkey WHEN 0 THEN 'x.market-turnover' WHEN 1 THEN 'y.market-turnover' ELSE 'z.m1b' END AS rid, CASE r_regionkey WHEN 2 THEN 'provider_error' ELSE 'accepted' END AS st,
+        CASE r_regionkey WHEN 0 THEN 'stale' WHEN 1 THEN 'current' ELSE 'current' END AS fresh FROM region WHERE r_regionkey < 3""",
+    "op": """SELECT rt, bool_or(fresh = 'stale') AS stale FROM (SELECT CASE rid WHEN 'z.m1b' THEN 'm1b_revision' ELSE 'market_turnover_revision' END AS rt, fresh FROM hs) GROUP BY 1""",
+    "fr": """SELECT d.*, l.id AS lid, b.id AS bid, b.revision_number AS brn, coalesce(l.approved, false) AS lap, d.resource_type IN ('forward_eps_revision', 'pe_scenario_revision') AS needs,
+        CASE WHEN d.resource_type IS NULL THEN 'unsupported_dependency_type_missing' WHEN d.resource_type = 'report' THEN 'unsupported_dependency_type_report'
+            WHEN e.id IS NULL THEN 'snapshot_dependency_missing'
+            WHEN d.logical_resource_id <> '' AND d.logical_resource_id <> e.logical_id THEN 'snapshot_dependency_logical_identity_mismatch'
+            WHEN NOT e.bound THEN 'publication_evidence_binding_invalid' WHEN NOT e.active OR NOT l.active THEN 'dependency_revoked'
+            WHEN d.resource_type IN ('forward_eps_revision', 'pe_scenario_revision') AND e.decision = 'revoked' THEN 'approval_revoked' END AS early,
+        CASE WHEN b.id IS NULL THEN 'no_eligible_dependency_revision' WHEN b.id <> d.resource_id THEN 'newer_eligible_' || d.resource_type
+            WHEN op.stale THEN 'dependency_source_stale' END AS late
+        FROM dep d LEFT JOIN jl e ON e.resource_type = d.resource_type AND e.id = d.resource_id
+        LEFT JOIN lv l ON l.resource_type = e.resource_type AND l.logical_id = e.logical_id
+        LEFT JOIN bv b ON b.resource_type = e.resource_type AND b.logical_id = e.logical_id LEFT JOIN op ON op.rt = d.resource_type""",
+}
+
+
+@query(
+    "freshness_over_ledgers",
+    with_views(
+        "eps",
+        "approvals",
+        "pe",
+        "m1b",
+        "turnover_markets",
+        extra=ALL_LEDGERS,
+        body="""SELECT resource_type, resource_id, logical_resource_id, CASE WHEN coalesce(early, late) IS NULL THEN 'current'
+            WHEN early LIKE 'unsupported%' OR (early IS NULL AND late LIKE 'no_elig%') THEN 'unknown' WHEN early IS NULL THEN 'stale' ELSE 'blocked' END AS status,
+            coalesce(early, late) AS reason, CASE WHEN early IS NULL THEN bid END AS latest_eligible_id, CASE WHEN early IS NULL THEN brn END AS latest_eligible_revision_number,
+            coalesce(early IS NULL AND needs AND lid IS NOT NULL AND lid IS DISTINCT FROM bid AND NOT lap, false) AS candidate_awaiting_review FROM fr""",
+    ),
+)
+def q_freshness_ledgers(spark, sf_dir):
+    """Dependencies on four ledgers, on types nobody knows and on none, with bindings, validity and provider states."""
+    money = d.m1b(spark, sf_dir)
+    pid, month = F.concat_ws("-", "period", F.col("revision").cast("string")), F.substring("period", 6, 2)
+    evidence = money.where(month != "07").select(
+        pid.alias("publication_evidence_id"), "period", F.col("revision").alias("revision_number"),
+        F.when(F.col("revision") % 3 == 0, "candidate").otherwise("accepted").alias("status"), F.col("available_at").alias("ingested_at"),
+    )
+    money = lq.publication_binding(money.withColumn("publication_evidence_id", F.when(month.cast("int") % 4 != 3, pid)), evidence, d.LATER_CUTOFF).withColumn("id", pid)
+    day = F.col("trade_date")
+    ready = F.date_add(day, 1).cast("timestamp")
+    turnover = d.turnover_markets(spark, sf_dir).select("trade_date").distinct().select(
+        F.concat(F.lit("T"), day.cast("string")).alias("id"), "trade_date", F.lit(1).alias("revision"),
+        F.when(d.day_number("trade_date") % 41 != 0, "available").otherwise("revoked").alias("status"), ready.alias("available_at"), ready.alias("ingested_at"),
+    )
+    ledgers = {
+        "forward_eps_revision": fr.Ledger(d.eps_ledger(spark, sf_dir), rules=("VAL-02",)),
+        "pe_scenario_revision": fr.Ledger(d.pe_revisions(spark, sf_dir), active=None, rules=("VAL-04",), valid=val.effective_at(d.LATER_CUTOFF)),
+        "m1b_revision": fr.Ledger(money, "period", "revision", "available", bound=F.col("eligible"), resources=("z.m1b",)),
+        "market_turnover_revision": fr.Ledger(turnover, "trade_date", "revision", "available", resources=("x.market-turnover", "y.market-turnover")),
+    }
+    events = d.approvals(spark, sf_dir).withColumn("resource_id", F.col("resource_id").cast("string")).withColumn("resource_type", F.lit("forward_eps_revision"))
+    events = events.unionByName(d.pe_approvals(spark, sf_dir).withColumn("resource_type", F.lit("pe_scenario_revision")))
+    rows = None
+    for kind, ledger in ledgers.items():
+        part = ledger.rows.select(
+            F.lit(kind).alias("resource_type"), F.col("id").cast("string").alias("id"),
+            F.col(ledger.logical).cast("string").alias("logical_id"), F.col(ledger.revision).alias("revision_number"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    n = F.length("logical_id") * 31 + F.col("revision_number") * 7 + F.ascii(F.right("id", F.lit(1)))
+    deps = rows.withColumn("n", n).select(
+        "resource_type",
+        F.when(F.col("n") % 19 == 0, F.concat("id", F.lit("?"))).otherwise(F.col("id")).alias("resource_id"),
+        F.when(F.col("n") % 23 == 0, "other").when(F.col("n") % 5 == 0, "").otherwise(F.col("logical_id")).alias("logical_resource_id"),
+    )
+    region, k = d.table(spark, sf_dir, "region"), F.col("r_regionkey")
+    odd = region.select(F.when(k != 0, "report").alias("resource_type"), F.col("r_name").alias("resource_id"), F.lit(None).cast("string").alias("logical_resource_id"))
+    health = region.where(k < 3).select(
+        F.when(k == 0, "x.market-turnover").when(k == 1, "y.market-turnover").otherwise("z.m1b").alias("resource_id"),
+        F.when(k == 2, "provider_error").otherwise("accepted").alias("status"), F.when(k == 0, "stale").otherwise("current").alias("freshness"),
+    )
+    return fr.freshness_over_ledgers(deps.unionByName(odd), ledgers, events, d.LATER_CUTOFF, health)
+
+
 @query(
     "status_rollup",
     with_views(
