@@ -11,19 +11,25 @@ from tidemark.functions.canonical import fingerprint
 from tidemark.operators.asof import newest
 
 
-def section_document(symbols: DataFrame, sections: Mapping[str, DataFrame]) -> DataFrame:
-    """One JSON document per symbol; each section contributes its columns as an object.
+def section_document(symbols: DataFrame, sections: Mapping[str, DataFrame], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One JSON document per key (symbol, or symbol and cutoff); each section contributes its columns as an object.
 
-    Sections are left-joined on the symbol; a missing section is a JSON null.
+    All sections are one tagged table of (keys, section, object) that is folded
+    by a single grouping, however many there are; a missing section is a JSON
+    null, and of several rows of a section the one with the greatest text counts.
+    Only keys of ``symbols`` get a document.
     """
-    out = symbols.select("symbol").distinct()
+    tagged = symbols.select(*keys).distinct().select(*keys, F.lit(None).cast("string").alias("_section"), F.lit(None).cast("string").alias("_body"))
     for name, df in sections.items():
-        cols = [c for c in df.columns if c != "symbol"]
-        out = out.join(df.select("symbol", F.struct(*sorted(cols)).alias(name)), "symbol", "left")
-    doc = F.to_json(F.struct("symbol", *sorted(sections)), {"ignoreNullFields": "false"})
-    return out.select("symbol", doc.alias("document")).withColumn(
-        "document_id", fingerprint(F.col("document"), "analysis_", 24)
-    )
+        cols = sorted(c for c in df.columns if c not in keys)
+        body = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+        tagged = tagged.unionByName(df.select(*keys, F.lit(name).alias("_section"), body.alias("_body")))
+    parts = [F.max(F.when(F.col("_section") == name, F.col("_body"))).alias(f"_{i}") for i, name in enumerate(sorted(sections))]
+    folded = tagged.groupBy(*keys).agg(F.bool_or(F.isnull("_section")).alias("_asked"), *parts).where("_asked")
+    head = F.regexp_replace(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), r"\}$", "")
+    bodies = [F.concat(F.lit(f',"{name}":'), F.coalesce(f"_{i}", F.lit("null"))) for i, name in enumerate(sorted(sections))]
+    out = folded.select(*keys, F.concat(head, *bodies, F.lit("}")).alias("document"))
+    return out.withColumn("document_id", fingerprint(F.col("document"), "analysis_", 24))
 
 
 def provenance_union(sections: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tidemark.plans import (  # noqa: F401 - imported for registration
+    q_documents,
     q_ingest,
     q_ledger,
     q_market,
