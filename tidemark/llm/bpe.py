@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.tables import whole_text
 
-PIECES_KEPT = 200_000  # pieces, and chunks between white space, per Python worker
+KEPT_BYTES = 40 << 20  # of pieces, and of chunks between white space, per Python worker, by estimate
+LONGEST_KEPT = 1024  # longer ones are encoded each time
 ROWS_AT_ONCE = 256  # decoded together
 LOW = (1 << 32) - 1
 
@@ -123,12 +124,16 @@ class Known(dict):
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= PIECES_KEPT:
-            self.clear()
-        self[chunk] = packed = self.encode(chunk)
+        packed = self.encode(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self.held += 200 + 4 * len(chunk) + len(packed)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 200 + 4 * len(chunk) + len(packed)
+            self[chunk] = packed
         return packed
 
 

@@ -10,14 +10,17 @@ H + 1 segments one is untouched.  A set indexes its first H + 1 non-empty
 segments in one order that all sets share: the first segment in that order
 that a similar pair has in common is among the first H + 1 of both.  The order
 is by cost: segments made of frequent hashes only come last, larger segments
-come before smaller ones.  A set with too few non-empty segments also indexes
-the neighbourhoods of its segments down to single elements; a pair can miss
-the segments only if both sets are short, and then both have them.  A set that
-may have a partner in the next band is indexed there too.
+come before smaller ones.  A set with too few non-empty segments for that also
+indexes its first H + 1 single hashes; a pair can miss the segments only if
+both sets are short, and then both have them.  A set that may have a partner
+in the next band is indexed there too.  One-deletion neighbourhoods are left
+out: one side would have to index every element of every segment, several
+times the signatures (figures in the README).
 
 Frequent hashes are counted over all documents: each task reports hashes it
-has met several times, and the sums rank them.  The ranking steers the order
-only; no pair depends on it.
+has met several times, and a histogram of the sums by powers of two gives the
+count from which they are few enough to broadcast.  They steer the order only;
+no pair depends on them.
 
 Verification.  First every set is compared with one centre: of the sets that
 meet most others, the one it shares most signatures with.  Confirmed pairs give
@@ -53,7 +56,8 @@ BLOCK = 256
 LEAST_BITS = 128  # of a sketch
 PAIRS_AT_ONCE = 100_000
 STAR = 64  # members verified against one copy of their centre
-WORDS_KEPT = 200_000
+KEPT_BYTES = 32 << 20  # of words per Python worker, by estimate
+LONGEST_KEPT = 1024  # longer words are hashed each time
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -70,10 +74,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """Word -> 64-bit hash, for the words seen last."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST_KEPT:
+            self.held += 180 + len(word)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 180 + len(word)
+            self[word] = value
         return value
 
 
@@ -441,6 +451,17 @@ def identifier_links(usable: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(sets.select("sid", "chk", F.col("doc_id").alias("b")), ["sid", "chk"]).select("a", "b")
 
 
+def least_power(counts: dict[int, int]) -> int:
+    """The least power of two from which on at most ``HOT_KEPT`` hashes were met that often."""
+    kept, least = 0, max(counts, default=0) + 1
+    for power in sorted(counts, reverse=True):
+        kept += counts[power]
+        if kept > HOT_KEPT:
+            break
+        least = power
+    return least
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id.
 
@@ -457,8 +478,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     described = stored(texts.mapInArrow(_describe, "doc_id bigint, n bigint, sid bigint, chk bigint, sketch binary, hash bigint, met bigint"), "described")
     base = described.where("hash is null").select("doc_id", "n", "sid", "chk", "sketch")
     usable = base.where("sid is not null and doc_id is not null")
-    frequent = described.where("hash is not null").groupBy("hash").agg(F.sum("met").alias("met")).where(F.col("met") >= HOT).orderBy(F.desc("met"), "hash").limit(HOT_KEPT)
-    hot = np.array([r.hash for r in frequent.select("hash").toLocalIterator()], np.int64).view(np.uint64)
+    frequent = described.where("hash is not null").groupBy("hash").agg(F.sum("met").alias("met")).where(F.col("met") >= HOT)
+    frequent = stored(frequent.withColumn("power", F.floor(F.log2("met")).cast("int")), "frequent")
+    least = least_power({r.power: r["count"] for r in frequent.groupBy("power").count().collect()})
+    hot = np.array([r.hash for r in frequent.where(F.col("power") >= least).select("hash").toLocalIterator()], np.int64).view(np.uint64)
     shared_hot = spark.sparkContext.broadcast(Hot(hot))
 
     signed = texts.where("doc_id is not null").select("text").mapInArrow(_sign(shared_hot), "sig bigint, sid bigint")

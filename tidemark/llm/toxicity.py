@@ -30,7 +30,8 @@ MIN_DOCS = 3  # features of fewer sample documents are not learnt
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.5
 THRESHOLD = 0.3
-WORDS_KEPT = 200_000  # per Python worker
+KEPT_BYTES = 32 << 20  # of words per Python worker, by estimate
+LONGEST_KEPT = 256  # longer words are hashed each time
 FILTER_BITS = 16
 COUNT_BITS = 27  # counters that tell rare features of the sample apart
 
@@ -43,11 +44,16 @@ _SKIP = (np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 class WordHashes(dict):
     """Word -> 64-bit hash, for the words seen last."""
 
+    held = 0
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
         value = int.from_bytes(hashlib.blake2b(word.encode(errors="replace"), digest_size=8).digest(), "little")
-        self[word] = value
+        if len(word) <= LONGEST_KEPT:
+            self.held += 180 + 4 * len(word)
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self.held = 180 + 4 * len(word)
+            self[word] = value
         return value
 
 
