@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.tables import whole_text
 
-KEPT_BYTES = 24 << 20  # of pieces, and of chunks between white space, per Python worker, by estimate
+KEPT_BYTES = 48 << 20  # of pieces, and of chunks between white space, per Python worker, by estimate
 LONGEST_KEPT = 1024  # longer ones are encoded each time
 ROWS_AT_ONCE = 256  # decoded together
 LOW = (1 << 32) - 1
