@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as K
 from tidemark.functions.numbers import half_up
-from tidemark.operators.asof import newest
+from tidemark.operators.asof import newest, visible
 from tidemark.operators.counting import dominance_counts
 
 
@@ -89,6 +89,7 @@ def asof_m1b(turnover: DataFrame, m1b: DataFrame, cutoff: str) -> DataFrame:
     )
     month = F.year("public_at") * 12 + F.month("public_at")
     spans = m1b_spans(m1b, cutoff)
+    series = ["m1b_dataset"] if "dataset" in m1b.columns else []
     end = F.coalesce("held_until", c)
     first = F.year("available_at") * 12 + F.month("available_at")
     last = F.greatest(first, F.year(end) * 12 + F.month(end))
@@ -98,7 +99,9 @@ def asof_m1b(turnover: DataFrame, m1b: DataFrame, cutoff: str) -> DataFrame:
         F.col("revision").alias("m1b_revision"),
         F.col("value_twd").alias("m1b_twd"),
         F.col("available_at").alias("m1b_available_at"),
+        F.col("ingested_at").alias("_m1b_ingested_at"),
         "held_until",
+        *[F.col("dataset").alias("m1b_dataset") for _ in series],
     )
     hit = (
         rows.withColumn("_month", month)
@@ -108,11 +111,26 @@ def asof_m1b(turnover: DataFrame, m1b: DataFrame, cutoff: str) -> DataFrame:
             & (F.col("held_until").isNull() | (F.col("held_until") > F.col("public_at")))
         )
     )
-    best = newest(hit, ["trade_date"], ["m1b_available_at", "m1b_period", "m1b_revision"])
-    cols = ["trade_date", "m1b_period", "m1b_revision", "m1b_twd", "m1b_available_at"]
+    best = newest(hit, ["trade_date"], ["m1b_available_at", "m1b_period", "m1b_revision", "_m1b_ingested_at", *series])
+    cols = ["trade_date", "m1b_period", "m1b_revision", "m1b_twd", "m1b_available_at", *series]
     return rows.join(best.select(*cols), "trade_date", "left")
 
 
+def turnover_asof(ledger: DataFrame, cutoff: str) -> DataFrame:
+    """Newest visible revision of each day, whatever its status."""
+    return newest(visible(ledger, cutoff), ["trade_date"], ["revision", "available_at", "ingested_at"])
+
+
+def asof_bound_m1b(ledger: DataFrame, m1b: DataFrame, evidence: DataFrame, cutoff: str) -> DataFrame:
+    """``asof_m1b`` for the newest turnover revisions, over money supply whose publication evidence holds at the cutoff.
+
+    Datasets of ``m1b`` revise on their own; among equal times the later
+    period, revision, receipt and then dataset name wins.
+    """
+    bound = publication_binding(m1b, evidence, cutoff)
+    return asof_m1b(turnover_asof(ledger, cutoff), bound, cutoff)
+
+
 def ratio_observations(joined: DataFrame) -> DataFrame:
     """Complete days with turnover / money supply in percent."""
     ok = (F.col("status") == "available") & (F.col("total") > 0) & (F.col("m1b_twd") > 0)

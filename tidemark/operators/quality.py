@@ -130,6 +130,15 @@ def data_quality_profile(raw: DataFrame, calendar: DataFrame, order: str = "inge
     return known.fillna(0, ["row_count"]).fillna("insufficient_data", ["status"]).select(*out.columns)
 
 
+def quality_dates(raw: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The days behind the counts of ``data_quality_profile``, one row per symbol, finding and day."""
+    by_day = raw.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(falsy(F.col("volume") <= 0)).alias("empty"))
+    found = F.array(F.when(F.col("empty"), "zero_volume"), F.when(F.col("rows") > 1, "duplicate_date"))
+    present = by_day.select("symbol", F.explode(F.array_compact(found)).alias("finding"), "date")
+    holes = calendar_gaps(raw, calendar).select("symbol", F.lit("missing_reference_date").alias("finding"), "date")
+    return present.unionByName(holes)
+
+
 def actions_by_day(actions: DataFrame) -> DataFrame:
     return actions.groupBy("symbol", F.col("event_date").alias("date")).agg(
         F.array_sort(F.collect_list("event_type")).alias("corporate_actions")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import first_reason
-from tidemark.operators.asof import approval_eligible
+from tidemark.operators.asof import approval_eligible, revision_with_approval, visible
 
 INCOMPLETE = ("insufficient_data", "needs_human_input", "unsupported")
 
@@ -231,3 +231,82 @@ def profile_select(symbols: DataFrame, profiles: DataFrame, rule_id: str) -> Dat
         n.alias("applicable"),
         F.when(n == 1, F.coalesce("own_id", "global_id")).alias("profile_id"),
     )
+
+
+def profile_requests(requests: DataFrame, ledger: DataFrame, approvals: DataFrame, cutoff: str, rule_id: str, kind: str) -> DataFrame:
+    """Profile for each request: named by revision, named by logical id, or the only one in scope.
+
+    ``requests(request_id, symbol, logical_id, revision_id)``;
+    ``ledger(logical_id, id, revision_number, scope, scope_value, status, available_at, ingested_at)``.
+    Only the newest visible revision of a profile counts.  ``kind`` is
+    ``screening`` (only approved profiles are candidates of a request without
+    a name; an outdated name is no profile) or ``synthesis`` (all in scope are
+    candidates; hidden and superseded revisions are told apart).  A request
+    with both names needs the revision to be that profile's.  Requests with
+    and without a name take separate joins, so missing names meet in no task.
+    """
+    if kind not in ("screening", "synthesis"):
+        raise ValueError(f"unknown kind of profile: {kind}")
+    approved = approval_eligible(rule_id) & (F.col("status") != "revoked")
+    facts = F.struct("id", "scope", "scope_value", "status", "decision", approved.alias("approved"))
+    states = revision_with_approval(ledger, approvals, cutoff).select("logical_id", facts.alias("_state"))
+    asked = ["request_id", "symbol", "logical_id", "revision_id"]
+    has_name = F.col("logical_id").isNotNull() | F.col("revision_id").isNotNull()
+    known = visible(ledger, cutoff).groupBy(F.col("id").alias("revision_id")).agg(F.min("logical_id").alias("_of"))
+    named = (
+        requests.select(*asked)
+        .where(has_name)
+        .join(known, "revision_id", "left")
+        .withColumns(
+            {
+                "_name": F.coalesce("logical_id", "_of"),
+                "_hidden": F.col("revision_id").isNotNull() & F.col("_of").isNull(),
+                "_clash": F.coalesce(F.col("logical_id") != F.col("_of"), F.lit(False)),
+            }
+        )
+        .join(states.withColumnRenamed("logical_id", "_name"), "_name", "left")
+        .withColumn("_n", F.col("_state").isNotNull().cast("bigint"))
+    )
+    candidates = states.where("_state.approved") if kind == "screening" else states
+    counted = (F.count(F.lit(1)).alias("n"), F.min("_state").alias("state"))
+    own = candidates.where("_state.scope = 'symbol'").groupBy(F.col("_state.scope_value").alias("symbol")).agg(F.struct(*counted).alias("_own"))
+    everywhere = candidates.where("_state.scope = 'global'").agg(F.struct(*counted)).scalar()
+    free = requests.select(*asked).where(~has_name).join(own, "symbol", "left").withColumn("_all", everywhere)
+    n = F.coalesce("_own.n", F.lit(0)) + F.col("_all.n")
+    free = free.withColumns(
+        {
+            "_n": n,
+            "_state": F.when(n == 1, F.coalesce("_own.state", "_all.state")),
+            "_hidden": F.lit(False),
+            "_clash": F.lit(False),
+        }
+    )
+    cols = [*asked, "_state", "_n", "_hidden", "_clash"]
+    both = named.select(*cols).unionByName(free.select(*cols))
+
+    state = F.col("_state")
+    fits = F.coalesce((state["scope"] == "global") | ((state["scope"] == "symbol") & (state["scope_value"] == F.col("symbol"))), F.lit(False))
+    outdated = F.coalesce(state["id"] != F.col("revision_id"), F.lit(False))
+    required, mismatch, peers = f"approved_{kind}_profile_required", f"{kind}_profile_scope_mismatch", "industry_peer_data_required"
+    several = (F.col("_n") > 1, f"{kind}_profile_selection_required")
+    refused = (
+        (state["status"] == "revoked", f"{kind}_profile_revoked"),
+        (state["decision"].eqNullSafe("revoked"), f"{kind}_profile_approval_revoked"),
+        (~state["approved"], required),
+    )
+    if kind == "screening":
+        checks = (several, (state.isNull() | outdated | F.col("_clash"), required), *refused, (~fits & (state["scope"] == "industry"), peers), (~fits, mismatch))
+    else:
+        hidden = (F.col("_hidden"), f"{kind}_profile_revision_not_visible_at_cutoff")
+        missing = (state.isNull() | F.col("_clash"), required)
+        checks = (hidden, several, missing, (outdated, f"{kind}_profile_revision_superseded"), (~fits, mismatch), *refused)
+    out = both.withColumn("reason", first_reason(*checks))
+    reason = F.col("reason")
+    return out.select(
+        *asked,
+        F.when(reason.isNull(), "available").when(reason.isin(mismatch, peers), "insufficient_data").otherwise("needs_human_input").alias("status"),
+        "reason",
+        F.col("_n").alias("applicable"),
+        F.when(reason.isNull(), state["id"]).alias("profile_id"),
+        state["id"].alias("effective_revision_id"),
+    )

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import constants as K
 from tidemark.functions.numbers import first_reason
 from tidemark.operators.asof import bucketed_lag, bucketed_rank
 
@@ -21,6 +22,29 @@ ROLE_ORDER = {
     "FB-04": ("origin", "swing_end"),
 }
 
+# Policies that a profile must state, labels in rising order, states of a resource.
+SYNTHESIS_POLICIES = {
+    "role_compatibility_policy": "target_only_for_strength_support_alignment",
+    "point_to_range_policy": "relative_ratio",
+    "boundary_policy": "closed",
+    "cluster_policy": "maximal_active_target_sets_v1",
+    "dependency_policy_version": "connected_components_v1",
+    "rounding_mode": "ROUND_HALF_UP",
+}
+EVALUATION_POLICIES = {
+    "start_policy": "next_symbol_tradable_session_after_cutoff_local_date",
+    "start_price_policy": "adjusted_open",
+    "end_price_policy": "adjusted_close",
+    "target_touch_policy": "closed_boundary_intraday",
+    "already_in_range_policy": "separate_not_future_hit",
+    "benchmark_policy": "taiwan_taiex_price_return",
+    "outcome_completeness_policy": "complete_horizon_required",
+}
+STRENGTH_LABELS = ("low", "moderate", "high")
+ELIGIBLE, AWAITING = "eligible", "awaiting_review"
+USABLE_QUALITY = ("fresh", "quality_warning")
+RESOURCE_IDENTITY = ("raw_resource_revision_id", "provider_id", "resource_id", "logical_revision_key", "parser_version")
+
 
 def validate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Add ``reasons``: names of all rules that are broken.  A rule is broken when its column is true."""
@@ -111,6 +135,88 @@ def profile_rules(percentiles: Sequence[str] = ("pe_percentile_max", "pb_percent
     }
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _profile_revision() -> dict[str, Column]:
+    number = F.col("revision_number")
+    return {
+        "profile_id_missing": _blank("logical_profile_id"),
+        "revision_number_invalid": number.isNull() | (number < 1),
+        "first_revision_has_parent": (number == 1) & F.col("revision_of").isNotNull(),
+        "parent_missing": (number > 1) & F.col("revision_of").isNull(),
+    }
+
+
+def _stated(policies: Mapping[str, str]) -> dict[str, Column]:
+    return {f"{name}_not_fixed": ~F.col(name).eqNullSafe(value) for name, value in policies.items()}
+
+
+def synthesis_profile_rules() -> dict[str, Column]:
+    """Rules of a profile that joins target ranges.
+
+    ``evidence_strength_policy`` is a list of (minimum, label): minimums from
+    two on and labels, both strictly rising.
+    """
+    steps, families, tolerance = F.col("evidence_strength_policy"), F.col("allowed_method_families"), F.col("overlap_tolerance")
+    minimums = F.transform(steps, lambda s: s["minimum"])
+    labels = F.transform(steps, lambda s: s["label"])
+    order = F.array(*[F.lit(x) for x in STRENGTH_LABELS])
+    ranks = F.filter(F.transform(labels, lambda x: F.array_position(order, x)), lambda r: r > 0)
+    supported = F.array(*[F.lit(x) for x in (*K.TARGET_FAMILIES, K.SUPPORT_FAMILY)])
+    scope, value = F.col("scope"), _blank("scope_value")
+    return {
+        **_profile_revision(),
+        "scope_unknown": ~F.coalesce(scope.isin("global", "symbol"), F.lit(False)),
+        "global_scope_has_value": (scope == "global") & F.col("scope_value").isNotNull(),
+        "scope_value_missing": (scope == "symbol") & value,
+        "families_missing": families.isNull() | (F.size(families) == 0),
+        "family_unsupported": F.size(F.array_except(families, supported)) > 0,
+        "tolerance_range": tolerance.isNull() | F.isnan(tolerance.cast("double")) | (tolerance < 0) | (tolerance >= 1),
+        "strength_missing": steps.isNull() | (F.size(steps) == 0),
+        "strength_below_two": F.exists(minimums, lambda m: m.isNull() | (m < 2)),
+        "strength_not_increasing": F.array_sort(F.array_distinct(minimums)) != minimums,
+        "strength_label_invalid": F.exists(labels, lambda x: ~F.coalesce(x.isin(*STRENGTH_LABELS), F.lit(False))) | (F.size(F.array_distinct(labels)) < F.size(labels)),
+        "strength_label_order": F.array_sort(F.array_distinct(ranks)) != ranks,
+        **_stated(SYNTHESIS_POLICIES),
+        "author_missing": _blank("created_by") | _blank("rationale"),
+    }
+
+
+def evaluation_profile_rules() -> dict[str, Column]:
+    """Rules of a profile that measures outcomes: both horizons, in any order, and the stated policies."""
+    horizons = F.array_sort(F.array_distinct("horizons_sessions"))
+    return {
+        **_profile_revision(),
+        "horizons_not_fixed": ~horizons.eqNullSafe(F.array(*[F.lit(h) for h in K.HORIZONS])),
+        **_stated(EVALUATION_POLICIES),
+        "author_missing": _blank("created_by") | _blank("rationale"),
+    }
+
+
+def resource_revision_rules() -> dict[str, Column]:
+    """Rules of publication evidence: identity, hashes, order of its clocks, quality fit for its use."""
+    published, available = F.col("source_published_at"), F.col("available_at")
+    received, ingested = F.col("received_at"), F.col("ingested_at")
+    use, quality = F.col("eligibility_status"), F.col("quality_status")
+    blank = F.lit(False)
+    for c in RESOURCE_IDENTITY:
+        blank = blank | _blank(c)
+    hashes = [F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False)) for c in ("raw_payload_sha256", "schema_fingerprint")]
+    return {
+        "identity_missing": blank,
+        "hash_invalid": ~(hashes[0] & hashes[1]),
+        "clock_missing": received.isNull() | ingested.isNull(),
+        "ingested_before_received": ingested < received,
+        "available_before_published": available < published,
+        "available_after_received": available > received,
+        "eligible_without_available_at": (use == ELIGIBLE) & available.isNull(),
+        "eligible_quality_unusable": (use == ELIGIBLE) & ~F.coalesce(quality.isin(*USABLE_QUALITY), F.lit(False)),
+        "review_quality_mismatch": (use == AWAITING) & ~quality.eqNullSafe(AWAITING),
+    }
+
+
 def turnover_rules() -> dict[str, Column]:
     both = F.col("market_a").isNotNull() & F.col("market_b").isNotNull()
     neither = F.col("market_a").isNull() & F.col("market_b").isNull()

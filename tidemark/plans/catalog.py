@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401 - imported for registration
     q_outputs,
     q_panel,
     q_quality,
+    q_requests,
     q_research,
     q_screening,
     q_snapshots,
