@@ -1,10 +1,12 @@
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import liquidity as lq, quality as qa, screening as sn, validate as va
+from tidemark.sources import landed as ld
 
 CUTOFF = "2024-03-01 00:00:00"
 
@@ -239,3 +241,28 @@ def test_evaluation_and_resource_rules(spark):
     assert broken(ingested_at=t(2)) == ["ingested_before_received"]
     assert broken(received_at=None) == ["clock_missing"]
     assert broken(schema_fingerprint="A" * 64, provider_id=None) == ["identity_missing", "hash_invalid"]
+
+
+def test_money_supply_in_both_layouts_and_its_releases(spark, tmp_path):
+    full = {"data": {"dataSets": [["2026M05", "1", "0", "13,000", "1.0"], ["2026M06", "1", "0"]], "structure": {"Table1": [{"data": "M1A"}, {"data": "Ｍ１Ｂ"}]}}}
+    compact = {"result": {"structure": {"tables": [{"name": "Table0", "items": ["M1B"]}, {"name": "Table1", "items": ["M1A", "m1 b"]}]}, "data": [["2025M05", "1", "0", "7.5", "0"], ["2025M12", "1", "0", "9", "0"]]}}
+    unnamed = {"result": {"structure": {"tables": [{"name": "Table0", "items": ["M1B"]}]}, "data": [["2025M05", "1"]]}}
+    for name, doc in (("full", full), ("compact", compact), ("unnamed", unnamed), ("broken", "{")):
+        (tmp_path / f"{name}.json").write_text(doc if isinstance(doc, str) else json.dumps(doc))
+    documents = ld.one_money_layout(ld.read_json(spark, str(tmp_path), ld.MONEY_ANY))
+    values = ld.money_supply(documents)
+    assert {r["period"]: r["value_raw"] for r in values.collect()} == {"2026-05": 13000.0, "2026-06": None, "2025-05": 7.5, "2025-12": 9.0}
+    assert sorted(r["reason"] for r in ld.money_supply_rejects(documents).collect()) == ["category_missing", "document_unreadable"]
+    releases = spark.createDataFrame([("2026-05", t(3)), ("2026-05", t(1)), ("2026-06", t(2)), ("2025-05", None)], "period string, available_at timestamp")
+    out = ld.released_money_supply(values, releases)
+    assert {r["period"]: (r["available_at"], r["reason"]) for r in out.collect()} == {
+        "2026-05": (t(1), None),
+        "2026-06": (t(2), "value_missing"),
+        "2025-05": (None, "official_release_timestamp_required"),
+        "2025-12": (None, "official_release_timestamp_required"),
+    }
+    status = ld.release_status(out.withColumn("year", F.substring("period", 1, 4)), ["year"])
+    assert {r["year"]: (r["status"], r["usable"], r["waiting_periods"]) for r in status.collect()} == {
+        "2026": ("partial", 1, ["2026-06"]),
+        "2025": ("needs_human_input", 0, ["2025-05", "2025-12"]),
+    }

@@ -467,6 +467,56 @@ def q_landed_money(spark, sf_dir):
     return ld.money_supply(packed.select(F.from_json(doc, ld.MONEY).alias("e")).select("e.*"))
 
 
+RELEASES = {
+    "m": f"""SELECT date_trunc('month', o_orderdate)::DATE AS m, sum({cents('o_totalprice')})::BIGINT AS s FROM orders GROUP BY 1""",
+    "rel": """SELECT strftime(m, '%Y-%m') AS period, year(m) AS year, last_day(m)::VARCHAR AS data_date, s::DOUBLE AS value_raw,
+        CASE WHEN year(m) % 5 = 2 OR (month(m) % 6 <> 0 AND year(m) % 4 <> 3) THEN (last_day(m) + 25)::TIMESTAMP END AS available_at FROM m""",
+}
+
+
+def _released(spark, sf_dir):
+    """A document per year, even years in the full layout and odd ones in the compact one; some months were never released."""
+    month = F.trunc(F.col("o_orderdate").cast("date"), "month")
+    m = d.table(spark, sf_dir, "orders").groupBy(month.alias("m")).agg(F.sum(d.cents("o_totalprice")).alias("s"))
+    row = F.array(F.date_format("m", "yyyy'M'MM"), F.lit("0"), F.lit("0"), F.format_number("s", 0), F.lit("1.0"))
+    packed = m.groupBy(F.year("m").alias("year")).agg(F.collect_list(row).alias("rows"))
+    names = [F.lit("M1A"), F.lit("m 1 b (average)")]
+    full = F.struct("rows", F.struct(F.array(*[F.struct(x.alias("data")) for x in names]).alias("Table1")).alias("structure"))
+    full = F.to_json(F.struct(full.withField("dataSets", F.col("rows")).dropFields("rows").alias("data")))
+    tables = F.array(F.struct(F.lit("Table0").alias("name"), F.array(F.lit("M1B")).alias("items")), F.struct(F.lit("Table1").alias("name"), F.array(*names).alias("items")))
+    compact = F.to_json(F.struct(F.struct(F.struct(tables.alias("tables")).alias("structure"), F.col("rows").alias("data")).alias("result")))
+    doc = F.when(F.col("year") % 2 == 0, full).otherwise(compact)
+    rows = ld.money_supply(ld.one_money_layout(packed.select(F.from_json(doc, ld.MONEY_ANY).alias("e")).select("e.*")))
+    out = (F.year("m") % 5 == 2) | ((F.month("m") % 6 != 0) & (F.year("m") % 4 != 3))
+    releases = m.select(F.date_format("m", "yyyy-MM").alias("period"), F.when(out, F.date_add(F.last_day("m"), 25).cast("timestamp")).alias("available_at"))
+    return ld.released_money_supply(rows, releases)
+
+
+@query(
+    "released_money_supply",
+    with_views(
+        extra=RELEASES,
+        body="""SELECT period, data_date, value_raw, 'TWD_million' AS raw_unit, strftime(available_at, '%Y-%m-%d %H:%M:%S.%f') AS available_at,
+            CASE WHEN available_at IS NULL THEN 'official_release_timestamp_required' END AS reason FROM rel""",
+    ),
+)
+def q_released_money(spark, sf_dir):
+    return _released(spark, sf_dir)
+
+
+@query(
+    "money_release_status",
+    with_views(
+        extra=RELEASES,
+        body="""SELECT year::BIGINT AS year, CASE WHEN count(available_at) = 0 THEN 'needs_human_input' WHEN count(available_at) < count(*) THEN 'partial' ELSE 'available' END AS status,
+            count(available_at) AS usable, coalesce(string_agg(period, ',' ORDER BY period) FILTER (available_at IS NULL), '') AS waiting_periods FROM rel GROUP BY year""",
+    ),
+)
+def q_release_status(spark, sf_dir):
+    rows = _released(spark, sf_dir).withColumn("year", F.substring("period", 1, 4).cast("bigint"))
+    return ld.release_status(rows, ["year"])
+
+
 @query(
     "landed_sessions",
     """WITH x AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), k AS (SELECT day, dayofyear(day) % 6 AS k FROM x)

@@ -19,6 +19,7 @@ TABLE_ENVELOPE = "stkDate string, aaData array<array<string>>"
 TURNOVER_A = "Date string, TradeValue string"
 TURNOVER_B = "Date string, TradeAmount string"
 MONEY = "data struct<dataSets: array<array<string>>, structure: struct<Table1: array<struct<data: string>>>>"
+MONEY_ANY = f"{MONEY}, result struct<structure: struct<tables: array<struct<name: string, items: array<string>>>>, data: array<array<string>>>"
 SESSIONS = "Name string, Date string, Weekday string, Description string"
 STATEMENTS = "stock_id string, date string, origin_date string, type string, value double"
 CORRUPT = "corrupt"
@@ -157,6 +158,34 @@ def _category_place(category: str) -> Column:
     return F.get(hits, F.lit(0))
 
 
+def one_money_layout(documents: DataFrame) -> DataFrame:
+    """Documents read with ``MONEY_ANY``: the compact layout (``result``) brought into the full one (``data``)."""
+    compact = F.col("result")
+    table = F.get(F.filter(compact["structure"]["tables"], lambda t: t["name"] == "Table1"), F.lit(0))
+    named = F.transform(table["items"], lambda x: F.struct(x.alias("data")))
+    built = F.struct(compact["data"].alias("dataSets"), F.struct(named.alias("Table1")).alias("structure"))
+    return documents.withColumn("data", F.when(F.col("data.dataSets").isNotNull(), F.col("data")).otherwise(built)).drop("result")
+
+
+def released_money_supply(rows: DataFrame, releases: DataFrame) -> DataFrame:
+    """Monthly values with the time they were published; none is invented.
+
+    ``releases(period, available_at)``: the earliest time of a period counts.
+    Rows without one, or without a value, keep the reason why they cannot enter the ledger.
+    """
+    known = releases.where(F.col("available_at").isNotNull()).groupBy("period").agg(F.min("available_at").alias("available_at"))
+    reason = F.when(F.col("value_raw").isNull(), "value_missing").when(F.col("available_at").isNull(), "official_release_timestamp_required")
+    return rows.join(known, "period", "left").withColumn("reason", reason)
+
+
+def release_status(released: DataFrame, keys: list[str]) -> DataFrame:
+    """Per document: all rows usable, some, or none, with the periods that wait."""
+    usable, waits = F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())
+    status = F.when(usable == 0, "needs_human_input").when(waits > 0, "partial").otherwise("available")
+    pending = F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.col("period"))))
+    return released.groupBy(*keys).agg(status.alias("status"), usable.alias("usable"), pending.alias("waiting_periods"))
+
+
 def money_supply_rejects(documents: DataFrame, category: str = "M1B") -> DataFrame:
     """Documents that hold no values of the category, with the reason."""
     broken = F.col(CORRUPT).isNotNull() if CORRUPT in documents.columns else F.lit(False)
