@@ -242,8 +242,9 @@ def profile_requests(requests: DataFrame, ledger: DataFrame, approvals: DataFram
     ``screening`` (only approved profiles are candidates of a request without
     a name; an outdated name is no profile) or ``synthesis`` (all in scope are
     candidates; hidden and superseded revisions are told apart).  A request
-    with both names needs the revision to be that profile's.  Requests with
-    and without a name take separate joins, so missing names meet in no task.
+    with both names needs the revision to be that profile's.  Requests by
+    revision, by name and without either take separate joins, so missing names
+    meet in no task (but revisions nobody has seen, which have no name).
     """
     if kind not in ("screening", "synthesis"):
         raise ValueError(f"unknown kind of profile: {kind}")
@@ -253,10 +254,10 @@ def profile_requests(requests: DataFrame, ledger: DataFrame, approvals: DataFram
     asked = ["request_id", "symbol", "logical_id", "revision_id"]
     has_name = F.col("logical_id").isNotNull() | F.col("revision_id").isNotNull()
     known = visible(ledger, cutoff).groupBy(F.col("id").alias("revision_id")).agg(F.min("logical_id").alias("_of"))
+    by_revision = requests.select(*asked).where(F.col("revision_id").isNotNull()).join(known, "revision_id", "left").select(*asked, "_of")
+    by_name = requests.select(*asked, F.lit(None).cast("string").alias("_of")).where(F.col("revision_id").isNull() & F.col("logical_id").isNotNull())
     named = (
-        requests.select(*asked)
-        .where(has_name)
-        .join(known, "revision_id", "left")
+        by_revision.unionByName(by_name)
         .withColumns(
             {
                 "_name": F.coalesce("logical_id", "_of"),
