@@ -104,14 +104,14 @@ def overlap_points(targets: DataFrame, width: float) -> DataFrame:
         "symbol",
         F.explode(
             F.array(
-                F.struct(F.col("lo").alias("at"), F.lit(0).alias("kind"), "candidate_id"),
-                F.struct(F.col("hi").alias("at"), F.lit(1).alias("kind"), "candidate_id"),
+                F.struct(F.col("lo").alias("at"), F.lit(0).alias("kind")),
+                F.struct(F.col("hi").alias("at"), F.lit(1).alias("kind")),
             )
         ).alias("e"),
     ).select("symbol", "e.*")
     ends = ends.withColumn("_bucket", _bucket(F.col("at"), width))
-    # Starts sort before ends at the same price, so touching ranges overlap.
-    marked = bucketed_lag(ends, ["symbol"], "_bucket", ["at", "kind", "candidate_id"], ["kind", "at"])
+    # Starts sort before ends at the same price, so touching ranges overlap; equal ends are alike.
+    marked = bucketed_lag(ends, ["symbol"], "_bucket", ["at", "kind"], ["kind", "at"])
     return marked.where("kind = 1 and prev_kind = 0").select("symbol", F.col("prev_at").alias("point"))
 
 
@@ -119,16 +119,15 @@ def overlap_members(targets: DataFrame, points: DataFrame, width: float) -> Data
     """Ranges covering each point, through the buckets both lie in."""
     spread = explode_buckets(targets, _bucket(F.col("lo"), width), _bucket(F.col("hi"), width))
     asked = points.withColumn("_bucket", _bucket(F.col("point"), width))
-    hit = asked.join(spread, ["symbol", "_bucket"]).where(F.col("point").between(F.col("lo"), F.col("hi")))
-    return hit.drop("_bucket")
+    # The bucket stays: grouped by it too, the members of a point lie where the join left them.
+    return asked.join(spread, ["symbol", "_bucket"]).where(F.col("point").between(F.col("lo"), F.col("hi")))
 
 
 def maximal_sets(targets: DataFrame, width: float) -> DataFrame:
     """Every maximal set of mutually overlapping ranges, as sorted ids."""
     members = overlap_members(targets, overlap_points(targets, width), width)
-    return members.groupBy("symbol", "point").agg(
-        F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids")
-    )
+    sets = members.groupBy("symbol", "_bucket", "point").agg(F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids"))
+    return sets.drop("_bucket")
 
 
 def _family_dependencies(families: Sequence[str]) -> dict[str, Column]:
@@ -193,9 +192,10 @@ def overlap_clusters(targets: DataFrame, width: float, policy: Sequence[tuple[in
 
     ``families`` are those the profile allows, as in ``normalize_candidates``.
     """
-    members = overlap_members(targets.where(F.col("method_family").isin(*families)), overlap_points(targets, width), width)
+    targets = targets.where(F.col("method_family").isin(*families))
+    members = overlap_members(targets, overlap_points(targets, width), width)
     deps = _family_dependencies(families)
-    grouped = members.groupBy("symbol", "point").agg(
+    grouped = members.groupBy("symbol", "_bucket", "point").agg(
         F.max("lo").alias("price_low"),
         F.min("hi").alias("price_high"),
         F.array_sort(F.collect_set("candidate_id")).alias("candidate_ids"),
@@ -244,7 +244,7 @@ def support_overlap(clusters: DataFrame, supports: DataFrame, width: float) -> D
 def unclustered(targets: DataFrame, clusters: DataFrame) -> DataFrame:
     """Targets that belong to no accepted cluster."""
     used = clusters.where("status = 'available'").select("symbol", F.explode("candidate_ids").alias("candidate_id"))
-    return targets.join(used.distinct(), ["symbol", "candidate_id"], "left_anti")
+    return targets.join(used, ["symbol", "candidate_id"], "left_anti")
 
 
 def confluence_summary(symbols: DataFrame, clusters: DataFrame, policy: Sequence[tuple[int, str]]) -> DataFrame:

@@ -383,18 +383,17 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and support candidates: the lines of an order are one analysis."""
-    li = table(spark, sf_dir, "lineitem")
+    """Target and support candidates: the lines of an order are one analysis.
+
+    A candidate follows from five numbers, so repeats are dropped on these
+    before its texts and keys are made.
+    """
+    numbers = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("bigint").alias(c) for c in numbers]).distinct()
     k = F.col("l_linenumber") % 3
     return li.select(
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("symbol"),
-        F.concat_ws(
-            "-",
-            *[
-                F.col(c).cast("bigint").cast("string")
-                for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-            ],
-        ).alias("candidate_id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in numbers]).alias("candidate_id"),
         F.when(k == 0, "VAL-01").when(k == 1, "FB-03").otherwise("FB-04").alias("method_family"),
         F.when(k == 2, "support").otherwise("target").alias("semantic_role"),
         ((F.col("l_partkey") % 1000 + 9000).cast("double") / 10.0).cast("decimal(18,4)").alias("price"),
@@ -403,7 +402,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("D"), (F.col("l_suppkey") % 7).cast("string")),
             F.concat(F.lit("E"), (F.col("l_partkey") % 5).cast("string")),
         ).alias("dependency_keys"),
-    ).distinct()
+    )
 
 
 def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
