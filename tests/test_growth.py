@@ -31,3 +31,13 @@ def test_members_of_a_point_are_not_dealt_again(spark):
         assert [(list(r.candidate_ids), float(r.price_low)) for r in out.collect()] == [(["a", "b"], 2.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_batch_is_dealt_by_key_and_by_content_only(spark):
+    frame = "idempotency_key string, fingerprint string"
+    old = spark.createDataFrame([("k1", "f1"), ("k2", "f9")], frame)
+    new = spark.createDataFrame([("k1", "f1"), ("k2", "f2"), ("k3", "f3"), ("k3", "f3"), ("k4", "f3"), ("k5", "f4"), ("k5", "f5")], frame)
+    out = sk.append_decision(old, new)
+    want = {("k1", "f1", "unchanged"), ("k2", "f2", "conflict"), ("k3", "f3", "append"), ("k4", "f3", "unchanged"), ("k5", "f4", "append"), ("k5", "f5", "conflict")}
+    assert {tuple(r) for r in out.select("idempotency_key", "fingerprint", "decision").collect()} == want
+    assert not [s for s in shuffles(out) if "fingerprint" in s and "idempotency_key" in s]

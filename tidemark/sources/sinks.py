@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,18 +52,15 @@ def append_decision(existing: DataFrame, incoming: DataFrame, keys: DataFrame |
     )
     taken = (existing if keys is None else keys).select("idempotency_key", F.col("fingerprint").alias("_old"))
     by_key = taken.join(named_keys, "idempotency_key", "left_semi").groupBy("idempotency_key").agg(F.min("_old").alias("_old"))
-    once = newest(incoming, ["fingerprint", "idempotency_key"], ["fingerprint"])
-    in_batch = once.groupBy("idempotency_key").agg(F.min("fingerprint").alias("_first"))
+    # The batch is dealt twice: by its keys for all that a key says, then by its contents.
+    of_key = Window.partitionBy("idempotency_key").orderBy("fingerprint")
+    same = Window.partitionBy("idempotency_key", "fingerprint").orderBy("fingerprint")
+    dealt = incoming.withColumns({"_first": F.first("fingerprint").over(of_key), "_rn": F.row_number().over(same)})
     # Only a pair that is no conflict of its own may stand for the content.
-    keyed = once.join(in_batch, "idempotency_key").join(by_key, "idempotency_key", "left")
-    fit = (F.col("_first") == F.col("fingerprint")) & F.coalesce(F.col("_old") == F.col("fingerprint"), F.lit(True))
-    lead = keyed.where(fit).groupBy("fingerprint").agg(F.min("idempotency_key").alias("_lead"))
-    rows = (
-        once.join(known, "fingerprint", "left")
-        .join(lead, "fingerprint", "left")
-        .join(by_key, "idempotency_key", "left")
-        .join(in_batch, "idempotency_key", "left")
-    )
+    keyed = dealt.where("_rn = 1").drop("_rn").join(by_key, "idempotency_key", "left")
+    fit = F.col("_first").eqNullSafe(F.col("fingerprint")) & F.coalesce(F.col("_old") == F.col("fingerprint"), F.lit(True))
+    lead = F.min(F.when(fit, F.col("idempotency_key"))).over(Window.partitionBy("fingerprint"))
+    rows = keyed.withColumn("_lead", lead).join(known, "fingerprint", "left")
     decision = (
         F.when(F.col("_known").isNotNull(), "unchanged")
         .when(F.col("_old").isNotNull() & (F.col("_old") != F.col("fingerprint")), "conflict")
