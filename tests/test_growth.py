@@ -17,6 +17,21 @@ def shuffles(df):
     return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_stored_documents_are_parsed_once(spark):
+    text = '{"output":{"target_confluence":{"supporting_methods":[{"candidate_id":"a","method_family":"VAL-01","semantic_role":"target","price":"5"}],"overlap_ranges":[{"cluster_id":"c","price_low":"1","price_high":"2"}]}}}'
+    out = dc.scenario_subjects(spark.createDataFrame([("S", text), ("T", None)], "symbol string, document string").repartition(2))
+    assert {(r.symbol, r.subject_id, float(r.price_low)) for r in out.collect()} == {("S", "a", 5.0), ("S", "c", 1.0)}
+    assert plan(out).count("parseJson") == 1
+
+
+def test_documents_of_a_pair_meet_before_their_fields_become_rows(spark):
+    a = spark.createDataFrame([(1, '{"output":{"liquidity":{"status":"x"}}}'), (2, None)], "pair_id long, document string")
+    c = spark.createDataFrame([(1, '{"output":{"liquidity":{"status":null}}}'), (3, '{"output":{"data_quality":{"status":"y"}}}')], "pair_id long, document string")
+    out = dc.document_diff(a, c)
+    assert {(r.pair_id, r.field_path, r.before, r.after) for r in out.collect()} == {(1, "liquidity.status", "x", None), (3, "data_quality.status", None, "y")}
+    assert not [s for s in shuffles(out) if "field_path" in s]
+
+
 def test_members_of_a_point_are_not_dealt_again(spark):
     def target(c, family, lo, hi):
         return ("O", c, family, "target", lo, hi, ["k" + c])

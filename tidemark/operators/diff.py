@@ -268,6 +268,11 @@ def field_diff(
     b = comparison.select("pair_id", "field_path", F.col("present").alias("_pc"), F.col("value").alias("after"))
     both = a.join(b, ["pair_id", "field_path"], "full_outer").fillna(False, ["_pb", "_pc"])
     changed = both.where((F.col("_pb") != F.col("_pc")) | ~F.col("before").eqNullSafe(F.col("after")))
+    return changed_fields(changed, change_types, numeric)
+
+
+def changed_fields(changed: DataFrame, change_types: Mapping[str, str], numeric: Sequence[str] = ()) -> DataFrame:
+    """Deltas of fields that are known to differ: ``(pair_id, field_path, before, after)``."""
     kinds = F.create_map(*[F.lit(x) for pair in change_types.items() for x in pair])
     section = F.element_at(F.split("field_path", "\\."), 1)
     diff = F.col("after").try_cast("decimal(28,10)") - F.col("before").try_cast("decimal(28,10)")
