@@ -48,6 +48,20 @@ def test_members_of_a_point_are_not_dealt_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_candidates_side_by_side_give_the_figures_of_each(spark):
+    bars = spark.range(60).select(
+        F.lit("A").alias("symbol"), F.lit(1).alias("window_no"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        (100 + F.col("id") % 7).cast("double").alias("open"), (100 + F.col("id") % 5).cast("double").alias("close"),
+        F.array(*[F.struct(F.lit(n).alias("candidate_id"), (F.col("id") % k < 2).cast("int").alias("pos")) for n, k in (("x", 4), ("y", 9))]).alias("candidates"),
+    )
+    keys = ["symbol", "window_no", "candidate_id"]
+    one = wf.risk_metrics(wf.position_equity(wf.each_candidate(bars), keys), keys)
+    both = wf.candidate_metrics(bars, keys[:2], ["x", "y"])
+    assert rows(one.select(both.columns), "candidate_id") == rows(both, "candidate_id")
+    text = plan(both)
+    assert text.index("Generate") < text.index("Window")
+
+
 def test_a_batch_is_dealt_by_key_and_by_content_only(spark):
     frame = "idempotency_key string, fingerprint string"
     old = spark.createDataFrame([("k1", "f1"), ("k2", "f9")], frame)

@@ -124,7 +124,8 @@ def slice_bars(bars_idx: DataFrame, slices: DataFrame) -> DataFrame:
             below = (probe <= F.col("idx")) if inclusive else (probe < F.col("idx"))
             return F.when((at + width <= size) & F.coalesce(below, F.lit(False)), at + width).otherwise(at)
 
-        return F.aggregate(F.sequence(F.lit(20), F.lit(0), F.lit(-1)), F.lit(0), step)
+        # The largest step is the largest power of two within the list.
+        return F.aggregate(F.sequence(F.floor(F.log2(size)).cast("int"), F.lit(0), F.lit(-1)), F.lit(0), step)
 
     found = held.withColumns({"_to": position("train_start_idx", True), "_from": position("train_end_idx", False)}).where("_from < _to")
     out = found.withColumn("_hit", F.explode(F.slice("_s", F.col("_from") + 1, F.col("_to") - F.col("_from"))))
@@ -169,33 +170,45 @@ def each_candidate(rows: DataFrame) -> DataFrame:
     return rows.select(*rest, F.explode("candidates").alias("_o")).select(*rest, "_o.*")
 
 
-def position_equity(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def position_equity(rows: DataFrame, keys: Sequence[str], tags: Sequence[str] = ("",)) -> DataFrame:
     """Equity of a fully invested position, after costs, starting at one.
 
     Runs of held bars are numbered by their entries; a run is bought at the open
     of its first bar and sold at the open after its last, or at the final close.
+    Several positions on the same bars lie side by side: for each of ``tags``
+    the columns pos, segment, equity and trade_factor end with it.
     """
     w = Window.partitionBy(*keys).orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     cost = cost_model(F.col("symbol"))
     buy = F.col("open") * (1.0 + K.SLIPPAGE_RATE) * (1.0 + K.COMMISSION_RATE)
     keep = (1.0 - K.SLIPPAGE_RATE) * (1.0 - K.COMMISSION_RATE - cost["sales_tax_rate"])
-    before = F.coalesce(F.lag("pos").over(w), F.lit(0))
-    rows = rows.withColumns({"_enter": (F.col("pos") == 1) & (before == 0), "_exit": (F.col("pos") == 0) & (before == 1)})
-    rows = rows.withColumns(
-        {
-            "segment": F.sum(F.col("_enter").cast("int")).over(run),
-            "_paid": F.last(F.when(F.col("_enter"), buy), ignorenulls=True).over(run),
-            "_final": F.lead("date").over(w).isNull(),
-        }
-    )
-    sold = F.when(F.col("_exit"), F.col("open") * keep / F.col("_paid"))
-    rows = rows.withColumn("_closed", sold)
-    banked = F.coalesce(F.product("_closed").over(run), F.lit(1.0))
-    mark = F.when(F.col("_final"), F.col("close") * keep).otherwise(F.col("close")) / F.col("_paid")
-    rows = rows.withColumn("equity", banked * F.when(F.col("pos") == 1, mark).otherwise(1.0))
-    trade = F.coalesce(F.col("_closed"), F.when(F.col("_final") & (F.col("pos") == 1), mark))
-    return rows.withColumn("trade_factor", trade).drop("_enter", "_exit", "_paid", "_closed", "_final")
+    first, second, third, equity = {"_final": F.lead("date").over(w).isNull()}, {}, {}, {}
+    for t in tags:
+        pos, paid, closed = F.col(f"pos{t}"), F.col(f"_paid{t}"), F.col(f"_closed{t}")
+        before = F.coalesce(F.lag(pos).over(w), F.lit(0))
+        first |= {f"_enter{t}": (pos == 1) & (before == 0), f"_exit{t}": (pos == 0) & (before == 1)}
+        entered = F.col(f"_enter{t}")
+        second |= {f"segment{t}": F.sum(entered.cast("int")).over(run), f"_paid{t}": F.last(F.when(entered, buy), ignorenulls=True).over(run)}
+        third[f"_closed{t}"] = F.when(F.col(f"_exit{t}"), F.col("open") * keep / paid)
+        banked = F.coalesce(F.product(closed).over(run), F.lit(1.0))
+        mark = F.when(F.col("_final"), F.col("close") * keep).otherwise(F.col("close")) / paid
+        equity[f"equity{t}"] = banked * F.when(pos == 1, mark).otherwise(1.0)
+        equity[f"trade_factor{t}"] = F.coalesce(closed, F.when(F.col("_final") & (pos == 1), mark))
+    out = rows.withColumns(first).withColumns(second).withColumns(third).withColumns(equity)
+    return out.drop("_final", *[f"{c}{t}" for c in ("_enter", "_exit", "_paid", "_closed") for t in tags])
+
+
+def side_by_side(rows: DataFrame, count: int) -> tuple[DataFrame, list[str]]:
+    """The positions of ``count`` candidates as columns of the bar, and the ends of their names."""
+    tags = [f"_{i}" for i in range(count)]
+    return rows.withColumns({f"pos{t}": F.col("candidates")[i]["pos"] for i, t in enumerate(tags)}).drop("candidates"), tags
+
+
+def by_candidate(rows: DataFrame, keys: Sequence[str], names: Sequence[str], tags: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per row and candidate: ``keys``, candidate_id and ``columns`` without the ends of their names."""
+    options = [F.struct(F.lit(n).alias("candidate_id"), *[F.col(f"{c}{t}").alias(c) for c in columns]) for n, t in zip(names, tags, strict=True)]
+    return rows.select(*keys, F.explode(F.array(*options)).alias("_o")).select(*keys, "_o.*")
 
 
 def crossover_trades(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -243,30 +256,34 @@ def buy_and_hold_status(asked: DataFrame, windows: DataFrame, metrics: DataFrame
     return rows.withColumn("status", status).drop("_traded")
 
 
-def risk_metrics(equity: DataFrame, keys: Sequence[str], flat_below: float = 1e-12) -> DataFrame:
-    """Return, drawdown, Sharpe, trades, win rate and exposure per key.
+_CURVE = ("final", "dd", "mean", "sd", "n_ret", "total_trades", "won", "held", "observation_days")
 
-    A curve whose daily returns deviate by ``flat_below`` at most is flat and
-    has no Sharpe ratio; the default covers rounding noise, 0 tests exactly.
-    """
+
+def _curve_facts(equity: DataFrame, keys: Sequence[str], tags: Sequence[str]) -> DataFrame:
+    """What a curve's figures follow from, per key and tag; all curves of a key in one pass."""
     w = Window.partitionBy(*keys).orderBy("date")
-    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = equity.withColumns(
-        {"_dd": F.col("equity") / peak - 1.0, "_ret": F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0}
-    )
-    g = rows.groupBy(*keys).agg(
-        F.max_by("equity", "date").alias("final"),
-        F.min("_dd").alias("dd"),
-        F.avg("_ret").alias("mean"),
-        F.stddev_samp("_ret").alias("sd"),
-        F.count("_ret").alias("n_ret"),
-        F.count("trade_factor").alias("total_trades"),
-        F.count_if(F.col("trade_factor") > 1.0).alias("won"),
-        F.sum("pos").alias("held"),
-        F.count(F.lit(1)).alias("observation_days"),
-    )
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps, facts = {}, []
+    for t in tags:
+        value = F.col(f"equity{t}")
+        steps |= {f"_dd{t}": value / F.max(value).over(run) - 1.0, f"_ret{t}": F.try_divide(value, F.lag(value).over(w)) - 1.0}
+        facts += [
+            F.max_by(value, "date").alias(f"final{t}"),
+            F.min(f"_dd{t}").alias(f"dd{t}"),
+            F.avg(f"_ret{t}").alias(f"mean{t}"),
+            F.stddev_samp(f"_ret{t}").alias(f"sd{t}"),
+            F.count(f"_ret{t}").alias(f"n_ret{t}"),
+            F.count(f"trade_factor{t}").alias(f"total_trades{t}"),
+            F.count_if(F.col(f"trade_factor{t}") > 1.0).alias(f"won{t}"),
+            F.sum(f"pos{t}").alias(f"held{t}"),
+            F.count(F.lit(1)).alias(f"observation_days{t}"),
+        ]
+    return equity.withColumns(steps).groupBy(*keys).agg(*facts)
+
+
+def _curve_figures(facts: DataFrame, keys: Sequence[str], flat_below: float) -> DataFrame:
     sharpe = F.when((F.col("n_ret") >= 2) & (F.col("sd") > flat_below), F.col("mean") / F.col("sd") * (K.TRADING_DAYS_PER_YEAR**0.5))
-    return g.select(
+    return facts.select(
         *keys,
         half_up((F.col("final") - 1.0) * 100.0, 4).alias("total_return_pct"),
         half_up(F.abs("dd") * 100.0, 4).alias("max_drawdown_pct"),
@@ -278,6 +295,26 @@ def risk_metrics(equity: DataFrame, keys: Sequence[str], flat_below: float = 1e-
     )
 
 
+def risk_metrics(equity: DataFrame, keys: Sequence[str], flat_below: float = 1e-12) -> DataFrame:
+    """Return, drawdown, Sharpe, trades, win rate and exposure per key.
+
+    A curve whose daily returns deviate by ``flat_below`` at most is flat and
+    has no Sharpe ratio; the default covers rounding noise, 0 tests exactly.
+    """
+    return _curve_figures(_curve_facts(equity, keys, ("",)), keys, flat_below)
+
+
+def candidate_metrics(rows: DataFrame, keys: Sequence[str], names: Sequence[str], flat_below: float = 1e-12) -> DataFrame:
+    """``risk_metrics`` per key and candidate of bars with a list of ``candidates``.
+
+    A bar is shuffled, sorted and buffered once, whatever the number of
+    candidates; there is a row per candidate only when the curves are summed up.
+    """
+    wide, tags = side_by_side(rows.select(*keys, "date", "open", "close", "candidates"), len(names))
+    facts = _curve_facts(position_equity(wide, keys, tags), keys, tags)
+    return _curve_figures(by_candidate(facts, keys, names, tags, _CURVE), [*keys, "candidate_id"], flat_below)
+
+
 def benchmark_spine(benchmark: DataFrame, *days: DataFrame) -> DataFrame:
     """For every needed day: nearest benchmark close on either side and its position.
 

@@ -41,10 +41,18 @@ WB = {
 }
 
 
+def _signals(spark, sf_dir):
+    """All bars with their place and every candidate's position."""
+    return wf.crossover_signals(wf.indexed(d.bars(spark, sf_dir).select("symbol", "date", "open", "close")), CANDIDATES)
+
+
+def _windowed(signals):
+    return wf.windowed_bars(signals, MONTHS, WARMUP, MIN_BARS)
+
+
 def _study(spark, sf_dir):
     """Bars of all validation windows with every candidate's position."""
-    rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
-    return wf.windowed_bars(wf.crossover_signals(rows, CANDIDATES), MONTHS, WARMUP, MIN_BARS)
+    return _windowed(_signals(spark, sf_dir))
 
 
 def _shared_study(spark, sf_dir):
@@ -145,6 +153,7 @@ def _risk_sql(source: str, keys: str, tag: str) -> dict[str, str]:
     }
 
 
+NAMES = [name for name, _, _ in CANDIDATES]
 KEYS = ["symbol", "window_no", "candidate_id"]
 K3 = "symbol, window_no, candidate_id"
 VALID = {
@@ -158,12 +167,13 @@ VALID = {
 
 
 def _validation_equity(study):
-    held = wf.each_candidate(study).select(*KEYS, "date", "open", "close", "pos")
-    return wf.position_equity(held, KEYS)
+    rows, tags = wf.side_by_side(study.select("symbol", "window_no", "date", "open", "close", "candidates"), len(NAMES))
+    equity = wf.position_equity(rows, KEYS[:2], tags)
+    return wf.by_candidate(equity, ["symbol", "window_no", "date"], NAMES, tags, ("pos", "segment", "trade_factor"))
 
 
 def _validation_metrics(study):
-    return wf.risk_metrics(_validation_equity(study), KEYS)
+    return wf.candidate_metrics(study, KEYS[:2], NAMES)
 
 
 @query(
@@ -316,12 +326,14 @@ TRAINED = {
 }
 
 
-def _training_metrics(spark, sf_dir, study):
-    rows = d.bars(spark, sf_dir).select("symbol", "date", "open", "close")
+def _training_metrics(signals, study):
     slices = wf.training_slices(_windows(study), TRAIN, TRAIN_WARM, TRAIN_MIN)
-    held = wf.each_candidate(wf.slice_bars(wf.crossover_signals(wf.indexed(rows), CANDIDATES), slices))
-    equity = wf.position_equity(held.select(*KEYS, "date", "open", "close", "pos"), KEYS)
-    return wf.risk_metrics(equity, KEYS)
+    return wf.candidate_metrics(wf.slice_bars(signals, slices), KEYS[:2], NAMES)
+
+
+def _sensitivity(spark, sf_dir, asked=None):
+    signals = _signals(spark, sf_dir)
+    return wf.sensitivity_summary(_training_metrics(signals, _windowed(signals)), asked)
 
 
 SENS = {
@@ -335,7 +347,7 @@ SENS = {
 
 @query("sensitivity_summary", with_views("bars", extra=SENS, body="SELECT * FROM sens"))
 def q_sensitivity(spark, sf_dir):
-    return wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir)))
+    return _sensitivity(spark, sf_dir)
 
 
 @query(
@@ -349,7 +361,7 @@ def q_sensitivity(spark, sf_dir):
     ),
 )
 def q_spread(spark, sf_dir):
-    return wf.sensitivity_spread(wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir))))
+    return wf.sensitivity_spread(_sensitivity(spark, sf_dir))
 
 
 SENS_ASKED = f"""SELECT a.symbol, c.candidate_id, q.* EXCLUDE (symbol, candidate_id) REPLACE (coalesce(training_window_count, 0) AS training_window_count)
@@ -359,7 +371,7 @@ SENS_ASKED = f"""SELECT a.symbol, c.candidate_id, q.* EXCLUDE (symbol, candidate
 
 def _asked_sensitivity(spark, sf_dir):
     asked = d.asked_symbols(spark, sf_dir).withColumn("candidate_id", F.explode(F.array(*[F.lit(c[0]) for c in CANDIDATES])))
-    return wf.sensitivity_summary(_training_metrics(spark, sf_dir, _study(spark, sf_dir)), asked)
+    return _sensitivity(spark, sf_dir, asked)
 
 
 @query("sensitivity_summary_asked", SENS_ASKED)
@@ -392,15 +404,14 @@ SELECTED = {
 }
 
 
-def _selected(spark, sf_dir, study):
-    return wf.profile_selection(
-        _windows(study), _training_metrics(spark, sf_dir, study), LEGACY, MAX_DD, MIN_TRADES
-    )
+def _selected(signals, study):
+    return wf.profile_selection(_windows(study), _training_metrics(signals, study), LEGACY, MAX_DD, MIN_TRADES)
 
 
 @query("profile_selection", with_views("bars", extra=SELECTED, body="SELECT * FROM selected"))
 def q_selection(spark, sf_dir):
-    return _selected(spark, sf_dir, _shared_study(spark, sf_dir))
+    signals = settle(_signals(spark, sf_dir))
+    return _selected(signals, _windowed(signals))
 
 
 GATE_LIMITS = {"max_mdd": 45.0, "min_bear_return": -20.0, "max_bear_mdd": 30.0}
@@ -429,8 +440,9 @@ GATE = {
 
 
 def _gate(spark, sf_dir):
-    study = _shared_study(spark, sf_dir)
-    chosen = _selected(spark, sf_dir, study).select("symbol", "window_no", F.col("candidate_id").alias("_chosen"))
+    signals = settle(_signals(spark, sf_dir))
+    study = settle(_windowed(signals))
+    chosen = _selected(signals, study).select("symbol", "window_no", F.col("candidate_id").alias("_chosen"))
     # A candidate's result serves as the fixed model, as the selected one, or as both.
     roles = F.array_compact(
         F.array(
