@@ -32,6 +32,13 @@ def test_documents_of_a_pair_meet_before_their_fields_become_rows(spark):
     assert not [s for s in shuffles(out) if "field_path" in s]
 
 
+def test_envelopes_are_parsed_once(spark):
+    texts = spark.createDataFrame([("S", '{"stat":"OK","data":[["1,5",null],null]}'), ("T", '{"stat":"NO","data":[["2"]]}')], "symbol string, text string").repartition(2)
+    out = ld.envelope_rows(texts.select("symbol", F.from_json("text", ld.ENVELOPE).alias("e")).select("symbol", "e.*"))
+    assert sorted((r.symbol, r.row is None) for r in out.collect()) == [("S", False), ("S", True)]
+    assert plan(out).count("from_json") == 1
+
+
 def test_members_of_a_point_are_not_dealt_again(spark):
     def target(c, family, lo, hi):
         return ("O", c, family, "target", lo, hi, ["k" + c])

@@ -40,7 +40,7 @@ def out_of_range(result: Column, *inputs: Column | str) -> Column:
 
 def parse_number(c: Column, kind: str = "double") -> Column:
     """Number from a landed cell: separators dropped, placeholders become null."""
-    text = F.trim(F.regexp_replace(c, ",", ""))
+    text = F.trim(F.translate(c, ",", ""))
     return F.when(~text.isin(*K.MISSING_NUMBERS), text).try_cast(kind)
 
 
