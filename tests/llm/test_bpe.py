@@ -1,8 +1,10 @@
 """Encoding and decoding against the public library, on the given documents and on odd texts."""
 
 import hashlib
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -54,3 +56,30 @@ def test_null_ids_decode_to_empty(spark):
 def test_other_vocabulary_kinds_are_refused():
     with pytest.raises((ValueError, KeyError, TypeError)):
         bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_results_of_a_batch_are_given_back_in_parts(spark, library, prose):
+    """A worker holds the texts of a batch, but lists, ids and decoded texts of some rows only."""
+    shared = bpe.share_vocabulary(spark, PATH)
+    texts = [prose(i % 40, 400) for i in range(4_000)]
+    batch = pa.array(texts, pa.string())
+    shared.encoder().encode(" ".join(texts[:40]))
+    held, rows = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for part in bpe.in_parts(iter([batch, batch.slice(0, 0)]), bpe._both, shared):
+        assert len(part) <= bpe.ROWS_AT_ONCE
+        first = part[0].as_py()
+        assert first["ids"] == library.encode(texts[rows], add_special_tokens=False).ids
+        assert first["decoded"] == library.decode(first["ids"], skip_special_tokens=False)
+        rows += len(part)
+        assert pa.total_allocated_bytes() - held < batch.nbytes
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < batch.nbytes
+
+
+def test_rows_of_large_batches_keep_their_place(spark, library):
+    df = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.lit("row "), F.col("id")).alias("text"))
+    shared = bpe.share_vocabulary(spark, PATH)
+    for r in df.select("text", bpe.round_trip(F.col("text"), shared).alias("r")).where("id % 97 = 0").collect():
+        assert r.r.ids == library.encode(r.text, add_special_tokens=False).ids

@@ -19,7 +19,7 @@ import json
 import unicodedata
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ from tidemark.llm.tables import whole_text
 
 KEPT_BYTES = 48 << 20  # of pieces, and of chunks between white space, per Python worker, by estimate
 LONGEST_KEPT = 1024  # longer ones are encoded each time
-ROWS_AT_ONCE = 256  # decoded together
+ROWS_AT_ONCE = 256  # encoded and decoded together, and given back at once
 LOW = (1 << 32) - 1
 
 
@@ -200,12 +200,15 @@ def _encoded(texts: pa.Array, shared: SharedVocabulary) -> pa.Array:
 
 def _decoded(lists: pa.Array, shared: SharedVocabulary) -> pa.Array:
     strings, space = shared.encoder().strings, pa.scalar(" ", pa.large_string())
-    out = [pa.array([], pa.string())]
-    for at in range(0, len(lists), ROWS_AT_ONCE):
-        part = lists.slice(at, ROWS_AT_ONCE)
-        ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False)))), pa.int32())
-        out.append(pc.binary_join(pa.ListArray.from_arrays(ends, strings.take(part.flatten())), space).cast(pa.string()))
-    return pa.concat_arrays(out)
+    ends = pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, strings.take(lists.flatten())), space).cast(pa.string())
+
+
+def in_parts(batches: Iterator[pa.Array], turn: Callable[[pa.Array, SharedVocabulary], pa.Array], shared: SharedVocabulary) -> Iterator[pa.Array]:
+    """``turn`` of a few rows at a time: a worker never holds the results of a whole batch."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            yield turn(batch.slice(at, ROWS_AT_ONCE), shared)
 
 
 def encode(text: Column, shared: SharedVocabulary) -> Column:
@@ -216,8 +219,8 @@ def encode(text: Column, shared: SharedVocabulary) -> Column:
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: pa.Array) -> pa.Array:
-        return _encoded(texts, shared)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_parts(texts, _encoded, shared)
 
     return run(whole_text(text))
 
@@ -229,12 +232,17 @@ def decode(ids: Column, shared: SharedVocabulary) -> Column:
     """
 
     @F.arrow_udf(T.StringType())
-    def run(lists: pa.Array) -> pa.Array:
-        return _decoded(lists, shared)
+    def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_parts(lists, _decoded, shared)
 
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def _both(texts: pa.Array, shared: SharedVocabulary) -> pa.Array:
+    ids = _encoded(texts, shared)
+    return pa.StructArray.from_arrays([ids, _decoded(ids, shared)], names=["ids", "decoded"])
+
+
 ROUND_TRIP = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
@@ -242,9 +250,8 @@ def round_trip(text: Column, shared: SharedVocabulary) -> Column:
     """Struct of the ids of a text and of what they decode to, in one pass through the workers."""
 
     @F.arrow_udf(ROUND_TRIP)
-    def run(texts: pa.Array) -> pa.Array:
-        ids = _encoded(texts, shared)
-        return pa.StructArray.from_arrays([ids, _decoded(ids, shared)], names=["ids", "decoded"])
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_parts(texts, _both, shared)
 
     return run(whole_text(text))
 
