@@ -36,6 +36,19 @@ def test_append_drops_late_copies_and_lets_late_rows_in(spark, tmp_path):
     assert rows(spark.read.parquet(f"{base}/rejects").select("id", "value")) == [(3, 4.0)]
 
 
+def test_a_batch_asks_the_state_once(spark, tmp_path):
+    """Rows for the ledger and rejects come from one reading of the stream; the steps after it run where shuffles adapt."""
+    base, shape = str(tmp_path), "id int, value double"
+    for first, new in ((0, 100), (50, 50)):
+        land(spark, f"{base}/in", [(i, float(i % 7)) for i in range(first, first + 100)], shape)
+        s = st.file_stream(spark, f"{base}/in", shape).withColumns({"fingerprint": fingerprint(F.concat_ws("|", "id", "value")), "idempotency_key": F.col("id").cast("string")})
+        query = st.ledger_append(s, {"small": F.col("value") < 2}, f"{base}/ledger", f"{base}/rejects", f"{base}/ck", parts=4)
+        query.awaitTermination()
+        assert [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]] == [new]
+    assert rows(spark.read.parquet(f"{base}/ledger").select("id"), "id") == [(i,) for i in range(150) if i % 7 >= 2]
+    assert rows(spark.read.parquet(f"{base}/rejects").select("id"), "id") == [(i,) for i in range(150) if i % 7 < 2]
+
+
 def test_reads_touched_parts_only(spark, tmp_path):
     path = f"{tmp_path}/t"
     df = sk.with_part(spark.range(1000), "id", 16)

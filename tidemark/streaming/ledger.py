@@ -55,15 +55,20 @@ def ledger_append(
     are found in the ledger.  Ledger and rejects lie in ``parts`` folders by
     hash of the fingerprint, and ``<ledger>_keys`` has the keys by their own
     hash: a batch reads the folders of its fingerprints and keys, and no other.
+    ``<ledger>_batch`` holds the rows of the last batch.
     """
     key = ["fingerprint", "idempotency_key"]
     unique = without_repeats(stream, key, delay) if delay else stream
     keys = f"{ledger}_keys"
 
+    spark, landed = stream.sparkSession, f"{ledger}_batch"
+
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        good, bad = split_valid(validate(df, rules))
-        good = with_part(good, "fingerprint", parts).persist()
+        # Written down once, so that the state is asked once; the session of a stream does not adapt its shuffles, that of the caller does.
+        checked = validate(df, rules)
+        checked.write.mode("overwrite").parquet(landed)
+        good, bad = split_valid(spark.read.schema(checked.schema).parquet(landed))
+        good = with_part(good, "fingerprint", parts)
         content = read_parts(spark, ledger, good, parts_of(good))
         own_keys = with_part(good.select(*key), "idempotency_key", parts)
         taken = read_parts(spark, keys, own_keys, parts_of(own_keys))
@@ -77,14 +82,14 @@ def ledger_append(
         # Keys first: a batch that ends between the two finds its keys with the same content and appends again.
         _append(with_part(fresh.select(*key), "idempotency_key", parts), keys)
         _append(fresh, ledger)
-        good.unpersist()
         refused.unpersist()
 
     return _run(unique, batch, checkpoint)
 
 
 def _append(df: DataFrame, path: str) -> None:
-    df.repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    # A part with many rows is written by several tasks.
+    df.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(path)
 
 
 # -- pairing of two markets -------------------------------------------------------
