@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tests.helpers import rows
-from tidemark.operators import confluence as cf, documents as dc, walkforward as wf
+from tests.helpers import day, rows
+from tidemark.operators import confluence as cf, documents as dc, quality as qa, walkforward as wf
 from tidemark.sources import landed as ld, sinks as sk
 
 
@@ -77,3 +77,19 @@ def test_a_batch_is_dealt_by_key_and_by_content_only(spark):
     want = {("k1", "f1", "unchanged"), ("k2", "f2", "conflict"), ("k3", "f3", "append"), ("k4", "f3", "unchanged"), ("k5", "f4", "append"), ("k5", "f5", "conflict")}
     assert {tuple(r) for r in out.select("idempotency_key", "fingerprint", "decision").collect()} == want
     assert not [s for s in shuffles(out) if "fingerprint" in s and "idempotency_key" in s]
+
+
+def test_a_profile_orders_its_rows_once_and_builds_no_gaps(spark):
+    def bar(symbol, n, order, close):
+        return (symbol, None if n is None else day(n), order, 1.0, 2.0, 1.0, close, 5.0)
+
+    data = [bar("A", 0, 1, 1.0), bar("A", 4, 2, 2.0), bar("A", 4, 3, 2.0), bar("A", 2, 4, 0.0), bar("A", None, 5, 1.0)]
+    data += [bar("B", 1, 1, 1.0), bar("B", 3, 1, None), bar("B", 7, 1, 1.0), bar(None, 0, 2, 1.0), bar(None, 1, 1, 1.0)]
+    raw = spark.createDataFrame(data, "symbol string, date date, ingest_order int, open double, high double, low double, close double, volume double").repartition(3)
+    out = qa.data_quality_profile(raw, spark.createDataFrame([(day(n),) for n in range(0, 10, 2)] + [(day(3),)], "date date"))
+    got = {r.symbol: (r.row_count, r.duplicate_dates, r.missing_close, r.invalid_price_rows, r.large_return_rows, r.max_calendar_gap_days, r.non_monotonic_dates, r.missing_reference_dates) for r in out.collect()}
+    # Of the calendar (0, 2, 3, 4, 6, 8) A lacks 3, and B, from 1 to 7, lacks 2, 4 and 6.
+    assert got == {"A": (5, 2, 0, 1, 1, 2, True, 1), "B": (3, 0, 1, 0, 0, 4, False, 3), None: (2, 0, 0, 0, 0, 1, True, 0)}
+    text = plan(out)
+    assert "Generate" not in text and "Expand" not in text
+    assert len(re.findall(r"\+- Window \[.*symbol#\d+\], \[date#\d+", text)) == 1

@@ -92,38 +92,53 @@ def bar_returns(raw: DataFrame, order: str = "ingest_order") -> DataFrame:
     )
 
 
+def landed_backwards(raw: DataFrame, order: str = "ingest_order") -> DataFrame:
+    """Whether a symbol's days ever go back in landing order.
+
+    Within one landing number days are in order, so only the ends of
+    neighbouring numbers are compared.  A row without a day is no step.
+    """
+    ends = raw.groupBy("symbol", order).agg(F.max("date").alias("last"), F.when(F.count_if(F.col("date").isNull()) == 0, F.min("date")).alias("first"))
+    before = F.lag("last").over(Window.partitionBy("symbol").orderBy(order))
+    return ends.select("symbol", falsy(F.col("first") < before).alias("back")).groupBy("symbol").agg(F.bool_or("back").alias("non_monotonic_dates"))
+
+
 def data_quality_profile(raw: DataFrame, calendar: DataFrame, order: str = "ingest_order", symbols: DataFrame | None = None) -> DataFrame:
     """One row of quality facts per symbol, and whether any of them is a warning.
 
     With ``symbols``, those without a row are kept as ``insufficient_data``.
     """
-    rows = bar_returns(raw, order)
     invalid: Column = F.col("high") < F.col("low")
     for c in PRICES:
         invalid = invalid | (F.col(c) <= 0)
-    landed = Window.partitionBy("symbol").orderBy(order, "date")
-    backwards = falsy(F.datediff("date", F.lag("date").over(landed)) < 0)
-    rows = rows.withColumn("_back", backwards)
+    # What a row says by itself is one number before rows are ordered.
+    marks = [*[F.col(c).isNull() for c in REQUIRED], falsy(invalid), falsy(F.col("volume") <= 0)]
+    said = sum((F.when(m, 1 << k).otherwise(0) for k, m in enumerate(marks)), F.lit(0))
+    # Days between a row and the one before are counted in the same pass as its return; null days have no rank.
+    ranked = raw.select("symbol", "date", order, "close", said.alias("_said")).join(day_ranks(calendar, raw).drop("_in"), "date", "left")
+    passed = F.lag("days_upto").over(Window.partitionBy("symbol").orderBy("date", order))
+    rows = bar_returns(ranked, order).withColumn("_missed", F.greatest(F.col("days_before") - passed, F.lit(0)))
     move = F.abs("ret")
     facts = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
-        (F.count(F.lit(1)) - F.count_distinct("date")).alias("duplicate_dates"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in REQUIRED],
-        F.count_if(falsy(invalid)).alias("invalid_price_rows"),
-        F.count_if(F.col("volume") <= 0).alias("zero_volume_rows"),
+        # In order of days a repeat follows its day: no table of the days is needed.
+        F.count_if(F.col("date").isNull() | falsy(F.col("gap_days") == 0)).alias("duplicate_dates"),
+        *[F.count_if(F.col("_said").bitwiseAND(1 << k) > 0).alias(n) for k, n in enumerate([*[f"missing_{c}" for c in REQUIRED], "invalid_price_rows", "zero_volume_rows"])],
         F.count_if(move >= K.LARGE_RETURN).alias("large_return_rows"),
         half_up(F.max(move) * 100.0, 4).alias("max_abs_return_pct"),
         F.coalesce(F.max("gap_days"), F.lit(0)).alias("max_calendar_gap_days"),
-        F.bool_or("_back").alias("non_monotonic_dates"),
+        F.sum("_missed").alias("missing_reference_dates"),
     )
-    missing = calendar_gaps(raw, calendar).groupBy("symbol").agg(F.count(F.lit(1)).alias("missing_reference_dates"))
-    out = facts.join(missing, "symbol", "left").fillna(0, ["missing_reference_dates"])
+    steps = landed_backwards(raw, order).withColumnRenamed("symbol", "_symbol")
+    out = facts.join(steps, F.col("symbol").eqNullSafe(F.col("_symbol"))).drop("_symbol")
     counts = ["duplicate_dates", "invalid_price_rows", "zero_volume_rows", "large_return_rows", "missing_reference_dates"]
     counts += [f"missing_{c}" for c in REQUIRED]
     warned = F.greatest(*counts) > 0
     out = out.withColumn("status", F.when(warned, "quality_warning").otherwise("available"))
+    names = [c for c in out.columns if c not in ("non_monotonic_dates", "missing_reference_dates", "status")]
+    out = out.select(*names, "non_monotonic_dates", "missing_reference_dates", "status")
     if symbols is None:
         return out
     known = symbols.select("symbol").distinct().join(out, "symbol", "left")
