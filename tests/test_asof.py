@@ -67,6 +67,19 @@ def test_bucketed_lag_equals_plain_lag(spark):
         assert [got[(k, x)] for x in xs] == [None, *xs[:-1]]
 
 
+def test_bucketed_lag_moves_dealt_rows_once(spark):
+    """Without a join, whatever is null: rows dealt by key stay, and buckets of a key that is null inherit nothing."""
+    data = [("a", None, None, "n"), ("a", 1, 0, "p"), ("a", 25, 2, None), ("a", 27, 2, "q"), ("a", 41, 4, "r"), ("b", 3, 0, "s"), (None, 1, 0, "t"), (None, 2, 0, "u"), (None, 15, 1, "v")]
+    df = spark.createDataFrame(data, "k string, x int, b int, v string")
+    got = asof.bucketed_lag(df.repartition(3, "k"), ["k"], "b", ["x"], ["v", "b", "k"])
+    none = (None, None, None)
+    prev = {r.v: (r.prev_v, r.prev_b, r.prev_k) for r in got.collect()}
+    assert prev == {"n": none, "p": ("n", None, "a"), None: ("p", 0, "a"), "q": (None, 2, "a"), "r": ("q", 2, "a"), "s": none, "t": none, "u": ("t", 0, None), "v": none}
+    assert got.columns == ["k", "x", "b", "v", "prev_v", "prev_b", "prev_k"] and got.count() == len(data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_approval_rules(spark):
     df = spark.createDataFrame(
         [("approved", "R", "A", 0, True), ("approved", "R", "C", 0, False), ("approved", "R", "C", 1, True),

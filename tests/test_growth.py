@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import day, rows
 from tidemark.operators import confluence as cf, documents as dc, quality as qa, walkforward as wf
+from tidemark.plans import catalog
 from tidemark.sources import landed as ld, sinks as sk
 
 
@@ -55,6 +56,28 @@ def test_members_of_a_point_are_not_dealt_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_lines_of_a_document_are_dealt_once(spark, tmp_path):
+    """The methods of a document are gathered where its lines were dealt; repeated lines count once."""
+    lines = [(1, 100, 5, 3, 2.0), (1, 111, 6, 1, 1.0), (1, 111, 6, 1, 1.0), (1, 950, 7, 4, 1.0), (1, 101, 8, 2, 3.0), (1, 11, 9, 6, 1.0), (None, 100, 5, 1, 1.0), (2, 100, 5, 2, 1.0)]
+    frame = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(lines, frame).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.QUERIES["snapshot_subjects"](spark, str(tmp_path))
+        # By the planner's need only targets of a price bucket, points and finished clusters are moved.
+        assert out._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 3
+        got = sorted((r.symbol or "", r.subject_type, r.subject_id if r.evidence_strength is None else "", float(r.price_low), float(r.price_high)) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [
+        ("O1", "target_candidate", "1-3-100-5-2", 891.8, 928.2), ("O1", "target_candidate", "1-1-111-6-1", 892.878, 892.878), ("O1", "target_candidate", "1-4-950-7-1", 975.1, 975.1),
+        ("O1", "support_candidate", "1-2-101-8-3", 891.898, 891.898), ("O1", "target_cluster", "", 892.878, 928.2),
+        ("O2", "support_candidate", "2-2-100-5-1", 891.8, 891.8), ("", "target_candidate", "1-100-5-1", 891.8, 891.8),
+    ]
+    assert got == sorted(want)
+
+
 def test_candidates_side_by_side_give_the_figures_of_each(spark):
     bars = spark.range(60).select(
         F.lit("A").alias("symbol"), F.lit(1).alias("window_no"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),

@@ -191,21 +191,24 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     """Previous row's values per key, for keys of any size.
 
     ``bucket`` must be monotone in ``order``.  Rows are ordered within (key,
-    bucket) only; the first row of a bucket takes the last row of the nearest
-    earlier bucket, found on one summary row per bucket.
+    bucket) only; ahead of them stands the last row of the nearest earlier
+    bucket, found on one summary row per bucket.  Nothing is joined, so rows
+    that are dealt by key already are not moved.
     """
-    row = F.struct(*values)
-    w = Window.partitionBy(*keys, bucket).orderBy(*order)
-    local = df.withColumns(
-        {"_prev": F.lag(row).over(w), "_pos": F.row_number().over(w), "_end": F.lead(F.lit(1)).over(w).isNull()}
-    )
-    # The summary reads the same shuffled rows: the last one of each bucket.
-    tails = local.where("_end").select(*keys, bucket, row.alias("_tail"))
-    before = Window.partitionBy(*keys).orderBy(bucket)
-    inherited = tails.select(*keys, bucket, F.lag("_tail").over(before).alias("_inherit"))
-    out = local.join(inherited, [*keys, bucket], "left")
-    prev = F.when(F.col("_pos") == 1, F.col("_inherit")).otherwise(F.col("_prev"))
-    return out.withColumn("_p", prev).select(*df.columns, *[F.col(f"_p.{v}").alias(f"prev_{v}") for v in values])
+    order = [c for c in order if c not in (*keys, bucket)]
+    held = {v: "_bucket_before" if v == bucket else v for v in values}
+    rows = df.withColumn("_bucket_before", F.col(bucket)) if bucket in values else df
+    payload = list(dict.fromkeys([*order, *[c for c in held.values() if c not in keys]]))
+    last = F.max(F.struct(*order)) if payload == order else F.max_by(F.struct(*payload), F.struct(*order))
+    tails = rows.groupBy(*keys, bucket).agg(last.alias("_tail"))
+    later = F.lead(bucket).over(Window.partitionBy(*keys).orderBy(bucket))
+    # A key that is null is no key: its buckets inherit nothing.
+    sent = tails.select(*keys, later.alias("_later"), "_tail").dropna(subset=[*keys, "_later"])
+    sent = sent.select(*keys, F.col("_later").alias(bucket), F.lit(0).alias("_own"), "_tail.*")
+    both = rows.withColumn("_own", F.lit(1)).unionByName(sent, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, bucket).orderBy("_own", *order)
+    out = both.select("*", *[F.lag(c).over(w).alias(f"prev_{v}") for v, c in held.items()])
+    return out.where("_own = 1").select(*df.columns, *[f"prev_{v}" for v in held])
 
 
 def bucketed_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str) -> DataFrame:

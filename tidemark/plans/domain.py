@@ -382,18 +382,24 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Target and support candidates: the lines of an order are one analysis.
 
     A candidate follows from five numbers, so repeats are dropped on these
-    before its texts and keys are made.
+    before its texts and keys are made.  With ``dealt`` the lines are dealt by
+    analysis, for queries that gather each analysis in one row anyway: no later
+    grouping by it moves them again.
     """
-    numbers = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    li = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("bigint").alias(c) for c in numbers]).distinct()
+    order, *rest = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    symbol = F.concat(F.lit("O"), F.col(order).cast("bigint").cast("string")).alias("symbol")
+    li = table(spark, sf_dir, "lineitem").select(F.col(order).cast("bigint").alias(order), *[F.col(c).cast("bigint").alias(c) for c in rest])
+    # The symbol holds the order's number, which therefore stays behind.
+    li = li.select(symbol, *rest).repartition("symbol").distinct() if dealt else li.distinct().select(symbol, *rest)
+    number = F.substring("symbol", 2, 20)
     k = F.col("l_linenumber") % 3
     return li.select(
-        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("symbol"),
-        F.concat_ws("-", *[F.col(c).cast("string") for c in numbers]).alias("candidate_id"),
+        "symbol",
+        F.concat_ws("-", number, *[F.col(c).cast("string") for c in rest]).alias("candidate_id"),
         F.when(k == 0, "VAL-01").when(k == 1, "FB-03").otherwise("FB-04").alias("method_family"),
         F.when(k == 2, "support").otherwise("target").alias("semantic_role"),
         ((F.col("l_partkey") % 1000 + 9000).cast("double") / 10.0).cast("decimal(18,4)").alias("price"),

@@ -16,7 +16,7 @@ WHOLE = "(CAST(right(candidate_id, 1) AS INT) % 2 = 0)"
 
 def _stored(spark, sf_dir):
     """A document per analysis; every second method has a price in place of a range, misfits have the wrong role."""
-    norm, clusters = _norm(spark, sf_dir), _clusters(spark, sf_dir).where("status = 'available'")
+    norm, clusters = _norm(spark, sf_dir, dealt=True), _clusters(spark, sf_dir, dealt=True).where("status = 'available'")
     whole = F.expr(WHOLE)
     method = F.struct(
         "candidate_id", "method_family", "semantic_role",

@@ -133,16 +133,16 @@ CLUST = {
 }
 
 
-def _norm(spark, sf_dir):
-    return cf.normalize_candidates(d.candidates(spark, sf_dir), TOL)
+def _norm(spark, sf_dir, dealt=False):
+    return cf.normalize_candidates(d.candidates(spark, sf_dir, dealt), TOL)
 
 
-def _targets(spark, sf_dir):
-    return _norm(spark, sf_dir).where("semantic_role = 'target'")
+def _targets(spark, sf_dir, dealt=False):
+    return _norm(spark, sf_dir, dealt).where("semantic_role = 'target'")
 
 
-def _clusters(spark, sf_dir):
-    return cf.overlap_clusters(_targets(spark, sf_dir), WIDTH, POLICY)
+def _clusters(spark, sf_dir, dealt=False):
+    return cf.overlap_clusters(_targets(spark, sf_dir, dealt), WIDTH, POLICY)
 
 
 @query(
